@@ -7,6 +7,9 @@ import importlib
 MODULES = (
     "features",
     "experiments",
+    "catalog",
+    "reports",
+    "text",
 )
 
 
