@@ -37,32 +37,36 @@ def running(
 ) -> DataFrame:
     """Add running aggregates over all rows of the group up to and including the current one.
 
-    ``aggs`` maps a new column to (kind, value), kind one of count, sum, min, max. Null values
-    are ignored as SQL aggregates do; struct values compare field by field.
+    ``aggs`` maps a new column to (kind, value), kind one of count, sum, min, max or previous
+    (the value of the row before, null for the first). Null values are ignored as SQL aggregates
+    do; struct values compare field by field.
     """
-    inner = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inner_order = Window.partitionBy(*group, "_chunk").orderBy(order)
+    outer_order = Window.partitionBy(*group).orderBy("_chunk")
+    inner = inner_order.rowsBetween(Window.unboundedPreceding, 0)
+    outer = outer_order.rowsBetween(Window.unboundedPreceding, -1)
     chunked = _chunked(df, order, width)
-    summary = chunked.groupBy(*group, "_chunk").agg(
-        *[AGGREGATES[kind](value).alias(f"_s_{name}") for name, (kind, value) in aggs.items()]
-    )
-    carried = []
-    for name, (kind, _) in aggs.items():
-        over_chunks = F.sum if kind == "count" else AGGREGATES[kind]
-        carried.append(over_chunks(f"_s_{name}").over(outer).alias(f"_c_{name}"))
-    carry = summary.select(*group, "_chunk", *carried)
-    rows = chunked.select("*", *[AGGREGATES[kind](value).over(inner).alias(f"_i_{name}") for name, (kind, value) in aggs.items()])
-    joined = _attach(rows, carry, group)
-    merged = []
-    for name, (kind, _) in aggs.items():
-        here, before = F.col(f"_i_{name}"), F.col(f"_c_{name}")
-        if kind == "count":
-            merged.append((here + F.coalesce(before, F.lit(0))).alias(name))
-        elif kind == "sum":
-            merged.append(F.when(before.isNull(), here).when(here.isNull(), before).otherwise(here + before).alias(name))
+    summaries, carried, here, merged = [], [], [], []
+    for name, (kind, value) in aggs.items():
+        total, carry, own = f"_s_{name}", F.col(f"_c_{name}"), F.col(f"_i_{name}")
+        if kind == "previous":
+            boxed = F.struct(value.alias("v"))
+            summaries.append(F.max_by(boxed, F.col(order)).alias(total))
+            carried.append(F.lag(total).over(outer_order).alias(f"_c_{name}"))
+            here.append(F.lag(boxed).over(inner_order).alias(f"_i_{name}"))
+            merged.append(F.coalesce(own, carry)["v"].alias(name))
+            continue
+        combine = F.sum if kind == "count" else AGGREGATES[kind]
+        summaries.append(AGGREGATES[kind](value).alias(total))
+        carried.append(combine(total).over(outer).alias(f"_c_{name}"))
+        here.append(AGGREGATES[kind](value).over(inner).alias(f"_i_{name}"))
+        if kind in ("count", "sum"):
+            added = F.when(carry.isNull(), own).when(own.isNull(), carry).otherwise(own + carry)
+            merged.append(added.alias(name))
         else:
-            pick = F.least if kind == "min" else F.greatest
-            merged.append(pick(here, before).alias(name))
+            merged.append((F.least if kind == "min" else F.greatest)(own, carry).alias(name))
+    carry_rows = chunked.groupBy(*group, "_chunk").agg(*summaries).select(*group, "_chunk", *carried)
+    joined = _attach(chunked.select("*", *here), carry_rows, group)
     return joined.select(*df.columns, *merged)
 
 
@@ -72,21 +76,6 @@ def position(df: DataFrame, group: list[str], order: str, name: str = "position"
     return numbered.withColumn(name, F.col(name) - 1)
 
 
-def previous(
-    df: DataFrame, group: list[str], order: str, value: Column, name: str, width: int = WIDTH
-) -> DataFrame:
-    """Add ``value`` of the row before this one in its group (null for the first row)."""
-    inner = Window.partitionBy(*group, "_chunk").orderBy(order)
-    outer = Window.partitionBy(*group).orderBy("_chunk")
-    boxed = F.struct(value.alias("v"))
-    chunked = _chunked(df, order, width)
-    summary = chunked.groupBy(*group, "_chunk").agg(F.max_by(boxed, F.col(order)).alias("_last"))
-    carry = summary.select(*group, "_chunk", F.lag("_last").over(outer).alias("_carry"))
-    rows = chunked.select("*", F.lag(boxed).over(inner).alias("_lag"))
-    joined = _attach(rows, carry, group)
-    return joined.select(*df.columns, F.coalesce("_lag", "_carry")["v"].alias(name))
-
-
 def global_index(df: DataFrame, order: str, name: str = "index", width: int = WIDTH) -> DataFrame:
     """Add the zero-based rank of the row in the order of a unique integer key.
 

@@ -10,6 +10,8 @@ MODULES = (
     "catalog",
     "reports",
     "text",
+    "media",
+    "io",
 )
 
 
