@@ -12,6 +12,9 @@ MODULES = (
     "text",
     "media",
     "io",
+    "maintenance",
+    "streams",
+    "learning",
 )
 
 
