@@ -109,14 +109,14 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
 
 def density_grid(df: DataFrame, x: str, y: str, nx: int, ny: int) -> DataFrame:
     """Point counts on an nx × ny grid with the share of the fullest cell; at most nx·ny rows."""
-    span = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    span = present.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
 
     def cell(col: str, lo: str, hi: str, n: int) -> Column:
         low, reach = span.select(lo).scalar(), span.select(F.col(hi) - F.col(lo)).scalar()
         scaled = F.coalesce(F.try_divide(F.col(col) - low, reach), F.lit(0.0))
         return F.least(F.floor(scaled * n), F.lit(n - 1)).cast("long")
 
-    present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     grid = present.groupBy(cell(x, "x0", "x1", nx).alias("ix"), cell(y, "y0", "y1", ny).alias("iy")).agg(
         F.count(F.lit(1)).alias("n")
     )

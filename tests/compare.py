@@ -103,7 +103,9 @@ def main(argv):
         try:
             complaints = check(spark, con, folder, name, fn, sqls.get(name))
         except Exception as e:  # report and go on with the next query
-            complaints = [f"{type(e).__name__}: {str(e)[:600]}"]
+            text = str(e)
+            cause = text.find("Caused by")
+            complaints = [f"{type(e).__name__}: {text[:300]} {text[cause:cause + 1500] if cause > 0 else ''}"]
         bad += bool(complaints)
         kind = "S" if name in sqls else "R"
         print(f"{'FAIL' if complaints else 'ok':4} {kind} {time.time() - t:6.2f}s {name}", *complaints, sep="  ", flush=True)
