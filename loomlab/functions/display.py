@@ -33,6 +33,27 @@ def chain(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return out
 
 
+def fixed_text(value: Column, digits: int, ties: str = "up", suffix: str = "") -> Column:
+    """The number with a fixed count of decimals, rounded by its exact binary value.
+
+    Java rounds the shortest decimal form, so 7.55, which is a little less, would become 7.6.
+    Near a midpoint the rounding error of ``value * c`` tells on which side the number lies.
+    Exact midpoints go up, as browsers do, or to the even digit, as Python does.
+    """
+    c = 2.0 * 10**digits
+    twice = value * c
+    sign = F.signum(value)
+    midpoint = F.abs(twice) % 2 == 1
+    exact = F.abs(value * 2.0 ** (digits + 1)) % 2 == 1
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    error = (high * c - twice) + (value - high) * c
+    lower = (twice - sign) / c
+    rounded = F.when(midpoint & ~exact & (error * sign < 0), lower)
+    if ties == "even":
+        rounded = rounded.when(exact, F.bround(value, digits))
+    return F.format_string(f"%.{digits}f{suffix}", rounded.otherwise(value))
+
+
 def metric_prefix_rank(key: Column) -> Column:
     return chain(
         [(key.startswith(p), F.lit(i)) for i, p in enumerate(METRIC_PREFIXES)], F.lit(len(METRIC_PREFIXES))
@@ -50,7 +71,7 @@ def is_score(key: Column) -> Column:
 
 
 def metric_text(key: Column, value: Column) -> Column:
-    return F.when(is_score(key), F.format_string("%.1f%%", value * 100)).otherwise(F.format_string("%.4f", value))
+    return F.when(is_score(key), fixed_text(value * 100, 1, suffix="%%")).otherwise(fixed_text(value, 4))
 
 
 def metric_label(key: Column) -> Column:
@@ -110,7 +131,7 @@ def day_bucket(at: Column, as_of: Column) -> Column:
 def bytes_text(size: Column) -> Column:
     """Size in steps of 1024 with one decimal; a dash for none or zero."""
     steps = [
-        ((size < 1024 ** (i + 1)) if i < len(BYTE_UNITS) - 1 else F.lit(True), F.format_string(f"%.1f {u}", size / 1024**i))
+        ((size < 1024 ** (i + 1)) if i < len(BYTE_UNITS) - 1 else F.lit(True), fixed_text(size / 1024**i, 1, suffix=f" {u}"))
         for i, u in enumerate(BYTE_UNITS)
     ]
     return F.when(size.isNull() | (size == 0), NO_VALUE).otherwise(chain(steps, F.lit(NO_VALUE)))

@@ -190,4 +190,4 @@ def dashboard_panels(dashboards: DataFrame, visualizations: DataFrame) -> DataFr
 
 def unlinked_rows(df: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose reference is null or has no parent."""
-    return df.join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
+    return df.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")

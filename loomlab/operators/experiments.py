@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlab.functions.display import RUN_PALETTE
-from loomlab.operators.grouped import latest
+from loomlab.operators.grouped import latest, moment
 from loomlab.operators.ordered import position, running
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -145,14 +145,14 @@ def sweep_progress(trials: DataFrame) -> DataFrame:
 def last_metric(metrics: DataFrame) -> DataFrame:
     """Last recorded value per job and metric."""
     return metrics.groupBy("job_id", "metric_name").agg(
-        F.max_by("value", F.struct("recorded_at", "id")).alias("value")
+        F.max_by("value", moment("recorded_at", "id")).alias("value")
     )
 
 
 def first_per_step(metrics: DataFrame, keys=("job_id", "metric_name")) -> DataFrame:
     """Earliest recorded point per key and step, where step is epoch, else step, else 0."""
     step = F.coalesce("epoch", "step", F.lit(0)).alias("step")
-    return metrics.groupBy(*keys, step).agg(F.min_by("value", F.struct("recorded_at", "id")).alias("value"))
+    return metrics.groupBy(*keys, step).agg(F.min_by("value", moment("recorded_at", "id")).alias("value"))
 
 
 def overlay_pivot(metrics: DataFrame, run: str, runs: list) -> DataFrame:
@@ -195,8 +195,9 @@ def series_slots(runs: DataFrame, label: Column) -> DataFrame:
 
 def merged_value(key: str) -> Column:
     """Parameter value of the key, else its metric value, as a number or 0."""
-    raw = F.coalesce(F.col("parameters")[key], F.col("metrics")[key].cast("string"))
-    return number_or_zero(raw)
+    given = F.col("parameters")[key]
+    measured = F.coalesce(F.nanvl(F.col("metrics")[key], F.lit(0.0)), F.lit(0.0))
+    return F.when(given.isNotNull(), number_or_zero(given)).otherwise(measured)
 
 
 def merge_param_metric(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,16 @@ SALTS = 64
 GROUP_LIMIT_CEILING = 1000
 
 
+def moment(at: str, ident: str) -> Column:
+    """One sortable number of a time and, for equal times, an id.
+
+    Aggregates over a struct of the two cannot use hash aggregation; over a number they can.
+    """
+    micros = f"timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast({at} as timestamp_ntz))"
+    wide = f"cast({micros} as decimal(18,0)) * cast(20000000000000000000 as decimal(20,0))"
+    return F.expr(f"cast({wide} as decimal(38,0)) + cast({ident} as decimal(19,0))")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key; a partial ``max_by`` runs before the shuffle."""
     payload = [c for c in df.columns if c not in keys]

@@ -8,17 +8,21 @@ folded inside the map tasks, so a group of any size crosses the network as a few
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlab.session import scratch
+
 FOLDS = 5
 MERGE_FAN_IN = 64
 OPEN_STATES = 10_000
@@ -127,6 +131,13 @@ def classifier(numeric: list[str], categorical: list[str], label: str, **params)
     return Pipeline(stages=[*indexers, assembler, model])
 
 
+def stored(model: PipelineModel) -> PipelineModel:
+    """The model as a job reads it back: saved to the shared folder, without training leftovers."""
+    path = scratch(SparkSession.builder.getOrCreate(), "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def accuracy(scored: DataFrame, label: str) -> float:
     hit = F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double"))
     return scored.agg(hit.alias("a")).first()["a"] or 0.0
@@ -140,21 +151,26 @@ def fold_of(key: Column, folds: int) -> Column:
 def cv_train(df: DataFrame, key: str, label: str, pipeline: Pipeline, folds: int = FOLDS) -> tuple[DataFrame, PipelineModel]:
     """Cross-validate, then fit on all rows: metric rows (epoch, metric_name, value) and the model.
 
-    The driver loops over the folds only; each fit and each score is a distributed job.
+    The folds run side by side; each fit and each score is a distributed job.
     """
     spark = df.sparkSession
     folds = min(folds, df.count())
     placed = df.withColumn("_fold", fold_of(F.col(key), folds))
-    rows, epoch = [], 0
-    for i in range(folds):
+
+    def one_fold(i: int) -> float | None:
         held = placed.where(F.col("_fold") == i)
         if held.isEmpty():
-            continue
-        epoch += 1
-        model = pipeline.fit(placed.where(F.col("_fold") != i))
-        score = accuracy(model.transform(held), label)
-        rows += [(epoch, "accuracy", score), (epoch, "loss", 1 - score)]
-    final = pipeline.fit(df)
+            return None
+        return accuracy(stored(pipeline.fit(placed.where(F.col("_fold") != i))).transform(held), label)
+
+    with ThreadPool(folds) as pool:
+        found = pool.map(inheritable_thread_target(spark)(one_fold), range(folds))
+    rows, epoch = [], 0
+    for score in found:
+        if score is not None:
+            epoch += 1
+            rows += [(epoch, "accuracy", score), (epoch, "loss", 1 - score)]
+    final = stored(pipeline.fit(df))
     score = accuracy(final.transform(df), label)
     rows += [(epoch + 1, "accuracy", score), (epoch + 1, "loss", 1 - score)]
     return spark.createDataFrame(rows, "epoch int, metric_name string, value double"), final

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlab.functions.text import ERROR_LENGTH
@@ -16,11 +16,6 @@ from loomlab.operators.experiments import union_all
 from loomlab.operators.ordered import running
 
 
-def last_value(value: Column, order: Column) -> Column:
-    """The last non-null value in order."""
-    return F.max_by(value, F.when(value.isNotNull(), order))
-
-
 def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
     on = reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
     return left.join(right, on, how)
@@ -33,6 +28,7 @@ def upsert_versioned(models: DataFrame, changes: DataFrame) -> DataFrame:
     any other the newest of its name; no project is a scope of its own. Each change raises the
     version, overwrites code and framework and keeps the description unless it brings one.
     Changes that match nothing create a model, which the later ones of the same key then match.
+    Changes are folded per key before any join, so a name with very many changes is one row there.
     """
 
     def newest(key: str, out: str) -> DataFrame:
@@ -41,29 +37,38 @@ def upsert_versioned(models: DataFrame, changes: DataFrame) -> DataFrame:
             F.max_by("id", F.struct("version", "id")).alias(out)
         )
 
-    asked = changes.withColumns(
-        {
-            "_registry": F.col("registry_name"),
-            "_name": F.when(F.col("registry_name").isNull(), F.col("name")),
-        }
+    seq = F.col("seq")
+    per_key = changes.groupBy(
+        "project_id", "registry_name", F.when(F.col("registry_name").isNull(), F.col("name")).alias("k_name")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.struct("seq", "code", "framework")).alias("last"),
+        F.max(F.when(F.col("description").isNotNull(), F.struct("seq", "description"))).alias("described"),
+        F.min(F.struct("seq", "name")).alias("first"),
     )
     hit = _null_safe(
-        asked, newest("registry_name", "by_registry"), [("project_id", "_by_registry_project"), ("_registry", "_by_registry_key")], "left"
+        per_key, newest("registry_name", "by_registry"), [("project_id", "_by_registry_project"), ("registry_name", "_by_registry_key")], "left"
     )
-    hit = _null_safe(hit, newest("name", "by_name"), [("project_id", "_by_name_project"), ("_name", "_by_name_key")], "left")
+    hit = _null_safe(hit, newest("name", "by_name"), [("project_id", "_by_name_project"), ("k_name", "_by_name_key")], "left")
     target = F.when(F.col("registry_name").isNotNull(), F.col("by_registry")).otherwise(F.col("by_name"))
-    keyed = hit.withColumn("target", target)
     fresh = F.col("target").isNull()
-    seq = F.col("seq")
-    folded = keyed.groupBy(
-        "target",
-        *[F.when(fresh, F.col(c)).alias(k) for c, k in (("_registry", "k_registry"), ("_name", "k_name"), ("project_id", "k_project"))],
+    registered = F.when(F.col("registry_name").isNotNull(), F.struct(F.col("last.seq").alias("seq"), F.col("registry_name").alias("name")))
+    folded = hit.withColumn("target", target).groupBy(
+        "target", *[F.when(fresh, F.col(c)).alias(k) for c, k in (("registry_name", "f_registry"), ("k_name", "f_name"), ("project_id", "f_project"))]
     ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max_by(F.struct("code", "framework"), seq).alias("last"),
-        last_value(F.col("description"), seq).alias("new_description"),
-        last_value(F.col("registry_name"), seq).alias("new_registry"),
-        F.min_by("name", seq).alias("first_name"),
+        F.sum("n").alias("n"),
+        F.max("last").alias("last"),
+        F.max("described").alias("described"),
+        F.max(registered).alias("registered"),
+        F.min("first").alias("first"),
+    ).select(
+        "target",
+        F.col("f_project").alias("k_project"),
+        "n",
+        "last",
+        F.col("described.description").alias("new_description"),
+        F.col("registered.name").alias("new_registry"),
+        F.col("first.name").alias("first_name"),
     )
     merged = models.join(folded, models["id"] == folded["target"], "left")
     touched = F.col("n").isNotNull()
@@ -121,7 +126,7 @@ def mark_read(notifications: DataFrame, listed: DataFrame, everything: DataFrame
 
 def delete_cascade(children: DataFrame, reference: str, deleted: DataFrame, key: str) -> DataFrame:
     """Children without those of deleted parents."""
-    return children.join(deleted.select(F.col(key).alias(reference)), reference, "left_anti")
+    return children.join(deleted.select(F.col(key).alias(reference)).distinct(), reference, "left_anti")
 
 
 def delete_set_null(children: DataFrame, reference: str, deleted: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlab.functions.arrays import mean_abs_difference
+from loomlab.functions.display import fixed_text
 from loomlab.operators.ordered import position, running
 
 SCENE_CHUNK = 1024
@@ -153,7 +154,7 @@ def motion_scores(clips: DataFrame, differences: DataFrame, longest: int) -> Dat
 def valid_clips(scored: DataFrame, min_motion: float = 0.01, audible: DataFrame | None = None) -> DataFrame:
     """Clips that move enough and, where ``audible`` sources are given, have audio."""
     moving = scored.where(F.col("motion") >= min_motion)
-    return moving if audible is None else moving.join(audible.select("source"), "source", "left_semi")
+    return moving if audible is None else moving.join(audible.select("source").distinct(), "source", "left_semi")
 
 
 def frame_stride(frames: DataFrame, source_fps: float, target_fps: float, max_frames: int = 64) -> DataFrame:
@@ -179,7 +180,9 @@ def caption_records(clips: DataFrame, audio: Column) -> DataFrame:
     start, end = F.col("start_time"), F.col("end_time")
     return clips.select(
         clip_hash(F.col("source"), start, end).alias("clip_id"),
-        F.format_string("Video clip from %.1fs to %.1fs", start, end).alias("visual"),
+        F.concat(
+            F.lit("Video clip from "), fixed_text(start, 1, "even"), F.lit("s to "), fixed_text(end, 1, "even"), F.lit("s")
+        ).alias("visual"),
         audio.alias("audio"),
         F.lit("").alias("speech"),
         F.round(end - start, 2).alias("duration_seconds"),

@@ -153,66 +153,65 @@ def exact_quantiles(
         lo, hi = bounds[k]
         return x[k[0]] if lo is None else F.when((x[k[0]] >= lo) & (x[k[0]] <= hi), x[k[0]])
 
+    def sketch_ranks(k) -> list[float]:
+        first, second, _ = targets[k]
+        slack = 2 / accuracy
+        low = max(0.0, (first - below[k]) / inside[k] - slack)
+        return [low, min(1.0, (second - below[k] + 1) / inside[k] + slack)]
+
     open_keys = list(keys)
     while open_keys:
-        aggs = []
-        for i, k in enumerate(open_keys):
-            first, second, _ = targets[k]
-            slack = 2 / accuracy
-            at = [
-                max(0.0, (first - below[k]) / inside[k] - slack),
-                min(1.0, (second - below[k] + 1) / inside[k] + slack),
-            ]
-            aggs.append(F.percentile_approx(member(k), at, accuracy).alias(f"b{i}"))
-        row = df.agg(*aggs).first()
-        narrowed = {k: (row[f"b{i}"][0], row[f"b{i}"][1]) for i, k in enumerate(open_keys)}
+        # quantiles of one column over the same rows share one sketch
+        shared: dict[tuple, list] = {}
+        for k in open_keys:
+            shared.setdefault((k[0], bounds[k]), []).append(k)
+        sketches = [
+            F.percentile_approx(member(ks[0]), [r for k in ks for r in sketch_ranks(k)], accuracy).alias(f"s{i}")
+            for i, ks in enumerate(shared.values())
+        ]
+        row, narrowed = df.agg(*sketches).first(), {}
+        for i, ks in enumerate(shared.values()):
+            for j, k in enumerate(ks):
+                narrowed[k] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
         aggs = []
         for i, k in enumerate(open_keys):
             lo, hi = narrowed[k]
-            kept = F.when((x[k[0]] >= lo) & (x[k[0]] <= hi), x[k[0]])
-            aggs += [
-                F.count(F.when(x[k[0]] < lo, 1)).alias(f"l{i}"),
-                F.count(kept).alias(f"n{i}"),
-                F.approx_count_distinct(kept).alias(f"d{i}"),
-            ]
-        row, again = df.agg(*aggs).first(), []
+            aggs.append(F.count_if(x[k[0]] < lo).alias(f"l{i}"))
+            aggs.append(F.count_if((x[k[0]] >= lo) & (x[k[0]] <= hi)).alias(f"n{i}"))
+        row, wide = df.agg(*aggs).first(), []
         for i, k in enumerate(open_keys):
             first, second, _ = targets[k]
             if not (row[f"l{i}"] <= first and second < row[f"l{i}"] + row[f"n{i}"]):
                 raise ArithmeticError(f"sketch bounds of {k} miss the wanted rank")
-            stuck = narrowed[k] == bounds[k]
+            if row[f"n{i}"] > settle and narrowed[k] != bounds[k]:
+                wide.append(k)
             bounds[k], below[k], inside[k] = narrowed[k], row[f"l{i}"], row[f"n{i}"]
-            if row[f"d{i}"] > settle and not stuck:
-                again.append(k)
-        open_keys = again
-
-    if not keys:
-        return {c: [None] * len(probs) for c in columns}
-    tagged = F.array_compact(
-        F.array(
-            *[
-                F.when(member(k).isNotNull(), F.struct(F.lit(i).alias("k"), member(k).alias("v")))
-                for i, k in enumerate(keys)
-            ]
-        )
-    )
-    counts = df.select(F.explode(tagged).alias("_r")).groupBy("_r.k", "_r.v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v")).alias("upto")
-    ranked = counts.select("k", "v", upto, "n")
-    firsts = F.create_map(*[F.lit(z) for i, k in enumerate(keys) for z in (i, targets[k][0] - below[k])])
-    seconds = F.create_map(*[F.lit(z) for i, k in enumerate(keys) for z in (i, targets[k][1] - below[k])])
-    picked = (
-        ranked.groupBy("k")
-        .agg(
-            F.min(F.when(F.col("upto") > firsts[F.col("k")], F.col("v"))).alias("a"),
-            F.min(F.when(F.col("upto") > seconds[F.col("k")], F.col("v"))).alias("b"),
-        )
-        .collect()
-    )
-    found = {keys[r["k"]]: r["a"] + (r["b"] - r["a"]) * targets[keys[r["k"]]][2] for r in picked}
+        # many rows of few values are counted exactly at once; only many values are narrowed on
+        open_keys = []
+        if wide:
+            row = df.agg(*[F.approx_count_distinct(member(k)).alias(f"d{i}") for i, k in enumerate(wide)]).first()
+            open_keys = [k for i, k in enumerate(wide) if row[f"d{i}"] > settle]
+
+    found = {k: bounds[k][0] for k in keys if bounds[k][0] == bounds[k][1]}
+    counted = [k for k in keys if k not in found]
+    if counted:
+        found.update(_count_ranks(df, {k: member(k) for k in counted}, {k: (below[k], *targets[k]) for k in counted}))
     return {c: [found.get((c, p)) for p in probs] for c in columns}
 
 
+def _count_ranks(df: DataFrame, members: dict, targets: dict) -> dict:
+    """Interpolated values at known ranks among the few distinct values of each bracket."""
+    keys = list(members)
+    entries = [F.when(members[k].isNotNull(), F.struct(F.lit(i).alias("k"), members[k].alias("v"))) for i, k in enumerate(keys)]
+    counts = df.select(F.explode(F.array_compact(F.array(*entries))).alias("_r")).groupBy("_r.k", "_r.v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.select("k", "v", F.sum("n").over(Window.partitionBy("k").orderBy("v")).alias("upto"))
+    wanted = [F.create_map(*[F.lit(z) for i, k in enumerate(keys) for z in (i, targets[k][j] - targets[k][0])]) for j in (1, 2)]
+    values = ranked.groupBy("k").agg(
+        *[F.min(F.when(F.col("upto") > w[F.col("k")], F.col("v"))).alias(n) for n, w in zip("ab", wanted)]
+    )
+    return {keys[r["k"]]: r["a"] + (r["b"] - r["a"]) * targets[keys[r["k"]]][3] for r in values.collect()}
+
+
 def describe(df: DataFrame, columns: list[str], exact: bool = True, digits: int = 4) -> DataFrame:
     """count, mean, std, min, quartiles and max per column; sketch quartiles if not ``exact``."""
     quartiles = exact_quantiles(df, columns) if exact else {}

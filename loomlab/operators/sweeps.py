@@ -99,8 +99,11 @@ def sweep(trials: DataFrame, evaluate: Callable[[DataFrame], DataFrame], minimiz
     ``evaluate`` adds ``objective`` to trials (sweep_id, job_id, parameters…).
     """
     scored = evaluate(trials)
-    history = running_best(scored, minimize)
-    last = history.groupBy("sweep_id").agg(
-        F.max_by(F.struct("completed_trials", "best_value", "best_job"), "job_id").alias("s")
+    job = F.col("job_id") if minimize else -F.col("job_id")
+    score = F.when(F.col("objective").isNotNull(), F.struct(F.col("objective").alias("value"), job.alias("job")))
+    best = (F.min if minimize else F.max)(score)
+    summary = scored.groupBy("sweep_id").agg(F.count(F.lit(1)).alias("completed_trials"), best.alias("b"))
+    best_job = F.col("b.job") if minimize else -F.col("b.job")
+    return running_best(scored, minimize), summary.select(
+        "sweep_id", "completed_trials", F.col("b.value").alias("best_value"), best_job.alias("best_job")
     )
-    return history, last.select("sweep_id", "s.*")

@@ -228,7 +228,8 @@ def metric_keys(lab: Lab):
     s AS (SELECT *, contains(key, 'acc') OR contains(key, 'f1') AS score FROM a),
     m AS (SELECT job_id, max(v) AS top FROM s WHERE score GROUP BY 1)
     SELECT s.job_id, 'job-' || left(CAST(s.job_id AS VARCHAR), 4) AS label, key, replace(key, '_', ' ') AS title, round(v, 9) AS value,
-      CASE WHEN score THEN printf('%.1f%%', v * 100) ELSE printf('%.4f', v) END AS shown,
+      CASE WHEN score THEN printf('%.1f%%', v * 100 + CASE WHEN v * 400 % 2 = 1 THEN 0.01 ELSE 0 END)
+           ELSE printf('%.4f', v + CASE WHEN v * 32 % 2 = 1 THEN 0.00001 ELSE 0 END) END AS shown,
       CASE WHEN contains(key, 'loss') THEN '#ef4444' WHEN contains(key, 'train') THEN '#8b5cf6' WHEN contains(key, 'val') THEN '#f59e0b'
            WHEN contains(key, 'test') THEN '#10b981' WHEN contains(key, 'f1') THEN '#3b82f6' WHEN contains(key, 'acc') THEN '#10b981'
            ELSE '#d4d4d4' END AS color,

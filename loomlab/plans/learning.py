@@ -153,5 +153,5 @@ def cv_train(lab: Lab):
 def batch_inference(lab: Lab):
     """Every labeled document scored by the fitted classifier."""
     rows = labeled(lab)
-    model = learning.classifier(FEATURES, ["lang"], "quality").fit(rows)
+    model = learning.stored(learning.classifier(FEATURES, ["lang"], "quality").fit(rows))
     return model.transform(rows).select("doc_id", F.col("prediction").cast("int").alias("predicted_quality"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,24 +98,30 @@ def open_source(spark: SparkSession, kind: str, batch_size: int | None = None, t
 
 
 FRAME_SCHEMA = "source string, pts bigint, frame binary, error string"
+FRAMES_PER_BATCH = 512
 Decoder = Callable[[bytes], Iterator[tuple[int, bool, bytes]]]
 
 
 def decode_keyframes(files: DataFrame, decoder: Decoder) -> DataFrame:
     """Keyframes of each file (path, content) through a decoder of (pts, is key, pixels).
 
-    A file that cannot be read gives one row with the error instead of ending the job.
+    A file that cannot be read gives a row with the error, after the keyframes read before it,
+    instead of ending the job. Frames leave in small batches, so no file is held decoded.
     """
 
+    def frame_rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for pts, key, frame in decoder(bytes(content)):
+                if key:
+                    yield path, pts, frame, None
+        except Exception as problem:  # a broken file must not end the job
+            yield path, None, None, str(problem)
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = []
-                try:
-                    rows = [(path, pts, frame, None) for pts, key, frame in decoder(bytes(content)) if key]
-                except Exception as problem:  # a broken file must not end the job
-                    rows = [(path, None, None, str(problem))]
-                out = pd.DataFrame(rows, columns=["source", "pts", "frame", "error"])
+            rows = chain.from_iterable(map(frame_rows, batch["path"], batch["content"]))
+            while held := list(islice(rows, FRAMES_PER_BATCH)):
+                out = pd.DataFrame(held, columns=["source", "pts", "frame", "error"])
                 out["pts"] = out["pts"].astype("Int64")
                 yield out
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from loomlab.operators.grouped import moment
 from loomlab.session import scratch
 
 # Fixed values of the stream protocol.
@@ -67,7 +68,7 @@ def upsert_snapshots(spark: SparkSession, stream: DataFrame, keys: list[str], pa
 def job_state(metrics: DataFrame) -> DataFrame:
     """Newest loss, learning rate, progress (truncated) and epoch per job; batch or stream."""
     name = F.col("metric_name")
-    order = F.struct("recorded_at", "id")
+    order = moment("recorded_at", "id")
 
     def newest(value: Column, chosen: Column) -> Column:
         return F.max_by(value, F.when(chosen, order))
