@@ -235,9 +235,8 @@ def compare_table(runs: DataFrame) -> DataFrame:
 
 def version_history(updates: DataFrame) -> DataFrame:
     """Every update of a model as a version row; all but the newest are archived."""
-    placed = running(updates, ["model_id"], "id", {"version": ("count", F.lit(1))})
-    totals = updates.groupBy("model_id").agg(F.count(F.lit(1)).alias("_total"))
-    return placed.join(totals, "model_id").withColumn("archived", F.col("version") < F.col("_total")).drop("_total")
+    walked = running(updates, ["model_id"], "id", {"version": ("count", F.lit(1)), "_total": ("total", F.lit(1))})
+    return walked.withColumn("archived", F.col("version") < F.col("_total")).drop("_total")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-GROUP_LIMIT_CEILING = 1000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def moment(at: str, ident: str) -> Column:
@@ -31,19 +30,13 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key, with their one-based rank.
 
-    Up to 1000 rows Spark cuts each map task's share of a group to ``k`` rows before the shuffle.
-    For larger ``k`` a salted first round does the same.
+    Spark cuts every map task's share of a group to ``k`` rows before the shuffle, so a group of
+    any size arrives small. It does so up to a threshold, which is raised to ``k`` if need be.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < k:
+        conf.set(GROUP_LIMIT, str(k))
     window = Window.partitionBy(*keys).orderBy(*order)
-    if k > GROUP_LIMIT_CEILING:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_first", F.row_number().over(first))
-            .where(F.col("_first") <= k)
-            .drop("_salt", "_first")
-        )
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 

@@ -70,29 +70,18 @@ def upsert_versioned(models: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("registered.name").alias("new_registry"),
         F.col("first.name").alias("first_name"),
     )
-    merged = models.join(folded, models["id"] == folded["target"], "left")
-    touched = F.col("n").isNotNull()
-    updated = merged.select(
+    merged = models.join(folded, models["id"] == folded["target"], "full")
+    known, touched = models["id"].isNotNull(), F.col("n").isNotNull()
+    return merged.select(
         models["id"],
-        models["name"],
+        F.when(known, models["name"]).otherwise(F.col("first_name")).alias("name"),
         F.coalesce("new_registry", models["registry_name"]).alias("registry_name"),
-        models["project_id"],
-        (models["version"] + F.coalesce("n", F.lit(0))).alias("version"),
+        F.when(known, models["project_id"]).otherwise(F.col("k_project")).alias("project_id"),
+        (F.coalesce(models["version"], F.lit(0)) + F.coalesce("n", F.lit(0))).alias("version"),
         F.when(touched, F.col("last.code")).otherwise(models["code"]).alias("code"),
         F.when(touched, F.col("last.framework")).otherwise(models["framework"]).alias("framework"),
         F.coalesce("new_description", models["description"]).alias("description"),
     )
-    created = folded.where(F.col("target").isNull()).select(
-        F.lit(None).cast(models.schema["id"].dataType).alias("id"),
-        F.col("first_name").alias("name"),
-        F.col("new_registry").alias("registry_name"),
-        F.col("k_project").alias("project_id"),
-        F.col("n").alias("version"),
-        F.col("last.code").alias("code"),
-        F.col("last.framework").alias("framework"),
-        F.col("new_description").alias("description"),
-    )
-    return updated.unionByName(created)
 
 
 def publish_version(updates: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ chunks contribute. Both frames meet in an equi join on (group, chunk).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +18,14 @@ WIDTH = 65_536
 AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_chunk", F.expr(f"`{order}` div {width}"))
-
+def _chunked(df: DataFrame, group: list[str], order: str, width: int) -> DataFrame:
+    """Add the chunk number and the group as one struct.
 
-def _attach(rows: DataFrame, carry: DataFrame, group: list[str]) -> DataFrame:
-    """Join chunk carries to the rows; null group keys match each other."""
-    keys = [*group, "_chunk"]
-    renamed = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in carry.columns if c not in keys])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return rows.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys], "_chunk")
+    A struct is never null and equal structs may hold nulls, so null groups join like others.
+    Windows and join share this key, so the rows are shuffled once.
+    """
+    key = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)]) if group else F.lit(0)
+    return df.withColumns({"_group": key, "_chunk": F.expr(f"`{order}` div {width}")})
 
 
 def running(
@@ -37,15 +33,15 @@ def running(
 ) -> DataFrame:
     """Add running aggregates over all rows of the group up to and including the current one.
 
-    ``aggs`` maps a new column to (kind, value), kind one of count, sum, min, max or previous
-    (the value of the row before, null for the first). Null values are ignored as SQL aggregates
-    do; struct values compare field by field.
+    ``aggs`` maps a new column to (kind, value), kind one of count, sum, min, max, previous (the
+    value of the row before, null for the first) or total (the count over the whole group). Null
+    values are ignored as SQL aggregates do; struct values compare field by field.
     """
-    inner_order = Window.partitionBy(*group, "_chunk").orderBy(order)
-    outer_order = Window.partitionBy(*group).orderBy("_chunk")
+    inner_order = Window.partitionBy("_group", "_chunk").orderBy(order)
+    outer_order = Window.partitionBy("_group").orderBy("_chunk")
     inner = inner_order.rowsBetween(Window.unboundedPreceding, 0)
     outer = outer_order.rowsBetween(Window.unboundedPreceding, -1)
-    chunked = _chunked(df, order, width)
+    chunked = _chunked(df, group, order, width)
     summaries, carried, here, merged = [], [], [], []
     for name, (kind, value) in aggs.items():
         total, carry, own = f"_s_{name}", F.col(f"_c_{name}"), F.col(f"_i_{name}")
@@ -56,6 +52,11 @@ def running(
             here.append(F.lag(boxed).over(inner_order).alias(f"_i_{name}"))
             merged.append(F.coalesce(own, carry)["v"].alias(name))
             continue
+        if kind == "total":
+            summaries.append(F.count(value).alias(total))
+            carried.append(F.sum(total).over(Window.partitionBy("_group")).alias(f"_c_{name}"))
+            merged.append(carry.alias(name))
+            continue
         combine = F.sum if kind == "count" else AGGREGATES[kind]
         summaries.append(AGGREGATES[kind](value).alias(total))
         carried.append(combine(total).over(outer).alias(f"_c_{name}"))
@@ -65,8 +66,9 @@ def running(
             merged.append(added.alias(name))
         else:
             merged.append((F.least if kind == "min" else F.greatest)(own, carry).alias(name))
-    carry_rows = chunked.groupBy(*group, "_chunk").agg(*summaries).select(*group, "_chunk", *carried)
-    joined = _attach(chunked.select("*", *here), carry_rows, group)
+    keys = ["_group", "_chunk"]
+    carry_rows = chunked.groupBy(*keys).agg(*summaries).select(*keys, *carried)
+    joined = chunked.select("*", *here).join(carry_rows, keys)
     return joined.select(*df.columns, *merged)
 
 

@@ -215,13 +215,14 @@ def json_dir_stream(lab: Lab):
 
 @query(
     "caption_export",
-    f"WITH RECURSIVE {media_plans.CAPTIONS} SELECT *, 24 AS fps, [256, 256]::INTEGER[] AS resolution, 16000 AS audio_sample_rate FROM captions",
+    f"WITH RECURSIVE {media_plans.CAPTIONS} SELECT *, 24 AS fps, '256x256' AS resolution, 16000 AS audio_sample_rate FROM captions",
 )
 def caption_export(lab: Lab):
     path = scratch(lab.spark, "captions")
     exported = samples.export_captions(media_plans.captions(lab))
     exported.write.json(path)
-    return lab.spark.read.schema(exported.schema).json(path)
+    stored = lab.spark.read.schema(exported.schema).json(path)
+    return stored.withColumn("resolution", F.concat_ws("x", F.col("resolution").cast("array<string>")))
 
 
 def line_decoder(content: bytes):

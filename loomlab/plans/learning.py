@@ -81,7 +81,7 @@ def sweep(lab: Lab):
     trials = lab.raw("orders").select(F.col("o_custkey").alias("sweep_id"), F.col("o_orderkey").alias("job_id"), "o_orderstatus")
     drawn = sweeps.random_trials(trials, SPACE, ["sweep_id", "job_id"], seed=7)
     _, summary = sweeps.sweep(drawn, evaluate(lab), minimize=True)
-    return summary
+    return summary.withColumn("best_value", F.round("best_value", 4))
 
 
 @query(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,21 +102,31 @@ def shard_summary(placed: DataFrame, order: str) -> DataFrame:
     )
 
 
+def _file_system(folder: str):
+    """The file system of a Spark path and the path within it."""
+    scheme, _, rest = folder.partition(":")
+    if not rest:
+        return fs.LocalFileSystem(), folder
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def write_tar_shards(placed: DataFrame, order: str, files: dict[str, str], folder: str) -> DataFrame:
     """Write one tar per shard into a shared folder; a shard never exceeds its sample count.
 
     ``files`` maps a file suffix to the text or binary column it holds. Returns (shard_name, n).
-    A repeated attempt writes the same bytes to the same name.
+    Each attempt writes a draft of its own and moves it into place, so a lost or repeated task
+    leaves whole shards only.
     """
     kept = ["shard_name", order, *files.values()]
 
     def write(shard: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         name = shard["shard_name"].iloc[0]
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = _file_system(folder)
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{name}") as sink, tarfile.open(fileobj=sink, mode="w|") as tar:
+        draft = f"{base}/.{name}.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as sink, tarfile.open(fileobj=sink, mode="w|") as tar:
             for _, row in shard.sort_values(order).iterrows():
                 for suffix, column in files.items():
                     value = row[column]
@@ -124,6 +136,7 @@ def write_tar_shards(placed: DataFrame, order: str, files: dict[str, str], folde
                     info = tarfile.TarInfo(f"{row[order]}{suffix}")
                     info.size = len(data)
                     tar.addfile(info, io.BytesIO(data))
+        store.move(draft, f"{base}/{name}")
         return pd.DataFrame({"shard_name": [name], "n": [len(shard)]})
 
     return placed.select(*dict.fromkeys(kept)).groupBy("shard_name").applyInPandas(write, "shard_name string, n bigint")

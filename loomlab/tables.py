@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATUS_OF = {"F": "completed", "O": "running", "P": "pending"}
-
-
 def status_of(letter: Column) -> Column:
     expr = F.when(letter == "F", F.lit("completed"))
     return expr.when(letter == "O", F.lit("running")).otherwise(F.lit("pending"))
@@ -31,10 +28,14 @@ class Lab:
         return self.spark.read.parquet(self.path(name))
 
     def stream(self, name: str) -> DataFrame:
-        """The table as a file stream; it may be one file or a folder of part files."""
-        schema = self.raw(name).schema
-        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", "64")
-        return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(self.folder)
+        """The table as a file stream; it may be a folder of part files or one file.
+
+        File streams start from folders, so a single file is picked out of its folder by name.
+        """
+        reader = self.spark.readStream.schema(self.raw(name).schema).option("maxFilesPerTrigger", "1000")
+        if is_folder(self.spark, self.path(name)):
+            return reader.parquet(self.path(name))
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     # metric points, log lines, notifications -------------------------------------------
 
@@ -174,6 +175,11 @@ class Lab:
         )
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def as_metrics(events: DataFrame) -> DataFrame:
     """Metric points of an event frame (batch or stream)."""
     step = F.get_json_object("props", "$.k").cast("int")

@@ -30,14 +30,28 @@ def test_running_equals_plain_window(rows, width):
         F.min("v").over(w).alias("lo"),
         F.max("v").over(w).alias("hi"),
         F.lag("v").over(Window.partitionBy("g").orderBy("k")).alias("prev"),
+        F.count("v").over(Window.partitionBy("g")).alias("all"),
     )
     v = F.col("v")
     ours = running(
-        rows, ["g"], "k", {"c": ("count", v), "s": ("sum", v), "lo": ("min", v), "hi": ("max", v), "prev": ("previous", v)}, width
+        rows, ["g"], "k", {"c": ("count", v), "s": ("sum", v), "lo": ("min", v), "hi": ("max", v), "prev": ("previous", v), "all": ("total", v)}, width
     )
     assert sorted(map(str, ours.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_rows_are_shuffled_once(spark, rows):
+    """The windows and the join use one partitioning; the other exchanges carry chunk summaries."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = running(rows.select("g", "k", F.col("v").alias("payload")), ["g"], "k", {"n": ("count", F.lit(1))})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffled = [line for line in plan.split("\n") if "Exchange hashpartitioning(_group" in line]
+    assert len(shuffled) == 4 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 @pytest.mark.parametrize("width", [1, 13, 100_000])
 def test_positions(rows, width):
     ours = {r["k"]: (r["position"], r["index"]) for r in global_index(position(rows, ["g"], "k", width=width), "k", width=width).collect()}
@@ -70,8 +84,9 @@ def test_top_per_group(rows, k):
     assert got == want
 
 
-def test_limit_is_applied_before_the_shuffle(rows):
-    plan = top_per_group(rows, ["g"], [F.col("k").desc()], 3)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("k", [3, 4000])
+def test_limit_is_applied_before_the_shuffle(rows, k):
+    plan = top_per_group(rows, ["g"], [F.col("k").desc()], k)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
