@@ -6,6 +6,7 @@ measured it below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both oth
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,23 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def contains_pattern(text: Column, q: str) -> Column:
+    """``text ILIKE '%q%'``, where ``%`` and ``_`` in ``q`` keep their meaning.
+
+    With ``%`` only, the literal parts are looked for one after the other, each behind the first
+    place of the one before. That reads a text once, while a regular expression with several
+    wildcards starts over at every candidate.
+    """
+    if "_" in q or "\\" in q:
+        return text.ilike(f"%{q}%")
+    rest, parts = F.lower(text), [p for p in q.lower().split("%") if p]
+    if not parts:
+        return text.isNotNull()
+    for part in parts[:-1]:
+        rest = F.get(F.split(rest, re.escape(part), 2), F.lit(1))
+    return rest.contains(parts[-1])
+
+
 # listings ----------------------------------------------------------------------------------
 
 
@@ -65,7 +83,8 @@ def tail_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 def recent_distinct(searches: DataFrame, n: int = 8) -> DataFrame:
     """Each user's ``n`` latest distinct queries; using one again moves it to the front."""
-    last_use = searches.groupBy("user_id", "query").agg(F.max("at").alias("last_used"))
+    said = searches.withColumn("query", F.trim("query")).where(F.col("query") != "")
+    last_use = said.groupBy("user_id", "query").agg(F.max("at").alias("last_used"))
     return top_per_group(last_use, ["user_id"], [F.col("last_used").desc(), F.col("query")], n)
 
 
@@ -78,28 +97,27 @@ def search_items(
     fields: list[str],
     q: str,
     limit: int,
-    recency: Column,
     name: Column,
     href: Column,
+    recency: Column | None = None,
     description: Column | None = None,
+    icon_hint: Column | None = None,
     status: Column | None = None,
 ) -> DataFrame:
     """The newest ``limit`` rows of one table with a field that contains ``q``, as hit records.
 
-    Wildcards in ``q`` keep their meaning. The limit is a top-k, so only ``limit`` rows per
-    task leave the scan stage.
+    Wildcards in ``q`` keep their meaning. Without a recency the id decides. The limit is a top-k,
+    so only ``limit`` rows per task leave the scan stage.
     """
     absent = F.lit(None).cast("string")
-    hits = df.where(any_of([F.col(f).ilike(f"%{q}%") for f in fields]))
+    hits = df.where(any_of([contains_pattern(F.col(f), q) for f in fields]))
+    texts = {"name": name, "description": description, "href": href, "icon_hint": icon_hint, "status": status}
     return (
         hits.select(
             F.lit(category).alias("category"),
             F.col("id").cast("long").alias("id"),
-            name.alias("name"),
-            (absent if description is None else description).alias("description"),
-            href.alias("href"),
-            (absent if status is None else status).alias("status"),
-            recency.cast("long").alias("recency"),
+            *[(absent if text is None else text).alias(field) for field, text in texts.items()],
+            (F.col("id") if recency is None else recency).cast("long").alias("recency"),
         )
         .orderBy(F.col("recency").desc(), F.col("id").desc())
         .limit(limit)

@@ -36,58 +36,75 @@ def dataset_manifest(lab: Lab):
 
 
 def search(lab: Lab, q: str, limit: int, category: str | None = None):
-    """Hits in every category, or in one."""
-    parts = lab.raw("part").withColumnsRenamed({"p_partkey": "id"})
-    jobs = lab.jobs().withColumn("id", F.col("id"))
-    href = F.when(F.col("tier") == "1-URGENT", F.lit("/inference/")).otherwise(F.lit("/training/"))
-    key = F.col("id")
-    name = F.col("name")
+    """Hits in all nine categories, or in one."""
+
+    def link(place: str):
+        return F.concat(F.lit(f"/{place}/"), F.col("id"))
+
+    name, description, status = F.col("name"), F.col("description"), F.col("status")
+    urgent = F.when(F.col("tier") == "1-URGENT", link("inference")).otherwise(link("training"))
+    created = F.unix_seconds(F.col("created_at").cast("timestamp"))
+
+    def table(source: str, **columns: str):
+        return lab.raw(source).select(*[F.expr(e).alias(c) for c, e in columns.items()])
+
     makers = {
-        "projects": lambda: cat.search_items(
-            lab.projects(), "projects", ["name"], q, limit, key, name, F.concat(F.lit("/projects/"), key)
+        "projects": lambda c: cat.search_items(lab.projects(), c, ["name"], q, limit, name, link(c)),
+        "models": lambda c: cat.search_items(
+            lab.models(), c, ["name", "framework"], q, limit, name, link(c), icon_hint=F.col("framework")
         ),
-        "models": lambda: cat.search_items(
-            lab.models(), "models", ["name", "framework"], q, limit, key, name, F.concat(F.lit("/models/"), key), F.col("framework")
+        "datasets": lambda c: cat.search_items(
+            table("part", id="p_partkey", name="p_name", description="p_brand", format="p_type"),
+            c, ["name", "description", "format"], q, limit, name, link(c), description=description, icon_hint=F.col("format"),
         ),
-        "datasets": lambda: cat.search_items(
-            parts, "datasets", ["p_name", "p_type", "p_brand"], q, limit, key, F.col("p_name"), F.concat(F.lit("/datasets/"), key), F.col("p_brand")
+        "experiments": lambda c: cat.search_items(
+            table("benchmark", id="item_id", name="left(text, 40)", description="text"),
+            c, ["name", "description"], q, limit, name, link(c), description=description,
         ),
-        "endpoints": lambda: cat.search_items(
-            lab.endpoints(), "endpoints", ["name", "status"], q, limit, key, name, F.concat(F.lit("/monitoring/"), key), status=F.col("status")
+        "training": lambda c: cat.search_items(
+            lab.jobs(), c, ["tier", "status"], q, limit, F.concat(F.col("tier"), F.lit(" — "), status), urgent, created,
+            F.concat(F.lit("Status: "), status), F.col("tier"), status,
         ),
-        "training": lambda: cat.search_items(
-            jobs,
-            "training",
-            ["tier", "status"],
-            q,
-            limit,
-            F.unix_seconds(F.col("created_at").cast("timestamp")),
-            F.concat(F.col("tier"), F.lit(" — "), F.col("status")),
-            F.concat(href, key),
-            F.concat(F.lit("Status: "), F.col("status")),
-            F.col("status"),
+        "workspaces": lambda c: cat.search_items(
+            lab.endpoints(), c, ["name", "status"], q, limit, name, F.lit("/workspaces"),
+            description=F.concat(F.col("replicas").cast("string"), F.lit(" — "), status), status=status,
         ),
-        "documents": lambda: cat.search_items(
-            lab.raw("documents").withColumnsRenamed({"doc_id": "id"}), "documents", ["text", "source"], q, limit, key, F.col("source"), F.concat(F.lit("/documents/"), key), F.col("lang")
+        "features": lambda c: cat.search_items(
+            table("documents", id="doc_id", name="source", description="text", kind="lang"),
+            c, ["name", "description", "kind"], q, limit, name, F.lit("/features"), description=description, icon_hint=F.col("kind"),
+        ),
+        "visualizations": lambda c: cat.search_items(
+            table("pages", id="page_id", name="url", description="html"),
+            c, ["name", "description"], q, limit, name, link(c),
+        ),
+        "data_sources": lambda c: cat.search_items(
+            table("region", id="r_regionkey", name="r_name"), c, ["name"], q, limit, name, F.lit("/data-sources"),
+            description=F.concat(F.lit("Type: "), name), icon_hint=name,
         ),
     }
     wanted = [category] if category else list(makers)
-    return cat.rank_hits([makers[c]() for c in wanted])
+    return cat.rank_hits([makers[c](c) for c in wanted])
 
 
 def _hits_sql(q: str, limit: int) -> str:
-    def one(category, fields, table, recency, name, href, description="CAST(NULL AS VARCHAR)", status="CAST(NULL AS VARCHAR)", key="id"):
+    absent = "CAST(NULL AS VARCHAR)"
+
+    def one(category, fields, table, key, name, href, recency=None, description=absent, icon=absent, status=absent):
         where = " OR ".join(f"{f} ILIKE '%{q}%'" for f in fields)
         return f"""(SELECT '{category}' AS category, CAST({key} AS BIGINT) AS id, {name} AS name, {description} AS description, {href} AS href,
-          {status} AS status, CAST({recency} AS BIGINT) AS recency FROM {table} WHERE {where} ORDER BY recency DESC, id DESC LIMIT {limit})"""
+          {icon} AS icon_hint, {status} AS status, CAST({recency or key} AS BIGINT) AS recency FROM {table} WHERE {where} ORDER BY recency DESC, id DESC LIMIT {limit})"""
 
     selects = [
-        one("projects", ["n_name"], "nation", "n_nationkey", "n_name", "'/projects/' || n_nationkey", key="n_nationkey"),
-        one("models", ["c_name", "c_mktsegment"], "customer", "c_custkey", "c_name", "'/models/' || c_custkey", "c_mktsegment", key="c_custkey"),
-        one("datasets", ["p_name", "p_type", "p_brand"], "part", "p_partkey", "p_name", "'/datasets/' || p_partkey", "p_brand", key="p_partkey"),
-        one("endpoints", ["name", "status"], "endpoints", "id", "name", "'/monitoring/' || id", status="status"),
-        one("training", ["tier", "status"], "jobs", "epoch(created_at)", "tier || ' — ' || status", "CASE tier WHEN '1-URGENT' THEN '/inference/' ELSE '/training/' END || id", "'Status: ' || status", "status"),
-        one("documents", ["text", "source"], "documents", "doc_id", "source", "'/documents/' || doc_id", "lang", key="doc_id"),
+        one("projects", ["n_name"], "nation", "n_nationkey", "n_name", "'/projects/' || n_nationkey"),
+        one("models", ["c_name", "c_mktsegment"], "customer", "c_custkey", "c_name", "'/models/' || c_custkey", icon="c_mktsegment"),
+        one("datasets", ["p_name", "p_type", "p_brand"], "part", "p_partkey", "p_name", "'/datasets/' || p_partkey", description="p_brand", icon="p_type"),
+        one("experiments", ["text"], "benchmark", "item_id", "left(text, 40)", "'/experiments/' || item_id", description="text"),
+        one("training", ["tier", "status"], "jobs", "id", "tier || ' — ' || status", "CASE tier WHEN '1-URGENT' THEN '/inference/' ELSE '/training/' END || id",
+            "epoch(created_at)", "'Status: ' || status", "tier", "status"),
+        one("workspaces", ["name", "status"], "endpoints", "id", "name", "'/workspaces'", description="replicas || ' — ' || status", status="status"),
+        one("features", ["source", "text", "lang"], "documents", "doc_id", "source", "'/features'", description="text", icon="lang"),
+        one("visualizations", ["url", "html"], "pages", "page_id", "url", "'/visualizations/' || page_id"),
+        one("data_sources", ["r_name"], "region", "r_regionkey", "r_name", "'/data-sources'", description="'Type: ' || r_name", icon="r_name"),
     ]
     return f"WITH {JOBS}, {ENDPOINTS}, hits AS (" + " UNION ALL ".join(selects) + ")"
 

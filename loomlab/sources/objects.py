@@ -94,6 +94,8 @@ def open_source(spark: SparkSession, kind: str, batch_size: int | None = None, t
         rows = jdbc_scan(spark, options["db_url"], options["query"], options.get("fetch", 1000), options.get("split"))
     else:
         rows = object_scan(spark, options["path"], options.get("pattern"))
+        if "decoder" in options:
+            rows = decode_keyframes(rows.select(F.col("key").alias("path"), F.col("data").alias("content")), options["decoder"])
     return rows.transform(transform) if transform else rows
 
 

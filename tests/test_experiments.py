@@ -112,6 +112,14 @@ def test_registry_search(spark):
     assert names(cat.registry_search(index, "titanic", category="vision")) == []
 
 
+@pytest.mark.parametrize("q", ["a%b", "B%A", "a.b", "%", "", "_b", "a%b%a", "x%%y", "é%1", "a\\\\%b"])
+def test_search_patterns_equal_ilike(spark, q):
+    texts = ["ab", "ba", "a.b", "xAbby", "aab ba", "", "x--y", "É and 1", "1 é", "a%b", "aXbXa", None, "a\nb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(cat.contains_pattern(F.col("t"), q).alias("a"), F.col("t").ilike(f"%{q}%").alias("b")).collect()
+    assert [bool(r["a"]) for r in got] == [bool(r["b"]) for r in got]
+
+
 def test_resolve_prefers_the_id(spark):
     rows = spark.createDataFrame([(1, "7", 1), (7, "x", 2), (8, "x", 3)], "id long, name string, created_at long")
     asked = spark.createDataFrame([("7",), ("x",), ("?",)], "request string")

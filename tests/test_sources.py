@@ -101,6 +101,13 @@ def test_open_object_source(spark, tmp_path):
     assert [(r["bytes"], bytes(r["data"]), r["n"]) for r in rows] == [(3, b"abc", 3)]
 
 
+def test_open_video_source_decodes(spark, tmp_path):
+    (tmp_path / "v.mp4").write_bytes(b"abcd")
+    decoder = lambda content: ((i, i % 2 == 0, bytes([b])) for i, b in enumerate(content))
+    rows = objects.open_source(spark, "video", path=str(tmp_path), pattern="*.mp4", decoder=decoder).collect()
+    assert [(r["pts"], bytes(r["frame"])) for r in rows] == [(0, b"a"), (2, b"c")]
+
+
 def test_broken_files_become_error_rows(spark):
     def decoder(content):
         if not content:

@@ -5,7 +5,13 @@ import os
 from __spark_entry__ import queries
 from loomlab.streaming.metrics import append_to
 from loomlab.session import scratch
-from loomlab.tables import Lab
+from loomlab.tables import SCHEMAS, Lab
+
+
+def test_schemas_are_those_of_the_files(spark, folder):
+    lab = Lab(spark, folder)
+    for name in SCHEMAS:
+        assert lab.raw(name).schema == spark.read.parquet(lab.path(name)).schema, name
 
 
 def test_streams_read_files_and_folders(spark, folder, tmp_path):
