@@ -16,7 +16,7 @@ from loomlab.operators.experiments import running_best
 
 # Bounds used where a spec names none.
 DEFAULT_BOUNDS = {"uniform": (0.0, 1.0), "log_uniform": (1e-5, 1e-1), "int_range": (0, 10)}
-RESOLUTION = 2**53
+DRAWN_DIGITS = 13
 
 
 def bounds_of(spec: dict) -> tuple:
@@ -32,10 +32,11 @@ def choices(spec: dict) -> Column | None:
 def draw(name: str, seed: int, *keys: str) -> Column:
     """A number in [0, 1) that depends on the trial and the parameter only.
 
-    Unlike ``rand`` it does not change with the partitioning or when a task is run again.
+    Unlike ``rand`` it does not change with the partitioning or when a task is run again, and any
+    database can draw the same: it is the first 13 hexadecimal digits of an MD5 sum.
     """
-    hashed = F.xxhash64(F.lit(seed), F.lit(name), *keys)
-    return F.pmod(hashed, F.lit(RESOLUTION)) / F.lit(float(RESOLUTION))
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(name), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, DRAWN_DIGITS), 16, 10).cast("double") / F.lit(16.0**DRAWN_DIGITS)
 
 
 def sample(spec: dict, u: Column) -> Column:

@@ -102,13 +102,21 @@ def dataset_catalog_backfill(lab: Lab):
     return datasets.backfill_catalog(catalog, computed.withColumn("schema", F.lit("computed")))
 
 
-@query("object_scan")
+PARSED = "doc_id long, text string"
+
+
+def parsed_objects(objects_):
+    """The records inside scanned objects of JSON lines."""
+    lines = objects_.select(F.explode(F.split(F.decode("data", "utf-8"), "\n")).alias("line")).where(F.col("line") != "")
+    return lines.select(F.from_json("line", PARSED).alias("r")).select("r.doc_id", F.md5("r.text").alias("digest"))
+
+
+@query("object_scan", "SELECT doc_id, md5(text) AS digest FROM documents")
 def object_scan(lab: Lab):
-    """Documents exported as objects, then listed and read back as (key, bytes)."""
+    """Documents exported as objects, then listed, read as bytes and parsed."""
     prefix = scratch(lab.spark, "objects")
-    lab.raw("documents").write.option("maxRecordsPerFile", 200).json(prefix)
-    found = objects.object_scan(lab.spark, prefix, "*.json")
-    return found.select(F.length("data").cast("bigint").alias("read"), "bytes", F.md5("data").alias("digest"))
+    lab.raw("documents").select("doc_id", "text").write.option("maxRecordsPerFile", 200).json(prefix)
+    return parsed_objects(objects.object_scan(lab.spark, prefix, "*.json"))
 
 
 @query("media_discovery")

@@ -38,10 +38,26 @@ def grid_trials(lab: Lab):
     return sweeps.grid_trials(planned(lab), GRID, "job_id")
 
 
-@query("random_trials")
+def _draw(name: str) -> str:
+    return f"CAST('0x' || left(md5('7|{name}|' || sweep_id || '|' || job_id), 13) AS BIGINT) / {16.0**13}::DOUBLE"
+
+
+DRAWN = f"""drawn AS (SELECT *, ([16, 32, 64])[CAST(floor({_draw('batch_size')} * 3) AS INTEGER) + 1] AS batch_size,
+  5 + CAST(floor({_draw('epochs')} * 46) AS BIGINT) AS epochs,
+  exp(ln(1e-5::DOUBLE) + {_draw('lr')} * (ln(1e-1::DOUBLE) - ln(1e-5::DOUBLE))) AS lr, {_draw('momentum')} AS momentum
+  FROM (SELECT o_custkey AS sweep_id, o_orderkey AS job_id, o_orderstatus FROM orders))"""
+
+
+@query(
+    "random_trials",
+    f"""WITH {DRAWN} SELECT sweep_id, job_id, batch_size, epochs, round(lr, 10) AS lr, round(momentum, 10) AS momentum, CAST(NULL AS VARCHAR) AS unknown
+    FROM drawn""",
+)
 def random_trials(lab: Lab):
     drawn = sweeps.random_trials(planned(lab), SPACE, ["sweep_id", "job_id"], seed=7)
-    return drawn.withColumn("unknown", F.col("unknown").cast("string"))
+    return drawn.withColumns(
+        {"lr": F.round("lr", 10), "momentum": F.round("momentum", 10), "unknown": F.col("unknown").cast("string")}
+    )
 
 
 @query(
@@ -75,7 +91,13 @@ def evaluate(lab: Lab):
     return score
 
 
-@query("sweep")
+@query(
+    "sweep",
+    f"""WITH {DRAWN}, stats AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM orders),
+    scored AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN sqrt(d * d + power(m * (1 - lr * epochs) + momentum * batch_size - m, 2)) END AS objective FROM drawn, stats)
+    SELECT sweep_id, count(*) AS completed_trials, round(min(objective), 4) AS best_value, arg_min(job_id, {{'v': objective, 'j': job_id}}) FILTER (objective IS NOT NULL) AS best_job
+    FROM scored GROUP BY 1""",
+)
 def sweep(lab: Lab):
     """Random trials of every sweep, evaluated in parallel and folded to one row per sweep."""
     trials = lab.raw("orders").select(F.col("o_custkey").alias("sweep_id"), F.col("o_orderkey").alias("job_id"), "o_orderstatus")

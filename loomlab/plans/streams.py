@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlab.operators import profile
+from loomlab.plans.io import parsed_objects
 from loomlab.plans.registry import JOBS, METRICS, query
 from loomlab.session import scratch
 from loomlab.streaming import metrics as st
@@ -135,11 +136,11 @@ def refresh_snapshot(lab: Lab):
     )
 
 
-@query("media_stream")
+@query("media_stream", "SELECT doc_id, md5(text) AS digest FROM documents")
 def media_stream(lab: Lab):
     """Exported documents picked up file by file as they arrive."""
     folder = scratch(lab.spark, "incoming")
     lab.raw("documents").select("doc_id", "text").write.option("maxRecordsPerFile", 250).json(folder)
     files = st.media_stream(lab.spark, folder, "*.json")
     landed = st.append_to(lab.spark, files, scratch(lab.spark, "arrived"))
-    return landed.select("bytes", F.md5("data").alias("digest"))
+    return parsed_objects(landed)
