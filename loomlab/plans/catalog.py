@@ -186,18 +186,18 @@ def tail_n(lab: Lab):
 
 @query(
     "page_slice",
-    f"WITH {LOGS} SELECT * FROM logs ORDER BY job_id, logged_at LIMIT 100 OFFSET 200",
+    f"WITH {LOGS} SELECT * FROM logs ORDER BY job_id, logged_at LIMIT 100 OFFSET 20",
 )
 def page_slice(lab: Lab):
-    return cat.page_slice(lab.logs(), [F.col("job_id"), F.col("logged_at")], limit=100, offset=200)
+    return cat.page_slice(lab.logs(), [F.col("job_id"), F.col("logged_at")], limit=100, offset=20)
 
 
 @query(
     "page_after",
-    f"WITH {LOGS} SELECT * FROM logs WHERE (job_id, logged_at) > (40, 2) ORDER BY job_id, logged_at LIMIT 100",
+    f"WITH {LOGS} SELECT * FROM logs WHERE (job_id, logged_at) > (4, 2) ORDER BY job_id, logged_at LIMIT 100",
 )
 def page_after(lab: Lab):
-    return cat.page_after(lab.logs(), ["job_id", "logged_at"], (40, 2), limit=100)
+    return cat.page_after(lab.logs(), ["job_id", "logged_at"], (4, 2), limit=100)
 
 
 @query("topk_recent", f"WITH {JOBS} SELECT * FROM jobs ORDER BY created_at DESC, id DESC LIMIT 50")
@@ -328,25 +328,25 @@ def visible_projects(lab: Lab):
 @query(
     "registry_status",
     """WITH asked AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part),
-    installed AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_retailprice > 990)
+    installed AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_retailprice > 915)
     SELECT asked.name, installed.name IS NOT NULL AS installed FROM asked LEFT JOIN installed ON asked.name = installed.name""",
 )
 def registry_status(lab: Lab):
     parts = lab.raw("part")
     asked = parts.select(F.col("p_brand").alias("name")).unionByName(parts.select(F.col("p_type").alias("name")))
-    installed = parts.where(F.col("p_retailprice") > 990).select(F.col("p_brand").alias("name"))
+    installed = parts.where(F.col("p_retailprice") > 915).select(F.col("p_brand").alias("name"))
     return cat.registry_status(asked, installed)
 
 
 @query(
     "distinct_names",
-    "SELECT DISTINCT p_brand AS name FROM part WHERE p_retailprice > 990 INTERSECT SELECT DISTINCT p_brand FROM part WHERE p_size > 20",
+    "SELECT DISTINCT p_brand AS name FROM part WHERE p_retailprice > 915 INTERSECT SELECT DISTINCT p_brand FROM part WHERE p_size > 20",
 )
 def distinct_names(lab: Lab):
     """Registry names that are both requested and installed, each once."""
     parts = lab.raw("part").select(F.col("p_brand").alias("name"), "p_retailprice", "p_size")
     requested = parts.where(F.col("p_size") > 20).select("name")
-    return parts.where(F.col("p_retailprice") > 990).select("name").intersect(requested)
+    return parts.where(F.col("p_retailprice") > 915).select("name").intersect(requested)
 
 
 @query(

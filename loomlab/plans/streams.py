@@ -59,10 +59,10 @@ def completion_events(lab: Lab):
 
 @query(
     "live_subscription",
-    f"WITH {METRICS} SELECT * FROM metrics WHERE job_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')",
+    f"WITH {METRICS} SELECT * FROM metrics WHERE job_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)",
 )
 def live_subscription(lab: Lab):
-    watched = lab.models().where(F.col("framework") == "AUTOMOBILE").select(F.col("id").alias("job_id"))
+    watched = lab.models().where(F.col("score") > 2000).select(F.col("id").alias("job_id"))
     points = metric_stream(lab)
     return st.append_to(lab.spark, st.subscribe(points, watched).select(*points.columns), scratch(lab.spark, "subscription"))
 
