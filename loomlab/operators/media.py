@@ -185,5 +185,5 @@ def caption_records(clips: DataFrame, audio: Column) -> DataFrame:
         ).alias("visual"),
         audio.alias("audio"),
         F.lit("").alias("speech"),
-        F.round(end - start, 2).alias("duration_seconds"),
+        F.bround(end - start, 2).alias("duration_seconds"),
     )

@@ -155,10 +155,10 @@ def exact_quantiles(
 
     def sketch_ranks(k) -> list[float]:
         first, second, _ = targets[k]
-        slack = 2 / accuracy
-        low = max(0.0, (first - below[k]) / inside[k] - slack)
-        return [low, min(1.0, (second - below[k] + 1) / inside[k] + slack)]
+        low = max(0.0, (first - below[k]) / inside[k] - slack[k])
+        return [low, min(1.0, (second - below[k] + 1) / inside[k] + slack[k])]
 
+    slack = {k: 2 / accuracy for k in keys}
     open_keys = list(keys)
     while open_keys:
         # quantiles of one column over the same rows share one sketch
@@ -178,19 +178,21 @@ def exact_quantiles(
             lo, hi = narrowed[k]
             aggs.append(F.count_if(x[k[0]] < lo).alias(f"l{i}"))
             aggs.append(F.count_if((x[k[0]] >= lo) & (x[k[0]] <= hi)).alias(f"n{i}"))
-        row, wide = df.agg(*aggs).first(), []
+        row, wide, missed = df.agg(*aggs).first(), [], []
         for i, k in enumerate(open_keys):
             first, second, _ = targets[k]
             if not (row[f"l{i}"] <= first and second < row[f"l{i}"] + row[f"n{i}"]):
-                raise ArithmeticError(f"sketch bounds of {k} miss the wanted rank")
+                slack[k] *= 4  # the sketch was off by more than it promises: look wider
+                missed.append(k)
+                continue
             if row[f"n{i}"] > settle and narrowed[k] != bounds[k]:
                 wide.append(k)
             bounds[k], below[k], inside[k] = narrowed[k], row[f"l{i}"], row[f"n{i}"]
         # many rows of few values are counted exactly at once; only many values are narrowed on
-        open_keys = []
+        open_keys = missed
         if wide:
             row = df.agg(*[F.approx_count_distinct(member(k)).alias(f"d{i}") for i, k in enumerate(wide)]).first()
-            open_keys = [k for i, k in enumerate(wide) if row[f"d{i}"] > settle]
+            open_keys = missed + [k for i, k in enumerate(wide) if row[f"d{i}"] > settle]
 
     found = {k: bounds[k][0] for k in keys if bounds[k][0] == bounds[k][1]}
     counted = [k for k in keys if k not in found]

@@ -55,6 +55,7 @@ def upsert_snapshots(spark: SparkSession, stream: DataFrame, keys: list[str], pa
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     drain(spark, stream.writeStream.outputMode("update").foreachBatch(write))
     rows = spark.read.schema(_with_batch(stream.schema)).parquet(path)
     payload = [c for c in stream.columns if c not in keys]
@@ -62,6 +63,12 @@ def upsert_snapshots(spark: SparkSession, stream: DataFrame, keys: list[str], pa
     return newest.select(*keys, "_r.*")
 
 
+def whole_number(value: Column) -> Column:
+    """Truncated to an integer; values out of range stop at its ends, so none can fail a stream."""
+    bounded = F.least(F.greatest(F.nanvl(value, F.lit(0.0)), F.lit(-2147483648.0)), F.lit(2147483647.0))
+    return F.when(value.isNotNull(), bounded.cast("int"))
+
+
 # job state -----------------------------------------------------------------------------------
 
 
@@ -76,7 +83,7 @@ def job_state(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("job_id").agg(
         newest(F.col("value"), name == "loss").alias("loss"),
         newest(F.col("value"), name.isin(*RATE_NAMES)).alias("learning_rate"),
-        newest(F.col("value"), name == "progress").cast("int").alias("progress"),
+        whole_number(newest(F.col("value"), name == "progress")).alias("progress"),
         newest(F.col("epoch"), F.col("epoch").isNotNull()).alias("epoch_current"),
     )
 
@@ -99,13 +106,13 @@ def completion_stream(spark: SparkSession, metrics: DataFrame, path: str, thresh
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         found = batch.groupBy("job_id").agg(F.min("recorded_at").alias("completed_at"))
-        if batch_id > 0:
-            earlier = spark.read.schema(_with_batch(key)).parquet(path).where(F.col("batch") < batch_id)
-            found = found.join(earlier.select("job_id"), "job_id", "left_anti")
-        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        earlier = spark.read.schema(_with_batch(key)).parquet(path).where(F.col("batch") < batch_id)
+        found.join(earlier.select("job_id"), "job_id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    columns = T.StructType([*key.fields, T.StructField("completed_at", metrics.schema["recorded_at"].dataType)])
+    spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{path}/batch=-1")
     drain(spark, done.select("job_id", "recorded_at").writeStream.foreachBatch(emit))
-    return spark.read.parquet(path).drop("batch")
+    return spark.read.schema(_with_batch(columns)).parquet(path).drop("batch")
 
 
 # fan-out, buffering, logs ----------------------------------------------------------------------

@@ -42,10 +42,18 @@ def test_job_state(spark, points, arriving):
     assert rows_of(stream) == rows_of(batch)
 
 
-def test_progress_is_truncated(spark, points):
+@pytest.mark.parametrize("value, progress", [(2.9, 2), (-2.9, -2), (1e12, 2147483647), (float("nan"), 0), (None, None)])
+def test_progress_is_truncated_and_bounded(spark, value, progress):
     at = datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, 1, "progress", 2.9, None, None, at)], SCHEMA)
-    assert st.job_state(df).first()["progress"] == 2
+    df = spark.createDataFrame([(1, 1, "progress", value, None, None, at)], SCHEMA)
+    assert st.job_state(df).first()["progress"] == progress
+
+
+def test_streams_without_data(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "empty"))
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "empty"))
+    assert st.completion_stream(spark, stream(), scratch(spark, "e1")).count() == 0
+    assert st.upsert_snapshots(spark, st.job_state(stream()), ["job_id"], scratch(spark, "e2")).count() == 0
 
 
 def test_each_job_completes_once(spark, points, arriving):
