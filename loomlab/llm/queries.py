@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlab.llm import chat, mixing, simhash, url_rules
+from loomlab.llm import chat, mixing, simhash, token_files, url_rules
 from loomlab.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
 #: (verdict, host, path)
 URL_RULES = [
     ("allow", "org", "/"),
@@ -48,5 +50,10 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.examples(rows.unionByName(planted)))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_url_filter, op5_chat_format)}
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, number and CRC of every document's ids, read back from the Arrow files written of all documents."""
+    return token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2, length=2048)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_url_filter, op5_chat_format, op10_token_files)}
 ORACLES: dict[str, str] = {}
