@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlab.llm import chat, mixing, simhash, token_files, url_rules
+import corpus_pipeline
+from loomlab.llm import chat, decontaminate, langid, licenses, mixing, quality, secret_scan, simhash, token_files, url_rules
 from loomlab.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +42,11 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds an item of the benchmark, with the item."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_key")
+
+
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every conversation and one planted one, read back from the formatted examples."""
     said = "</s>[INST] ok [/INST]"
@@ -50,10 +56,43 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.examples(rows.unionByName(planted)))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    return langid.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "mixture")
+
+
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with a known licence text or notice, with the licence."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.scan(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict on every document."""
+    return quality.judge(table(spark, folder, "documents")).drop("lang", "source")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Place, number and CRC of every document's ids, read back from the Arrow files written of all documents."""
     return token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2, length=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_url_filter, op5_chat_format, op10_token_files)}
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the whole pipeline's last stage."""
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_mix_sources, op3_url_filter, op4_decontaminate, op5_chat_format, op6_language_id, op7_license_scan,
+        op8_secret_scan, op9_quality_rules, op10_token_files, pipeline,
+    )
+}
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
