@@ -1,7 +1,8 @@
 """Token ids as Arrow files: fixed-size lists of ids and masks that readers map and address without copying.
 
 One shard is a pair of Arrow IPC files. ``<shard>.arrow`` has record batches of ``BATCH`` rows, each row a sequence of
-``length`` ids (``input_ids``) and as many mask bytes (``mask``, 1 for an id and 0 for padding). All batches but the last
+``length`` ids (``input_ids``) and as many mask bits (``mask``, set for an id and not for padding); ids of a vocabulary
+below 65,536 take two bytes. All batches but the last
 are equally long, so sequence ``i`` is row ``i % BATCH`` of batch ``i // BATCH``. ``<shard>.index.arrow`` tells for each
 document its id, where its ids begin in the shard, and how many there are. Documents follow one another without gaps;
 only a shard's last sequence is padded.
@@ -29,21 +30,24 @@ from loomlab.session import scratch
 
 #: Sequences in a record batch.
 BATCH = 256
-#: Texts are handed to the tokenizer in parts of about so many characters; a longer text is a part of its own.
-PART_CHARS = 1 << 20
+#: Texts are handed to the tokenizer in parts of about so many bytes; a longer text is a part of its own.
+PART_BYTES = 1 << 22
 #: Words that a task remembers the ids of; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
-#: A word of Latin letters with punctuation behind it. The tokenizer's own splitting keeps both parts whole.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: White space for ``str.split`` but not for the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+REMEMBERED = 1_500_000
+#: What the tokenizer never splits: Latin letters in lower case, or punctuation.
+UNSPLIT = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?]+")
+#: Punctuation between a letter and white space, which the tokenizer takes for a token of its own.
+TRAILING = "([a-zß-öø-ÿ])([.,;:!?]+)([ \\t\\n\\v\\f\\r]|$)"
+#: Letters whose lower case Arrow and the tokenizer may see differently; such texts are only split.
+FOREIGN = "[\u0130\u0250-\U0010ffff]"
 
 
 class WordTokenizer:
-    """Ids of whole texts, for tokenizers that drop white space and treat the words between on their own.
+    """Ids of whole texts, for tokenizers that lower case, drop white space, and treat the words between on their own.
 
-    The ids of each word are kept in one flat array, so that a text's ids are gathered by array operations. Texts with
-    separators that only Python takes for white space go to the tokenizer as they are.
+    Texts are split at ASCII white space, and the distinct words of a part are looked up. The ids of each word are kept
+    in one flat array, so that a text's ids are gathered by array operations. New words that the tokenizer doesn't split
+    are handed to it as one text, which is cut again behind the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -51,57 +55,62 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.offsets, self.sizes = [0], [0]
+        self.offsets, self.sizes = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def keep(self, word: str, ids: list[int]) -> None:
+    def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, need = len(self.known), len(self.known) + len(words)
+        if need > len(self.offsets):
+            more = np.empty(need, np.int32)
+            self.offsets, self.sizes = np.concatenate([self.offsets, more]), np.concatenate([self.sizes, more])
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.empty(self.used + len(ids), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known[word] = len(self.offsets)
-        self.offsets.append(self.used)
-        self.sizes.append(len(ids))
+        self.offsets[first:need] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first:need] = sizes
+        self.known.update(zip(words, range(first, need)))
         self.used += len(ids)
 
     def learn(self, words: list[str]) -> None:
-        """Ids of new words; a plain word's letters, in lower case, and its punctuation are looked up by themselves."""
-        split, new = {}, {}
-        for w in words:
-            plain = PLAIN.fullmatch(w)
-            split[w] = pieces = [p for p in (plain[1].lower(), plain[2]) if p] if plain else [w]
-            new.update((p, None) for p in pieces if p not in self.known)
-        for p, ids in zip(new, self.encode(list(new))):
-            self.keep(p, ids)
-        for w, pieces in split.items():
-            if w not in self.known:
-                at = [self.known[p] for p in pieces]
-                self.keep(w, [i for k in at for i in self.flat[self.offsets[k] : self.offsets[k] + self.sizes[k]].tolist()])
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [w for w in words if UNSPLIT.fullmatch(w)]
+        ids = np.array(self.encode([" ".join(whole)])[0], np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(whole):
+            self.keep(whole, ids, np.diff(stops, prepend=0))
+        rest = [w for w in words if w not in self.known]
+        lists = self.encode(rest)
+        self.keep(rest, np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)"""
-        if any(SEPARATORS.search(t) for t in texts):
-            lists = self.encode(texts)
-            return np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         if len(self.known) > REMEMBERED:
             self.forget()
-        per_text = [t.split() for t in texts]
-        words = [w for ws in per_text for w in ws]
-        new = set(words).difference(self.known)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        foreign = pc.match_substring_regex(texts, FOREIGN)
+        texts = pc.if_else(foreign, texts, pc.replace_substring_regex(pc.utf8_lower(texts), TRAILING, r"\1 \2\3"))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
         if new:
-            self.learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes, offsets = np.array(self.sizes, np.int64)[at], np.array(self.offsets, np.int64)[at]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        flat = self.flat[np.repeat(offsets - ends[:-1], sizes) + np.arange(ends[-1])]
-        stops = np.cumsum(np.fromiter(map(len, per_text), np.int64, len(per_text)))
-        return flat, np.diff(ends[np.concatenate(([0], stops))])
+            self.learn(new)
+        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = known[coded.indices.to_numpy()]
+        sizes, offsets = self.sizes[at], self.offsets[at]
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32)))  # a text has fewer ids than bytes
+        flat = self.flat[np.repeat(offsets - ends[:-1].astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
+        stops = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return flat, np.diff(ends[np.concatenate(([0], stops)).astype(np.int64)]).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -109,14 +118,14 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def parts(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts as Python strings, about PART_CHARS at a time."""
+def parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts, about PART_BYTES at a time."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
     at = 0
     while at < len(texts):
         total = np.cumsum(sizes[at:])
-        n = max(1, int(np.searchsorted(total, PART_CHARS, side="right")))
-        yield [t or "" for t in texts.slice(at, n).to_pylist()]
+        n = max(1, int(np.searchsorted(total, PART_BYTES, side="right")))
+        yield texts.slice(at, n)
         at += n
 
 
@@ -128,12 +137,13 @@ def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 class Shard:
     """One shard in the making: sequences are written as they fill, under a name of this attempt only."""
 
-    def __init__(self, folder: str, length: int):
+    def __init__(self, folder: str, length: int, largest_id: int):
+        self.kind = np.uint16 if largest_id < 1 << 16 else np.uint32
         self.files, self.folder = place(folder)
         self.name, self.length = uuid.uuid4().hex, length
-        self.left, self.tokens, self.index = np.empty(0, np.uint32), 0, []
+        self.left, self.tokens, self.index = np.empty(0, self.kind), 0, []
         fixed = lambda kind: pa.list_(pa.field("item", kind, nullable=False), length)
-        self.schema = pa.schema([pa.field("input_ids", fixed(pa.uint32())), pa.field("mask", fixed(pa.uint8()))])
+        self.schema = pa.schema([pa.field("input_ids", fixed(pa.from_numpy_dtype(self.kind))), pa.field("mask", fixed(pa.bool_()))])
         self.files.create_dir(self.folder, recursive=True)
         self.out = self.files.open_output_stream(f"{self.folder}/{self.name}.arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
@@ -146,18 +156,18 @@ class Shard:
         starts = self.tokens + np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.index.append((pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)))
         self.tokens += len(ids)
-        self.left = np.concatenate([self.left, ids])
+        self.left = np.concatenate([self.left, ids.astype(self.kind)])
         step = BATCH * self.length
         whole = len(self.left) // step * step
         for i in range(0, whole, step):
-            self.sequences(self.left[i : i + step], np.ones(step, np.uint8))
+            self.sequences(self.left[i : i + step], np.ones(step, bool))
         self.left = self.left[whole:]
 
     def close(self) -> None:
         size = -(-len(self.left) // self.length) * self.length
         if size:
-            ids, mask = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
-            ids[: len(self.left)], mask[: len(self.left)] = self.left, 1
+            ids, mask = np.zeros(size, self.kind), np.zeros(size, bool)
+            ids[: len(self.left)], mask[: len(self.left)] = self.left, True
             self.sequences(ids, mask)
         self.writer.close()
         self.out.close()
@@ -185,7 +195,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             if not batch.num_rows:
                 continue
             if shard is None:
-                shard, number = Shard(folder, length), batch.column("place")[0].as_py()
+                shard, number = Shard(folder, length, max(end_id, len(encoder.ends) - 1)), batch.column("place")[0].as_py()
             doc_ids, at = batch.column("doc_id").to_pylist(), 0
             for texts in parts(batch.column("text")):
                 ids, sizes = encoder.ids(texts)
@@ -209,14 +219,14 @@ def open_arrow(path: str) -> pa.ipc.RecordBatchFileReader:
 def span(reader: pa.ipc.RecordBatchFileReader, start: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, mask) of ``count`` tokens from ``start``: touches only the batches that hold them."""
     length = reader.schema.field("input_ids").type.list_size
-    step, ids, mask, stop = BATCH * length, [np.empty(0, np.uint32)], [np.empty(0, np.uint8)], start + count
+    step, ids, mask, stop = BATCH * length, [], [], start + count
     while start < stop:
         batch = reader.get_batch(start // step)
         a, b = start % step, min(step, start % step + stop - start)
         ids.append(batch.column(0).values.to_numpy()[a:b])
-        mask.append(batch.column(1).values.to_numpy()[a:b])
+        mask.append(batch.column(1).values.slice(a, b - a).to_numpy(zero_copy_only=False))
         start += b - a
-    return np.concatenate(ids), np.concatenate(mask)
+    return (ids[0], mask[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(mask))
 
 
 def read_back(shards: DataFrame) -> DataFrame:
@@ -240,7 +250,7 @@ def read_back(shards: DataFrame) -> DataFrame:
                         ids, mask = span(data, start, n)
                         if not mask.all():
                             raise ValueError(f"{shard}: padding inside a document")
-                        sums.append(zlib.crc32(ids.astype("<u4", copy=False).tobytes()))
+                        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     starts = pc.add(rows.column("start"), before)
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), starts, rows.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -28,7 +28,7 @@ def test_word_tokenizer_equals_the_library(monkeypatch):
     for some in (texts(), texts()[::-1]):
         for i in range(0, len(some), 7):
             part = [t or "" for t in some[i : i + 7]]
-            ids, sizes = own.ids(part)
+            ids, sizes = own.ids(pa.array(part))
             want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
             assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
@@ -59,7 +59,7 @@ def test_round_trip(spark, tmp_path, length):
         batches = [reader.get_batch(i) for i in range(reader.num_record_batches)]
         assert all(b.num_rows == tf.BATCH for b in batches[:-1])
         assert all(pa.types.is_fixed_size_list(b.schema.field(0).type) and b.schema.field(0).type.list_size == length for b in batches)
-        assert sum(int(b.column(1).values.to_numpy().sum()) for b in batches) == s["tokens"]
+        assert sum(b.column(1).values.true_count for b in batches) == s["tokens"]
 
 
 def test_empty_table(spark):
