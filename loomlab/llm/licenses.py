@@ -2,8 +2,8 @@
 
 Texts are read as canonical words: small letters, no punctuation, one spelling for equivalent words, no copyright lines.
 The words of a whole licence text, or notice, have one digest, wherever they stand in a document and however its lines
-are broken. Tasks find places whose rolling hash is that of a known text; the digests of the canonical words there are
-then hash-joined to the known digests.
+are broken. Tasks find places where a known text's first words stand, by a rolling hash; the digests of as many canonical words
+from there as the whole text has are then hash-joined to the known digests.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ HINT = re.compile(r"copyright|\(c\)|©|all rights reserved", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[\W_]+")
 VERSION = re.compile(r"v(?:ersion)?\.?(\d.*)")
 
+#: Places are found by the first words of a known text.
+ANCHOR = 8
+
 #: Names that notices use, by SPDX identifier.
 NAMES = {
     "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0"],
@@ -122,7 +125,7 @@ def known_texts() -> list[tuple[str, str, str]]:
     return out
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=1 << 18)
 def canonical(word: str) -> tuple[str, int]:
     """(canonical word, code) of a word between white space; empty for the word "version" and for mere punctuation."""
     low = word.lower()
@@ -165,14 +168,17 @@ def scan(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, doc_i
     listed = known_texts() if known is None else known
     read = Canonical([t for _, _, t in listed])
     firsts = np.cumsum(read.counts) - read.counts
-    hashes: dict[int, set[int]] = {}
+    # rolling hash of a text's first words -> lengths of the texts that begin so, by the number of these words
+    anchors: dict[int, dict[int, set[int]]] = {}
     rows = {}
     for (name, kind, _), first, n in zip(listed, firsts.tolist(), read.counts.tolist()):
         if n:
-            hashes.setdefault(n, set()).add(int(rolling(read.codes[first : first + n], np.array([n]), n)[1][0]))
+            width = min(n, ANCHOR)
+            begins = int(rolling(read.codes[first : first + width], np.array([width]), width)[1][0])
+            anchors.setdefault(width, {}).setdefault(begins, set()).add(n)
             rows[read.digest(first, n)] = (name, kind)
     table = spark.createDataFrame([(d, n, k) for d, (n, k) in sorted(rows.items())], "digest string, license string, kind string")
-    wanted = {n: np.array(sorted(x), np.uint64) for n, x in hashes.items()}
+    wanted = {n: np.array(sorted(x), np.uint64) for n, x in anchors.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +190,13 @@ def scan(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, doc_i
                 for width, known_hashes in wanted.items():
                     first, seen = rolling(own.codes, own.counts, width)
                     place = np.minimum(np.searchsorted(known_hashes, seen), len(known_hashes) - 1)
-                    for f in first[known_hashes[place] == seen].tolist():
+                    hit = known_hashes[place] == seen
+                    for f, h in zip(first[hit].tolist(), seen[hit].tolist()):
                         i = int(own.owner[f])
-                        found.append((at + i, own.digest(f, width), int(f + width - starts[i]), width == own.counts[i]))
+                        for n in anchors[width][h]:
+                            stop = int(f + n - starts[i])
+                            if stop <= own.counts[i]:
+                                found.append((at + i, own.digest(f, n), stop, n == own.counts[i]))
                 if found:
                     rows, digests, stops, whole = zip(*found)
                     yield pa.RecordBatch.from_arrays(
