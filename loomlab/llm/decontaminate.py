@@ -45,7 +45,7 @@ COVERAGE, RUN_WORDS = 0.5, 13
 AGREEMENT = 0.8
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=1 << 16)
 def reading(word: str) -> tuple[int, int, str]:
     """(code of the literal, kind, bare word) of a word."""
     bare = word.strip(".,;:!?\"'()[]{}<>«»„“”‘’…")
@@ -147,7 +147,7 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     def read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for at, texts in text_parts(batch.column("text")):
+            for at, texts in text_parts(batch.column("text"), 1 << 21):
                 read = Reading(texts)
                 starts = np.cumsum(read.counts) - read.counts
                 for way in ways:
@@ -160,6 +160,8 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                         own = pa.array(at + read.owner[first])
                         rows = _rows(read, way, form, width, first, hashes, starts)
                         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(own), "text_key": batch.column("text_key").take(own), **rows})
+        reading.cache_clear()  # workers live on for other tasks
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(read_docs, f"doc_id long, text_key long, {WINDOW}")
 

@@ -31,9 +31,9 @@ from loomlab.session import scratch
 #: Sequences in a record batch.
 BATCH = 256
 #: Texts are handed to the tokenizer in parts of about so many bytes; a longer text is a part of its own.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 #: Words that a task remembers the ids of; the memory is emptied when it is full.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 #: What the tokenizer never splits: Latin letters in lower case, or punctuation.
 UNSPLIT = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?]+")
 #: Punctuation between a letter and white space, which the tokenizer takes for a token of its own.
@@ -204,6 +204,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                 at += len(texts)
         if shard is not None:
             shard.close()
+            pa.default_memory_pool().release_unused()
             n = sum(len(x[0]) for x in shard.index)
             yield pa.RecordBatch.from_pydict({"shard": [f"{folder}/{shard.name}"], "place": pa.array([number], pa.int32()), "documents": pa.array([n], pa.int64()), "tokens": pa.array([shard.tokens], pa.int64())})
 
@@ -237,7 +238,8 @@ def read_back(shards: DataFrame) -> DataFrame:
     """
     ahead = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     listed = shards.withColumn("ahead", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
-    listed = stored(listed.select("shard", "ahead"), "shard-starts").repartition(F.xxhash64("shard"))
+    listed = stored(listed.select("shard", "ahead"), "shard-starts")
+    listed = listed.repartition(max(1, shards.count()), "shard")  # files are read in tasks of their own, small as the list is
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
