@@ -59,7 +59,8 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
             out[i : i + len(part)] = [fingerprint(t, shingle) for t in part]
         return pa.array(out.view(np.int64))
 
-    return udf(F.coalesce(text, F.lit("")))
+    # never null, and known to be: else a join on it tests for null first and so computes it twice
+    return F.coalesce(udf(F.coalesce(text, F.lit(""))), F.lit(0).cast("long"))
 
 
 def segments(max_bits: int) -> list[int]:
