@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from loomlab.operators.profile import Stats
 
-MAX_CATEGORIES = 1000
-
 
 def standard_scale(x: Column, stats: Stats) -> Column:
     """(x - mean) / std; unchanged when the stored deviation is missing or zero."""
@@ -32,11 +30,8 @@ def log_scale(x: Column) -> Column:
 
 
 def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values; refuses columns too wide to turn into columns."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
-    return sorted(r[0] for r in rows)
+    """Sorted distinct values, for a stored definition that makes a column of each; see :func:`sparse_hot`."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(column: str, values: list) -> list[Column]:
@@ -44,20 +39,27 @@ def one_hot(column: str, values: list) -> list[Column]:
     return [F.coalesce(F.col(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}") for v in values]
 
 
+def sparse_hot(column: str) -> Column:
+    """The value as the only key of a map, empty for null: one-hot for any number of values, without a list of them."""
+    value = F.col(column)
+    return F.when(value.isNotNull(), F.create_map(value, F.lit(True))).otherwise(F.map_from_arrays(F.array_compact(F.array(value)), F.array().cast("array<boolean>"))).alias(f"{column}_one_hot")
+
+
 @dataclass(frozen=True)
 class Feature:
-    """A stored feature definition."""
+    """A stored feature definition; ``categories`` are the values that one-hot makes columns of."""
 
     name: str
     transform: str | None = None
     stats: Stats = field(default_factory=lambda: Stats(0.0, 1.0, 0.0, 1.0))
+    categories: tuple | None = None
 
 
 def apply_features(df: DataFrame, features: list[Feature]) -> DataFrame:
     """Apply every stored transform in one projection.
 
     Definitions without a transform, and those of columns the frame lacks, are skipped;
-    one-hot columns come last, in definition order.
+    one-hot columns come last, in definition order, as one sparse map where the definition lists no categories.
     """
     latest = {f.name: f for f in features}
     kept, appended = [], []
@@ -74,5 +76,6 @@ def apply_features(df: DataFrame, features: list[Feature]) -> DataFrame:
             kept.append(F.col(c))
     for feature in latest.values():
         if feature.transform == "one_hot" and feature.name in df.columns:
-            appended += one_hot(feature.name, categories(df, feature.name))
+            listed = feature.categories
+            appended += [sparse_hot(feature.name)] if listed is None else one_hot(feature.name, list(listed))
     return df.select(*kept, *appended)

@@ -53,16 +53,16 @@ def filter_equal(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
-def page_slice(df: DataFrame, order: list[Column], limit: int, offset: int = 0, cap: int = 5000) -> DataFrame:
+def page_slice(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page by limit and offset."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, cap))
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def page_after(df: DataFrame, key: list[str], last: tuple, limit: int, cap: int = 5000) -> DataFrame:
+def page_after(df: DataFrame, key: list[str], last: tuple, limit: int) -> DataFrame:
     """The page after the key ``last``: the filter reaches the scan, so deep pages cost no more."""
     after = F.struct(*key) > F.struct(*[F.lit(v).alias(k) for k, v in zip(key, last)])
     lead = F.col(key[0]) >= F.lit(last[0])
-    return df.where(lead & after).orderBy(*key).limit(min(limit, cap))
+    return df.where(lead & after).orderBy(*key).limit(limit)
 
 
 def log_query(
@@ -72,7 +72,7 @@ def log_query(
     if level is not None:
         logs = logs.where(F.col("level") == level)
     if job is not None:
-        return page_slice(logs.where(F.col("job_id") == job), [F.col("logged_at")], limit, offset, cap)
+        return page_slice(logs.where(F.col("job_id") == job), [F.col("logged_at")], min(limit, cap), offset)
     return page_per_group(logs, ["job_id"], [F.col("logged_at"), F.col("level"), F.col("message")], limit, offset, cap).drop("rank")
 
 

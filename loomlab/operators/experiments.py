@@ -12,7 +12,6 @@ from loomlab.operators.grouped import latest, moment
 from loomlab.operators.ordered import position, running
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-MAX_KEYS = 500
 
 
 def number_or_zero(text: Column) -> Column:
@@ -30,14 +29,6 @@ def dynamic_keys(runs: DataFrame, params: str = "parameters", metrics: str = "me
     return runs.select(F.explode(tagged).alias("k")).select("k.kind", "k.key").distinct()
 
 
-def known_keys(runs: DataFrame) -> tuple[list[str], list[str]]:
-    """Sorted parameter keys and metric keys, refused when too many for columns."""
-    rows = dynamic_keys(runs).limit(MAX_KEYS + 1).collect()
-    if len(rows) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} keys; use the long form")
-    return tuple(sorted(r["key"] for r in rows if r["kind"] == kind) for kind in ("parameter", "metric"))
-
-
 def experiment_summary(runs: DataFrame) -> DataFrame:
     """Runs, parameter keys and metric keys per experiment, in two pre-aggregated steps."""
     marks = F.concat(
@@ -155,11 +146,14 @@ def first_per_step(metrics: DataFrame, keys=("job_id", "metric_name")) -> DataFr
     return metrics.groupBy(*keys, step).agg(F.min_by("value", moment("recorded_at", "id")).alias("value"))
 
 
+def overlay(metrics: DataFrame, run: str) -> DataFrame:
+    """The overlaid points of all runs in long form: (run, metric, step, value)."""
+    return first_per_step(metrics.where(F.col("metric_name") != "progress"), (run, "metric_name"))
+
+
 def overlay_pivot(metrics: DataFrame, run: str, runs: list) -> DataFrame:
     """One row per (metric, step) and one column per listed run, empty where a run has no point."""
-    if len(runs) > 100:
-        raise ValueError("too many runs for columns; use first_per_step")
-    points = first_per_step(metrics.where(F.col("metric_name") != "progress"), (run, "metric_name"))
+    points = overlay(metrics.where(F.col(run).isin(runs)), run)
     return points.groupBy("metric_name", "step").pivot(run, runs).agg(F.first("value"))
 
 
@@ -221,9 +215,10 @@ def axis_scaling(matrix: DataFrame, dimensions: list[str]) -> DataFrame:
     return matrix.withColumns(scaled)
 
 
-def compare_table(runs: DataFrame) -> DataFrame:
-    """All runs side by side, oldest first: one column per parameter key and per metric key."""
-    params, metrics = known_keys(runs)
+def compare_table(runs: DataFrame, params: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """All runs side by side, oldest first: one column per listed key, or the maps where no keys are listed."""
+    if params is None or metrics is None:
+        return runs.select("experiment_id", "run_id", "created_at", "parameters", "metrics").orderBy("created_at", "run_id")
     return runs.select(
         "experiment_id",
         "run_id",

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
 
 def moment(at: str, ident: str) -> Column:
     """One sortable number of a time and, for equal times, an id.
@@ -31,11 +29,8 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     """The first ``k`` rows per key, with their one-based rank.
 
     Spark cuts every map task's share of a group to ``k`` rows before the shuffle, so a group of
-    any size arrives small. It does so up to a threshold, which is raised to ``k`` if need be.
+    any size arrives small. It does so up to a threshold of ``k``, which ``build_session`` sets.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT, "1000")) < k:
-        conf.set(GROUP_LIMIT, str(k))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 

@@ -157,11 +157,11 @@ def valid_clips(scored: DataFrame, min_motion: float = 0.01, audible: DataFrame
     return moving if audible is None else moving.join(audible.select("source").distinct(), "source", "left_semi")
 
 
-def frame_stride(frames: DataFrame, source_fps: float, target_fps: float, max_frames: int = 64) -> DataFrame:
-    """Every n-th frame of each source, n = source over target rate, at most ``max_frames``."""
+def frame_stride(frames: DataFrame, source_fps: float, target_fps: float, max_frames: int | None = None) -> DataFrame:
+    """Every n-th frame of each source, n = source over target rate; at most ``max_frames`` where the caller says so."""
     step = max(1, int(source_fps / target_fps))
-    kept = indexed_frames(frames).where((F.col("idx") % step == 0) & (F.col("idx") < step * max_frames))
-    return kept
+    kept = indexed_frames(frames).where(F.col("idx") % step == 0)
+    return kept if max_frames is None else kept.where(F.col("idx") < step * max_frames)
 
 
 def seconds_text(seconds: Column) -> Column:

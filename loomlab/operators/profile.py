@@ -32,7 +32,7 @@ def to_long(one_row: DataFrame, structs: list[Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
 
 
-def feature_profile(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
+def feature_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Kind, type, null rate, mean, sample deviation, min and max per column; one scan for all."""
     columns = columns or numeric_columns(df)
     numeric = set(numeric_columns(df))
@@ -46,10 +46,10 @@ def feature_profile(df: DataFrame, columns: list[str] | None = None, digits: int
             aggs.append(F.count(x).alias(f"{c}:seen"))
         absent = F.lit(None).cast("double")
         stats = [
-            (F.round(F.col(f"`{c}:{s}`"), digits) if c in numeric else absent).alias(s)
+            (F.col(f"`{c}:{s}`") if c in numeric else absent).alias(s)
             for s in ("mean", "std", "min", "max")
         ]
-        null_rate = F.round(1 - F.try_divide(F.col(f"`{c}:seen`"), F.col("_n")), digits) if c in numeric else absent
+        null_rate = 1 - F.try_divide(F.col(f"`{c}:seen`"), F.col("_n")) if c in numeric else absent
         rows.append(
             F.struct(
                 F.lit(c).alias("feature"),
@@ -82,7 +82,8 @@ def column_stats(df: DataFrame, columns: list[str]) -> dict[str, Stats]:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
-    """Equal-width bins over [min, max]; the last one is closed, empty ones are kept."""
+    """Equal-width bins over [min, max]; the last one is closed, empty ones are kept. NaN counts as missing."""
+    df = df.select(clean(df, column).alias(column))
     span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     lo = span.select("lo").scalar()
     width = span.select(F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) / bins).scalar()
@@ -90,18 +91,22 @@ def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     counts = df.where(F.col(column).isNotNull()).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     axis = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return axis.join(counts, "bin", "left").select(
-        "bin", F.round(lo + F.col("bin") * width, 1).alias("edge"), F.coalesce("n", F.lit(0)).cast("long").alias("n")
+        "bin", (lo + F.col("bin") * width).alias("edge"), F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 
-def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation of every unordered pair, the diagonal included, in one aggregate."""
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of every unordered pair, the diagonal included, in one aggregate.
+
+    A pair leaves out the rows where either value is null or NaN.
+    """
+    df = df.select(*[clean(df, c).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     one = df.agg(*[F.corr(a, b).alias(f"{a}:{b}") for a, b in pairs])
     return to_long(
         one,
         [
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.round(F.col(f"`{a}:{b}`"), digits).alias("corr"))
+            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{a}:{b}`").alias("corr"))
             for a, b in pairs
         ],
     )
@@ -109,6 +114,7 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
 
 def density_grid(df: DataFrame, x: str, y: str, nx: int, ny: int) -> DataFrame:
     """Point counts on an nx × ny grid with the share of the fullest cell; at most nx·ny rows."""
+    df = df.select(clean(df, x).alias(x), clean(df, y).alias(y))
     present = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     span = present.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
 
@@ -120,7 +126,7 @@ def density_grid(df: DataFrame, x: str, y: str, nx: int, ny: int) -> DataFrame:
     grid = present.groupBy(cell(x, "x0", "x1", nx).alias("ix"), cell(y, "y0", "y1", ny).alias("iy")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return grid.withColumn("intensity", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 6))
+    return grid.withColumn("intensity", F.col("n") / F.max("n").over(Window.partitionBy()))
 
 
 # exact quantiles ---------------------------------------------------------------------------
@@ -214,7 +220,7 @@ def _count_ranks(df: DataFrame, members: dict, targets: dict) -> dict:
     return {keys[r["k"]]: r["a"] + (r["b"] - r["a"]) * targets[keys[r["k"]]][3] for r in values.collect()}
 
 
-def describe(df: DataFrame, columns: list[str], exact: bool = True, digits: int = 4) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles and max per column; sketch quartiles if not ``exact``."""
     quartiles = exact_quantiles(df, columns) if exact else {}
     aggs, rows = [], []
@@ -230,9 +236,9 @@ def describe(df: DataFrame, columns: list[str], exact: bool = True, digits: int
             F.struct(
                 F.lit(c).alias("feature"),
                 F.col(f"`{c}:n`").alias("n"),
-                *[F.round(F.col(f"`{c}:{s}`"), digits).alias(s) for s in ("mean", "std", "min")],
-                *[F.round(v, digits).alias(n) for v, n in zip(q, ("q1", "median", "q3"))],
-                F.round(F.col(f"`{c}:max`"), digits).alias("max"),
+                *[F.col(f"`{c}:{s}`").alias(s) for s in ("mean", "std", "min")],
+                *[v.alias(n) for v, n in zip(q, ("q1", "median", "q3"))],
+                F.col(f"`{c}:max`").alias("max"),
             )
         )
     return to_long(df.agg(*aggs), rows)

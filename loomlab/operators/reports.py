@@ -44,10 +44,11 @@ def alerts(endpoints: DataFrame) -> DataFrame:
         return F.when(condition, fields)
 
     name = F.col("name")
+    reading = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     found = F.array_compact(
         F.array(
-            alert(F.col("error_rate") > 2, "err", "error", F.lit("Error rate spike on "), name),
-            alert(F.col("latency") > 500, "warn", "warn", F.lit("High latency on "), name),
+            alert(F.col("error_rate") > 2, "err", "error", F.lit("Error rate spike on "), name, F.lit(": "), reading("error_rate"), F.lit("% (threshold: 2%)")),
+            alert(F.col("latency") > 500, "warn", "warn", F.lit("High latency on "), name, F.lit(": "), reading("latency"), F.lit(" ms (threshold: 500 ms)")),
             alert(F.col("replicas") > 1, "info", "info", name, F.lit(" scaled to "), F.col("replicas").cast("string"), F.lit(" replicas")),
         )
     )

@@ -58,7 +58,7 @@ def search(lab: Lab, q: str, limit: int, category: str | None = None):
             c, ["name", "description", "format"], q, limit, name, link(c), description=description, icon_hint=F.col("format"),
         ),
         "experiments": lambda c: cat.search_items(
-            table("benchmark", id="item_id", name="left(text, 40)", description="text"),
+            table("benchmark", id="item_id", name="text", description="text"),
             c, ["name", "description"], q, limit, name, link(c), description=description,
         ),
         "training": lambda c: cat.search_items(
@@ -98,7 +98,7 @@ def _hits_sql(q: str, limit: int) -> str:
         one("projects", ["n_name"], "nation", "n_nationkey", "n_name", "'/projects/' || n_nationkey"),
         one("models", ["c_name", "c_mktsegment"], "customer", "c_custkey", "c_name", "'/models/' || c_custkey", icon="c_mktsegment"),
         one("datasets", ["p_name", "p_type", "p_brand"], "part", "p_partkey", "p_name", "'/datasets/' || p_partkey", description="p_brand", icon="p_type"),
-        one("experiments", ["text"], "benchmark", "item_id", "left(text, 40)", "'/experiments/' || item_id", description="text"),
+        one("experiments", ["text"], "benchmark", "item_id", "text", "'/experiments/' || item_id", description="text"),
         one("training", ["tier", "status"], "jobs", "id", "tier || ' — ' || status", "CASE tier WHEN '1-URGENT' THEN '/inference/' ELSE '/training/' END || id",
             "epoch(created_at)", "'Status: ' || status", "tier", "status"),
         one("workspaces", ["name", "status"], "endpoints", "id", "name", "'/workspaces'", description="replicas || ' — ' || status", status="status"),

@@ -176,21 +176,27 @@ def first_per_step(lab: Lab):
     return ex.first_per_step(lab.metrics())
 
 
-SLOTS = [f"run-{i}" for i in range(8)]
+@query(
+    "overlay_pivot",
+    f"""WITH {METRICS} SELECT job_id, metric_name, coalesce(epoch, step, 0) AS step,
+       arg_min(value, {{'t': recorded_at, 'i': id}}) AS value FROM metrics WHERE metric_name <> 'progress' GROUP BY 1, 2, 3""",
+)
+def overlay_pivot(lab: Lab):
+    """The overlaid points of every job, in long form; columns are for runs that a caller lists."""
+    return ex.overlay(lab.metrics(), "job_id")
 
 
 @query(
-    "overlay_pivot",
-    f"""WITH {METRICS}, p AS (SELECT 'run-' || (job_id % 8) AS run, metric_name, coalesce(epoch, step, 0) AS step,
-       arg_min(value, {{'t': recorded_at, 'i': id}}) AS value FROM metrics GROUP BY 1, 2, 3)
+    "overlay_columns",
+    f"""WITH {METRICS}, p AS (SELECT job_id, metric_name, coalesce(epoch, step, 0) AS step,
+       arg_min(value, {{'t': recorded_at, 'i': id}}) AS value FROM metrics WHERE metric_name <> 'progress' GROUP BY 1, 2, 3)
     SELECT metric_name, step, """
-    + ", ".join(f"max(value) FILTER (run = '{s}') AS \"{s}\"" for s in SLOTS)
-    + " FROM p GROUP BY 1, 2",
+    + ", ".join(f"max(value) FILTER (job_id = {j}) AS \"{j}\"" for j in (1, 2, 3))
+    + " FROM p WHERE job_id IN (1, 2, 3) GROUP BY 1, 2",
 )
-def overlay_pivot(lab: Lab):
-    """Every job belongs to one of eight overlaid runs."""
-    points = lab.metrics().withColumn("run", F.concat(F.lit("run-"), F.col("job_id") % 8))
-    return ex.overlay_pivot(points, "run", SLOTS)
+def overlay_columns(lab: Lab):
+    """Three listed jobs side by side."""
+    return ex.overlay_pivot(lab.metrics(), "job_id", [1, 2, 3])
 
 
 @query(
@@ -283,9 +289,7 @@ def merge_param_metric(lab: Lab):
     f"WITH {RUNS} SELECT experiment_id, run_id, " + ", ".join(f"round({_number(k)}, 10) AS {k}" for k in KEYS) + " FROM runs",
 )
 def run_matrix(lab: Lab):
-    runs = lab.runs()
-    params, metrics = ex.known_keys(runs)
-    return ex.run_matrix(runs, params + metrics).withColumns({k: F.round(k, 10) for k in params + metrics})
+    return ex.run_matrix(lab.runs(), KEYS).withColumns({k: F.round(k, 10) for k in KEYS})
 
 
 @query(
@@ -308,7 +312,7 @@ def axis_scaling(lab: Lab):
     round(val_error, 10) AS metric_val_error, round(zeta, 10) AS metric_zeta FROM runs ORDER BY created_at, run_id""",
 )
 def compare_table(lab: Lab):
-    table = ex.compare_table(lab.runs())
+    table = ex.compare_table(lab.runs(), KEYS[:3], KEYS[3:])
     texts = ("parameter_learning_rate", "parameter_lr")
     numbers = {c: F.round(F.col(c).cast("double"), 10) for c in (*texts, *[c for c in table.columns if c.startswith("metric_")])}
     return table.withColumns(numbers)

@@ -36,9 +36,23 @@ def _profile_sql() -> str:
     return f"WITH {MEASURED} " + " UNION ALL ".join(parts)
 
 
+def rounded(df, digits: int):
+    """Doubles to so many digits, so that both engines print the same."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def with_nan(df, columns, key: str):
+    """Every 97th row has NaN and every 89th a null in the given columns."""
+    holes = lambda c: F.when(F.col(key) % 97 == 0, float("nan")).when(F.col(key) % 89 != 0, F.col(c).cast("double"))
+    return df.withColumns({c: holes(c) for c in columns})
+
+
+SOUND = "{k} % 97 <> 0 AND {k} % 89 <> 0"
+
+
 @query("feature_profile", _profile_sql())
 def feature_profile(lab: Lab):
-    return profile.feature_profile(measured(lab), [*NUMERIC, "l_returnflag"])
+    return rounded(profile.feature_profile(measured(lab), [*NUMERIC, "l_returnflag"]), 4)
 
 
 @query(
@@ -53,7 +67,7 @@ def feature_profile(lab: Lab):
     ),
 )
 def describe(lab: Lab):
-    return profile.describe(measured(lab), NUMERIC)
+    return rounded(profile.describe(measured(lab), NUMERIC), 4)
 
 
 @query(
@@ -77,37 +91,39 @@ def numeric_columns(lab: Lab):
 
 @query(
     "histogram15",
-    """WITH span AS (SELECT min(value) AS lo, (max(value) - min(value)) / 15 AS w FROM events),
-    counts AS (SELECT least(CAST(floor((value - lo) / w) AS BIGINT), 14) AS bin, count(*) AS n FROM events, span GROUP BY 1)
+    f"""WITH e AS (SELECT * FROM events WHERE {SOUND.format(k="event_id")}), span AS (SELECT min(value) AS lo, (max(value) - min(value)) / 15 AS w FROM e),
+    counts AS (SELECT least(CAST(floor((value - lo) / w) AS BIGINT), 14) AS bin, count(*) AS n FROM e, span GROUP BY 1)
     SELECT r.bin, round(lo + r.bin * w, 1) AS edge, coalesce(n, 0) AS n
     FROM (SELECT range AS bin FROM range(15)) r LEFT JOIN counts USING (bin), span""",
 )
 def histogram15(lab: Lab):
-    return profile.histogram(lab.raw("events"), "value", 15)
+    return rounded(profile.histogram(with_nan(lab.raw("events"), ["value"], "event_id"), "value", 15), 1)
 
 
 @query(
     "corr_matrix",
     " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM lineitem"
+        f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM lineitem WHERE {SOUND.format(k='l_orderkey')}"
         for i, a in enumerate(NUMERIC)
         for b in NUMERIC[i:]
     ),
 )
 def corr_matrix(lab: Lab):
-    return profile.correlations(lab.raw("lineitem"), NUMERIC)
+    return rounded(profile.correlations(with_nan(lab.raw("lineitem"), NUMERIC, "l_orderkey"), NUMERIC), 6)
 
 
 @query(
     "density_grid",
-    """WITH span AS (SELECT min(l_quantity) x0, max(l_quantity) x1, min(l_extendedprice) y0, max(l_extendedprice) y1 FROM lineitem),
+    f"""WITH l AS (SELECT * FROM lineitem WHERE {SOUND.format(k="l_orderkey")}),
+    span AS (SELECT min(l_quantity) x0, max(l_quantity) x1, min(l_extendedprice) y0, max(l_extendedprice) y1 FROM l),
     grid AS (SELECT least(CAST(floor((l_quantity - x0) / (x1 - x0) * 40) AS BIGINT), 39) AS ix,
                     least(CAST(floor((l_extendedprice - y0) / (y1 - y0) * 30) AS BIGINT), 29) AS iy, count(*) AS n
-             FROM lineitem, span GROUP BY 1, 2)
+             FROM l, span GROUP BY 1, 2)
     SELECT ix, iy, n, round(n / max(n) OVER (), 6) AS intensity FROM grid""",
 )
 def density_grid(lab: Lab):
-    return profile.density_grid(lab.raw("lineitem"), "l_quantity", "l_extendedprice", 40, 30)
+    rows = with_nan(lab.raw("lineitem"), ["l_quantity", "l_extendedprice"], "l_orderkey")
+    return rounded(profile.density_grid(rows, "l_quantity", "l_extendedprice", 40, 30), 6)
 
 
 @query(
@@ -173,7 +189,7 @@ def apply_feature_group(lab: Lab):
         Feature("l_extendedprice", "min_max_scaler", stats["l_extendedprice"]),
         Feature("l_discount", "log_transform"),
         Feature("l_tax"),
-        Feature("l_returnflag", "one_hot"),
+        Feature("l_returnflag", "one_hot", categories=tuple(categories(rows, "l_returnflag"))),
         Feature("not_in_this_frame", "standard_scaler"),
     ]
     out = apply_features(rows, group)

@@ -37,6 +37,30 @@ def load_dataset(lab: Lab):
     return union_all(loaded)
 
 
+@query(
+    "load_dataset_text",
+    "SELECT f AS format, doc_id, text, lang, source, n_chars FROM documents, (VALUES ('csv'), ('jsonl'), ('parquet')) t(f)",
+)
+def load_dataset_text(lab: Lab):
+    """Documents, whose texts hold line breaks and quotes, written and loaded back without loss."""
+    docs, loaded = lab.raw("documents"), []
+    for f in ("csv", "jsonl", "parquet"):
+        entry = datasets.save_dataset(docs, scratch(lab.spark, f"documents-{f}"), f"documents-{f}", f)
+        loaded.append(datasets.read_dataset(lab.spark, entry["path"], f, docs.schema).withColumn("format", F.lit(f)))
+    return union_all(loaded)
+
+
+@query(
+    "infer_csv_schema_text",
+    """SELECT * FROM (VALUES (0, 'doc_id', 'int64'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'), (4, 'n_chars', 'int64'))
+    t(position, name, type), (SELECT true AS nullable, count(*) AS row_count FROM documents)""",
+)
+def infer_csv_schema_text(lab: Lab):
+    """The schema of documents saved as CSV, read from the files."""
+    entry = datasets.save_dataset(lab.raw("documents"), scratch(lab.spark, "documents-schema"), "documents", "csv")
+    return csv_schema.infer_csv_schema(lab.spark, entry["path"])
+
+
 @query(
     "save_dataset",
     "SELECT f AS format, 'part-' || f AS name, (SELECT count(*) FROM part) AS row_count FROM (VALUES " + ", ".join(f"('{f}')" for f in FORMATS) + ") t(f)",
@@ -71,7 +95,7 @@ def _schema_sql() -> str:
         "o_orderdate": "CAST(o_orderdate AS VARCHAR)",
     }
     cells = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, {e} AS cell FROM head" for i, (c, e) in enumerate(columns.items()))
-    return f"""WITH head AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100), cells AS ({cells}),
+    return f"""WITH head AS (SELECT * FROM orders), cells AS ({cells}),
     kinds AS (SELECT position, name, CASE WHEN cell = '' THEN 'string' WHEN regexp_full_match(cell, '[+-]?[0-9]+') THEN 'int64'
       WHEN regexp_full_match(cell, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'float64'
       WHEN lower(cell) IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS kind FROM cells),

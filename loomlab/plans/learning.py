@@ -146,13 +146,11 @@ def row_transform(lab: Lab):
     return learning.row_transform(lab.raw("documents").select("doc_id", "text", "lang"), item, "doc_id bigint, chars bigint, lang string")
 
 
-def labeled(lab: Lab):
-    texts = lab.raw("documents").select("doc_id", "text", "lang", "n_chars")
-    rows = texts.join(lab.raw("labels").select("doc_id", "quality"), "doc_id")
+def described(lab: Lab):
+    """Features of every document."""
     words = F.size(F.split("text", r"\s+"))
-    return rows.select(
+    return lab.raw("documents").select(
         "doc_id",
-        F.col("quality").cast("double").alias("quality"),
         "lang",
         F.log1p(F.col("n_chars").cast("double")).alias("length"),
         (F.col("n_chars") / words).alias("word_length"),
@@ -160,6 +158,11 @@ def labeled(lab: Lab):
     )
 
 
+def labeled(lab: Lab):
+    labels = lab.raw("labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    return described(lab).join(labels, "doc_id")
+
+
 FEATURES = ["length", "word_length", "marks"]
 
 
@@ -173,7 +176,6 @@ def cv_train(lab: Lab):
 
 @query("batch_inference")
 def batch_inference(lab: Lab):
-    """Every labeled document scored by the fitted classifier."""
-    rows = labeled(lab)
-    model = learning.stored(learning.classifier(FEATURES, ["lang"], "quality").fit(rows))
-    return model.transform(rows).select("doc_id", F.col("prediction").cast("int").alias("predicted_quality"))
+    """Every document scored by the classifier that is fitted on the labeled ones."""
+    model = learning.stored(learning.classifier(FEATURES, ["lang"], "quality").fit(labeled(lab)))
+    return model.transform(described(lab)).select("doc_id", F.col("prediction").cast("int").alias("predicted_quality"))

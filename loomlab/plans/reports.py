@@ -99,8 +99,8 @@ def health_pct(lab: Lab):
 
 @query(
     "alerts",
-    f"""WITH {ENDPOINTS} SELECT id, 'err-' || id AS alert_id, 'error' AS kind, 'Error rate spike on ' || name AS message FROM endpoints WHERE error_rate > 2
-    UNION ALL SELECT id, 'warn-' || id, 'warn', 'High latency on ' || name FROM endpoints WHERE latency > 500
+    f"""WITH {ENDPOINTS} SELECT id, 'err-' || id AS alert_id, 'error' AS kind, 'Error rate spike on ' || name || ': ' || CAST(CAST(error_rate AS DECIMAL(18,2)) AS VARCHAR) || '% (threshold: 2%)' AS message FROM endpoints WHERE error_rate > 2
+    UNION ALL SELECT id, 'warn-' || id, 'warn', 'High latency on ' || name || ': ' || CAST(CAST(latency AS DECIMAL(18,2)) AS VARCHAR) || ' ms (threshold: 500 ms)' FROM endpoints WHERE latency > 500
     UNION ALL SELECT id, 'info-' || id, 'info', name || ' scaled to ' || replicas || ' replicas' FROM endpoints WHERE replicas > 1""",
 )
 def alerts(lab: Lab):

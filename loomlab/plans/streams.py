@@ -71,8 +71,7 @@ def live_subscription(lab: Lab):
 def micro_batch_flush(lab: Lab):
     """Every point is sent twice, as after a failed flush; the landed table has it once."""
     sent = metric_stream(lab).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2)))).drop("attempt")
-    once = st.without_retries(sent, "id", "recorded_at", "1 hour")
-    return st.append_to(lab.spark, once, scratch(lab.spark, "flushed"), interval=st.FLUSH_INTERVAL)
+    return st.land_once(lab.spark, sent, scratch(lab.spark, "flushed"), "id", "recorded_at", interval=st.FLUSH_INTERVAL)
 
 
 @query("metric_append", f"WITH {METRICS} SELECT * FROM metrics")
@@ -132,7 +131,7 @@ def live_status_counts(lab: Lab):
 def refresh_snapshot(lab: Lab):
     points = lab.stream("events").select("event_id", "value")
     return st.refresh(
-        lab.spark, points, scratch(lab.spark, "store"), scratch(lab.spark, "snapshots"), lambda table: profile.histogram(table, "value", 15)
+        lab.spark, points, scratch(lab.spark, "store"), scratch(lab.spark, "snapshots"), lambda table: profile.histogram(table, "value", 15).withColumn("edge", F.round("edge", 1))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,6 +20,7 @@ def build_session(app: str = "loomlab", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")  # top-k is cut before the shuffle up to this k
     )
     if master:
         builder = builder.master(master)
@@ -30,14 +32,16 @@ def build_session(app: str = "loomlab", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local master may fall back to a folder of this machine.
+    Only a local master may do without a name: it has one folder of this machine for the whole application.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="loomlab-")
+    own = os.path.join(tempfile.gettempdir(), f"loomlab-{spark.sparkContext.applicationId}")
+    os.makedirs(own, exist_ok=True)
+    return own
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:

@@ -1,7 +1,7 @@
 """Schema inference over text cells, on a lattice of its own.
 
 Spark's ``inferSchema`` reads dates and takes empty cells as null; here an empty cell makes the
-column text, only integers and floats merge, and the first hundred rows decide.
+column text, only integers and floats merge, and all rows decide.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 100
 # What a strict number parser accepts.
 INTEGER = r"^[+-]?\d+$"
 FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
@@ -38,14 +37,14 @@ def column_type(kinds: Column) -> Column:
     )
 
 
-def infer_schema(cells: DataFrame, order: list[str], tolerant: bool = False) -> DataFrame:
+def infer_schema(cells: DataFrame, order: list[str], tolerant: bool = False, sample_rows: int | None = None) -> DataFrame:
     """(position, name, type, nullable, row_count) of a frame of text columns.
 
-    Types come from the first hundred rows in ``order`` (all columns outside it are cells), the
-    count from all rows. ``tolerant`` ignores empty cells instead of reading them as text.
+    All columns outside ``order`` are cells. Types come from all rows, in one aggregate, or from the first
+    ``sample_rows`` in ``order`` where the caller asks for that; the count is of all rows. ``tolerant`` ignores empty cells instead of reading them as text.
     """
     names = [c for c in cells.columns if c not in order]
-    sample = cells.orderBy(*order).limit(SAMPLE_ROWS)
+    sample = cells if sample_rows is None else cells.orderBy(*order).limit(sample_rows)
     long = sample.select(
         F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("cell")) for c in names])).alias("position", "c")
     ).select("position", "c.name", "c.cell")
@@ -60,12 +59,15 @@ def infer_schema(cells: DataFrame, order: list[str], tolerant: bool = False) ->
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """A headed CSV as text cells with the file position of each row; rows of wrong arity are dropped."""
-    header = spark.read.csv(path, header=True, escape='"').columns
+    """A headed CSV as text cells with the file position of each row; rows of wrong arity are dropped.
+
+    Cells may hold line breaks, so a file is read by one task: write large tables as many files.
+    """
+    header = spark.read.csv(path, header=True, escape='"', multiLine=True).columns
     fields = [T.StructField(c, T.StringType()) for c in header]
     schema = T.StructType([*fields, T.StructField("_bad", T.StringType())])
     # Without column pruning the reader sees the arity of every row, whatever columns a query uses.
-    reader = spark.read.schema(schema).option("columnPruning", "false")
+    reader = spark.read.schema(schema).option("columnPruning", "false").option("multiLine", "true")
     rows = reader.csv(path, header=True, escape='"', columnNameOfCorruptRecord="_bad", nullValue="\0", emptyValue="")
     place = {
         "_file": F.col("_metadata.file_path"),
@@ -78,5 +80,5 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return placed.where(F.coalesce("_bad", touched).isNull()).drop("_bad")
 
 
-def infer_csv_schema(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    return infer_schema(read_cells(spark, path), ["_file", "_block", "_row"], tolerant)
+def infer_csv_schema(spark: SparkSession, path: str, tolerant: bool = False, sample_rows: int | None = None) -> DataFrame:
+    return infer_schema(read_cells(spark, path), ["_file", "_block", "_row"], tolerant, sample_rows)

@@ -21,14 +21,15 @@ def find_dataset(catalog: DataFrame, name_or_id: str) -> dict:
 def read_dataset(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFrame | str:
     """A lazy scan; formats that are not tabular come back as their path.
 
-    ``json`` is one array or object per file, ``jsonl`` one object per line. Without a schema
+    ``json`` is one array or object per file, ``jsonl`` one object per line. Cells of ``csv`` may hold line breaks, so
+    one task reads a file of ``csv`` or ``json``: ``jsonl`` and ``parquet`` are for large files. Without a schema
     text formats are inferred, which costs a pass; the catalog's schema avoids it.
     """
     if fmt not in TABULAR:
         return path
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, escape='"', multiLine=False)
+        return reader.csv(path, header=True, inferSchema=schema is None, escape='"', multiLine=True, nullValue="\0", emptyValue="")
     if fmt == "parquet":
         return spark.read.parquet(path)
     return reader.json(path, multiLine=fmt == "json")
@@ -59,7 +60,7 @@ def save_dataset(
     seen = Observation(f"rows of {name}")
     counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
     if fmt == "csv":
-        counted.write.csv(path, header=True, escape='"')
+        counted.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif fmt == "parquet":
         counted.write.parquet(path)
     else:

@@ -123,10 +123,28 @@ def subscribe(metrics: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return metrics.join(subscriptions.select("job_id"), "job_id", "left_semi")
 
 
-def without_retries(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
-    """Drop the repeats a sender's retries cause; state is kept for ``delay`` of event time."""
-    timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
-    return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
+def land_once(spark: SparkSession, stream: DataFrame, path: str, key: str, at: str, **drain_options) -> DataFrame:
+    """Land a stream without the repeats that a sender's retries cause; rows may come in any order and however late.
+
+    A batch loses its own repeats and then, in an anti join, the keys that earlier batches landed on the same days. A
+    retry sends the same row, so its day is the same; the landed table has a folder per day, and only the days
+    between the batch's first and last are read. A batch that runs again writes to the same folder.
+    """
+    kinds = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_day", T.StringType())])
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        day = F.coalesce(F.to_date(F.col(at)).cast("string"), F.lit("none"))
+        fresh = batch.dropDuplicates([key]).withColumn("_day", day)
+        span = batch.agg(F.min(day).alias("low"), F.max(day).alias("high")).first()
+        if span["low"] is not None:
+            earlier = spark.read.schema(kinds).parquet(path).where(F.col("_day").between(span["low"], span["high"]) & (F.col("_batch") < batch_id))
+            fresh = fresh.join(earlier.select(key, "_day"), [key, "_day"], "left_anti")
+        fresh.write.partitionBy("_day").mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+    empty = spark.createDataFrame([], stream.schema).withColumn("_day", F.lit("none"))
+    empty.write.partitionBy("_day").mode("ignore").parquet(f"{path}/_batch=-1")
+    drain(spark, stream.writeStream.foreachBatch(land), **drain_options)
+    return spark.read.schema(kinds).parquet(path).drop("_batch", "_day")
 
 
 def log_lines(stream: DataFrame, level: str | None = None, default_at: Column | None = None) -> DataFrame:

@@ -12,9 +12,9 @@ NAN = float("nan")
 
 
 def test_profile_reads_nan_as_missing(spark):
-    df = spark.createDataFrame([(10.0,), (20.0,), (30.0,), (NAN,)], "val double")
+    df = spark.createDataFrame([(4.0,), (8.0,), (12.0,), (NAN,), (NAN,)], "val double")
     r = profile.feature_profile(df).first()
-    assert (r["mean"], r["std"], r["min"], r["max"], r["null_rate"]) == (20.0, 10.0, 10.0, 30.0, 0.25)
+    assert (r["mean"], r["std"], r["min"], r["max"], r["null_rate"]) == (8.0, 4.0, 4.0, 12.0, 0.4)
 
 
 def test_profile_of_missing_and_text_columns(spark):
@@ -25,20 +25,20 @@ def test_profile_of_missing_and_text_columns(spark):
 
 
 def test_default_columns_are_the_numeric_ones(spark):
-    df = spark.createDataFrame([(25, 7.5, "a"), (30, 12.0, "b"), (35, 20.0, "c")], "age long, fare double, name string")
-    assert profile.numeric_columns(df) == ["age", "fare"]
-    assert [r["feature"] for r in profile.feature_profile(df, ["fare", "age"]).collect()] == ["fare", "age"]
+    df = spark.createDataFrame([(1, 0.5, "u"), (2, 1.5, "v")], "depth long, width double, label string")
+    assert profile.numeric_columns(df) == ["depth", "width"]
+    assert [r["feature"] for r in profile.feature_profile(df, ["width", "depth"]).collect()] == ["width", "depth"]
 
 
 @pytest.mark.parametrize(
     "kind, stats, given, want",
     [
-        ("standard_scaler", Stats(30.0, 10.0, None, None), [20.0, 30.0, 40.0], [-1.0, 0.0, 1.0]),
-        ("standard_scaler", Stats(30.0, 0.0, None, None), [20.0, 30.0], [20.0, 30.0]),
-        ("standard_scaler", Stats(30.0, None, None, None), [20.0, 30.0], [20.0, 30.0]),
-        ("min_max_scaler", Stats(None, None, 0.0, 100.0), [0.0, 50.0, 100.0], [0.0, 0.5, 1.0]),
+        ("standard_scaler", Stats(50.0, 4.0, None, None), [42.0, 50.0, 53.0], [-2.0, 0.0, 0.75]),
+        ("standard_scaler", Stats(50.0, 0.0, None, None), [42.0, 53.0], [42.0, 53.0]),
+        ("standard_scaler", Stats(50.0, None, None, None), [42.0, 53.0], [42.0, 53.0]),
+        ("min_max_scaler", Stats(None, None, -2.0, 6.0), [-2.0, 0.0, 6.0], [0.0, 0.25, 1.0]),
         ("min_max_scaler", Stats(None, None, 5.0, 5.0), [5.0], [5.0]),
-        ("log_transform", Stats(None, None, None, None), [0.0, 1.0, 99.0], [0.0, math.log(2), math.log(100)]),
+        ("log_transform", Stats(None, None, None, None), [0.0, 3.0, 7.5], [0.0, math.log(4), math.log(8.5)]),
     ],
 )
 def test_transforms(spark, kind, stats, given, want):
@@ -53,21 +53,23 @@ def test_log_outside_domain_is_null(spark):
 
 
 def test_one_hot(spark):
-    df = spark.createDataFrame([("red", 1), ("blue", 2), ("red", 3), (None, 4)], "color string, value long")
-    out = tf.apply_features(df, [tf.Feature("color", "one_hot")])
-    assert out.columns == ["value", "color_blue", "color_red"]
+    df = spark.createDataFrame([("oval", 1), ("cube", 2), ("oval", 3), (None, 4)], "shape string, value long")
+    out = tf.apply_features(df, [tf.Feature("shape", "one_hot", categories=tuple(tf.categories(df, "shape")))])
+    assert out.columns == ["value", "shape_cube", "shape_oval"]
     assert [tuple(r) for r in out.orderBy("value").collect()] == [(1, False, True), (2, True, False), (3, False, True), (4, False, False)]
 
 
-def test_one_hot_refuses_wide_columns(spark):
-    with pytest.raises(ValueError):
-        tf.categories(spark.range(tf.MAX_CATEGORIES + 1), "id")
+def test_one_hot_of_many_values_is_sparse(spark):
+    df = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("code"))
+    out = tf.apply_features(df, [tf.Feature("code", "one_hot")])
+    assert out.columns == ["code_one_hot"] and out.where("code_one_hot[17]").count() == 1
+    assert out.where("size(code_one_hot) = 0").count() == 1
 
 
 def test_registering_a_feature_twice_applies_it_once(spark):
     df = spark.createDataFrame([(20.0,)], "x double")
-    twice = [tf.Feature("x", "standard_scaler", Stats(30.0, 10.0, None, None))] * 2
-    assert tf.apply_features(df, twice).first()["x"] == -1.0
+    twice = [tf.Feature("x", "standard_scaler", Stats(30.0, 5.0, None, None))] * 2
+    assert tf.apply_features(df, twice).first()["x"] == -2.0
 
 
 def test_dropna_drops_null_and_nan(spark):
@@ -97,6 +99,22 @@ def test_describe_sketch_variant(spark):
     assert (r["q1"], r["median"], r["q3"]) == (250.0, 500.0, 750.0)
 
 
+def test_small_values_keep_their_digits(spark):
+    df = spark.createDataFrame([(1e-7,), (3e-7,)], "x double")
+    r, d = profile.feature_profile(df).first(), profile.describe(df, ["x"]).first()
+    assert r["mean"] == pytest.approx(2e-7) and r["max"] == 3e-7 and d["median"] == pytest.approx(2e-7) and d["std"] > 1e-7
+
+
+def test_nan_counts_as_missing(spark):
+    rows = [(float(i), float(2 * i)) for i in range(16)]
+    clean, holed = (spark.createDataFrame(rows + more, "x double, y double") for more in ([], [(NAN, 1.0), (2.0, NAN), (None, NAN)]))
+    edges = [[r["edge"] for r in profile.histogram(df, "y").orderBy("bin").collect()] for df in (clean, holed)]
+    assert edges[0] == edges[1]
+    assert all(r["corr"] == pytest.approx(1.0) for r in profile.correlations(holed, ["x", "y"]).collect())
+    grids = [sorted(map(tuple, profile.density_grid(df, "x", "y", 4, 4).collect())) for df in (clean, holed)]
+    assert grids[0] == grids[1]
+
+
 def test_histogram_edges(spark):
     constant = spark.createDataFrame([(7.0,)] * 3, "x double")
     rows = sorted(map(tuple, profile.histogram(constant, "x").collect()))

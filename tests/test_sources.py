@@ -22,10 +22,20 @@ def test_csv_schema(spark, tmp_path):
     assert types_of(spark, f, tolerant=True)[0]["gap"] == "int64"
 
 
-def test_only_the_first_hundred_rows_decide(spark, tmp_path):
+def test_all_rows_decide_unless_told_otherwise(spark, tmp_path):
     f = tmp_path / "b.csv"
     f.write_text("x\n" + "\n".join(str(i) for i in range(100)) + "\nword\n")
-    assert types_of(spark, f) == ({"x": "int64"}, {101})
+    assert types_of(spark, f) == ({"x": "string"}, {101})
+    assert types_of(spark, f, sample_rows=100) == ({"x": "int64"}, {101})
+
+
+def test_text_survives_csv(spark, tmp_path):
+    rows = [(1, 'line one\nline "two", still\n\nend'), (2, ""), (3, None), (4, "back\\slash, tab\t")]
+    df = spark.createDataFrame(rows, "a long, b string")
+    entry = datasets.save_dataset(df, str(tmp_path / "d"), "d", "csv")
+    back = datasets.read_dataset(spark, entry["path"], "csv", df.schema)
+    assert sorted(map(tuple, back.collect())) == rows
+    assert types_of(spark, entry["path"]) == ({"a": "int64", "b": "string"}, {4})
 
 
 @pytest.mark.parametrize(

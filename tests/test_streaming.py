@@ -64,10 +64,22 @@ def test_each_job_completes_once(spark, points, arriving):
 
 def test_retries_land_once(spark, points, arriving):
     doubled = arriving().withColumn("_again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_again")
-    landed = st.append_to(spark, st.without_retries(doubled, "id", "recorded_at", "1 hour"), scratch(spark, "r"))
+    landed = st.land_once(spark, doubled, scratch(spark, "r"), "id", "recorded_at")
     assert sorted(r["id"] for r in landed.collect()) == list(range(400))
 
 
+def test_late_rows_land_too(spark, tmp_path):
+    """Newest day first, one file per batch, each file sent twice: every point lands once."""
+    source, out = str(tmp_path / "late"), scratch(spark, "late")
+    for day in range(9, 0, -1):
+        for _ in range(2):
+            rows = spark.sql(f"SELECT {day} * 100 + id AS id, timestamp_ntz '2024-01-0{day} 00:00:00' AS at FROM range(5)")
+            rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id long, at timestamp_ntz").option("maxFilesPerTrigger", "1").option("latestFirst", "false").parquet(source)
+    landed = st.land_once(spark, stream, out, "id", "at")
+    assert sorted(r["id"] for r in landed.collect()) == sorted(d * 100 + i for d in range(1, 10) for i in range(5))
+
+
 def test_restart_goes_on_where_it_stopped(spark, points, tmp_path):
     source, out, state = str(tmp_path / "s"), scratch(spark, "o"), scratch(spark, "state")
     for i in range(2):
