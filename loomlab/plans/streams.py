@@ -74,6 +74,18 @@ def micro_batch_flush(lab: Lab):
     return st.land_once(lab.spark, sent, scratch(lab.spark, "flushed"), "id", "recorded_at", interval=st.FLUSH_INTERVAL)
 
 
+@query(
+    "windowed_metrics",
+    f"""WITH {METRICS} SELECT metric_name, time_bucket(INTERVAL '1 day', recorded_at) AS window_start, count(value) AS n,
+    round(sum(value) / count(value), 6) AS mean FROM metrics GROUP BY 1, 2""",
+)
+def windowed_metrics(lab: Lab):
+    """Daily means per metric from the stream; late rows would stand in a table beside."""
+    points = metric_stream(lab)
+    means, _ = st.windowed_means(lab.spark, points, scratch(lab.spark, "windows"), ["metric_name"], "recorded_at", "value", "1 day", "1 hour")
+    return means.withColumn("mean", F.round("mean", 6))
+
+
 @query("metric_append", f"WITH {METRICS} SELECT * FROM metrics")
 def metric_append(lab: Lab):
     return st.append_to(lab.spark, metric_stream(lab), scratch(lab.spark, "metrics"))

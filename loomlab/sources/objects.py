@@ -80,18 +80,16 @@ def hub_scan(spark: SparkSession, path: str, split: str = "train", transform: Ca
 
 
 def open_source(spark: SparkSession, kind: str, batch_size: int | None = None, transform: Callable | None = None, **options) -> DataFrame:
-    """A source by type. ``batch_size``, if given, is the rows handed to Python functions at a time."""
+    """A source by type. ``batch_size`` is the rows that a database source fetches at a time."""
     if kind not in SOURCE_TYPES:
         raise ValueError(f"Unknown source type: {kind}. Choose from {list(SOURCE_TYPES)}")
-    if batch_size is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
     if kind == "huggingface":
         rows = hub_scan(spark, options["name"], options.get("split", "train"))
     elif kind == "s3":
         base = options.get("path") or f"s3a://{options['bucket']}/{options.get('prefix', '')}"
         rows = object_scan(spark, base)
     elif kind == "postgres":
-        rows = jdbc_scan(spark, options["db_url"], options["query"], options.get("fetch", 1000), options.get("split"))
+        rows = jdbc_scan(spark, options["db_url"], options["query"], options.get("fetch", batch_size or 1000), options.get("split"))
     else:
         rows = object_scan(spark, options["path"], options.get("pattern"))
         if "decoder" in options:

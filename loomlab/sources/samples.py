@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +63,11 @@ def publish_records(samples: DataFrame, sidecar_columns: list[str], has_sidecar)
 
 
 def write_records(records: DataFrame, path: str, rows_per_file: int) -> None:
-    """Parquet shards of bounded size; an empty table is an error."""
-    if records.isEmpty():
+    """Parquet shards of bounded size; an empty table is an error, found by counting what was written."""
+    seen = Observation("records")
+    records.observe(seen, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    if not seen.get["n"]:
         raise ValueError("no samples to publish")
-    records.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def export_captions(captions: DataFrame, fps: int = EXPORT_FPS, resolution=EXPORT_RESOLUTION, audio_rate: int = EXPORT_AUDIO_RATE) -> DataFrame:

@@ -147,6 +147,40 @@ def land_once(spark: SparkSession, stream: DataFrame, path: str, key: str, at: s
     return spark.read.schema(kinds).parquet(path).drop("_batch", "_day")
 
 
+def windowed_means(
+    spark: SparkSession, stream: DataFrame, path: str, keys: list[str], at: str, value: str, length: str, delay: str, **drain_options
+) -> tuple[DataFrame, DataFrame]:
+    """(means per key and tumbling window, late rows) of a stream.
+
+    A row is late if it is more than ``delay`` older than the newest row of the earlier batches; late rows are kept in a
+    table of their own instead of being dropped. A batch adds one row of sums per key and window, so means are merged
+    from sums and no earlier row is read again. Its watermark goes on to the next batch by one small file.
+    """
+    sums, late, marks = f"{path}/sums", f"{path}/late", f"{path}/marks"
+    mark = T.StructType([T.StructField("newest", stream.schema[at].dataType)])
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.schema(mark).parquet(f"{marks}/batch={batch_id - 1}")
+        known = before.first()["newest"]
+        is_late = F.lit(False) if known is None else F.coalesce(F.col(at) < F.lit(known) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        start = F.window(at, length)["start"].alias("window_start")
+        kept = batch.where(~is_late).groupBy(*keys, start).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
+        kept.write.mode("overwrite").parquet(f"{sums}/batch={batch_id}")
+        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        newest = before.unionByName(batch.select(F.col(at).alias("newest"))).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+
+    none = spark.createDataFrame([], stream.schema)
+    folded = none.groupBy(*keys, F.window(at, length)["start"].alias("window_start")).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
+    folded.write.mode("ignore").parquet(f"{sums}/batch=-1")
+    none.write.mode("ignore").parquet(f"{late}/batch=-1")
+    spark.createDataFrame([(None,)], mark).write.mode("ignore").parquet(f"{marks}/batch=-1")
+    drain(spark, stream.writeStream.foreachBatch(fold), **drain_options)
+    parts = spark.read.schema(folded.schema).parquet(sums)
+    means = parts.groupBy(*keys, "window_start").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    return means, spark.read.schema(stream.schema).parquet(late)
+
+
 def log_lines(stream: DataFrame, level: str | None = None, default_at: Column | None = None) -> DataFrame:
     """Log lines, those without a time stamped on arrival, optionally of one level."""
     at = F.col("logged_at") if default_at is None else F.coalesce("logged_at", default_at)

@@ -80,6 +80,19 @@ def test_late_rows_land_too(spark, tmp_path):
     assert sorted(r["id"] for r in landed.collect()) == sorted(d * 100 + i for d in range(1, 10) for i in range(5))
 
 
+def test_late_rows_stay_visible(spark, tmp_path):
+    source = str(tmp_path / "w")
+    for hours in ([0, 1, 30], [29, 2, None], [31]):
+        rows = spark.createDataFrame([("a", h) for h in hours], "k string, h int")
+        rows = rows.selectExpr("k", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h) AS at", "CAST(h AS DOUBLE) AS v")
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k string, at timestamp_ntz, v double").option("maxFilesPerTrigger", "1").parquet(source)
+    means, late = st.windowed_means(spark, stream, scratch(spark, "w"), ["k"], "at", "v", "1 day", "5 hours")
+    got = {str(r["window_start"])[:10]: (r["n"], r["mean"]) for r in means.collect() if r["window_start"]}
+    assert got == {"2024-01-01": (2, 0.5), "2024-01-02": (3, 30.0)}
+    assert [r["v"] for r in late.collect()] == [2.0]
+
+
 def test_restart_goes_on_where_it_stopped(spark, points, tmp_path):
     source, out, state = str(tmp_path / "s"), scratch(spark, "o"), scratch(spark, "state")
     for i in range(2):
