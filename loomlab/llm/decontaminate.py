@@ -29,7 +29,6 @@ UNITS = frozenset(
     "kilograms gram grams degree degrees".split()
 )
 NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:%|[a-zA-Z°/]{1,4})?")
-NAME = re.compile(r"[^\W\d_a-z][^\W\d_A-Z]+", re.UNICODE)
 LITERAL, NUM, UNIT_WORD, PROPER = 0, 1, 2, 3
 SLOT_CODES = {NUM: 1, UNIT_WORD: 2, PROPER: 3}
 WIDTH = 8
@@ -45,12 +44,17 @@ COVERAGE, RUN_WORDS = 0.5, 13
 AGREEMENT = 0.8
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 17)
 def reading(word: str) -> tuple[int, int, str]:
     """(code of the literal, kind, bare word) of a word."""
     bare = word.strip(".,;:!?\"'()[]{}<>«»„“”‘’…")
     low = bare.lower()
-    kind = NUM if NUMBER.fullmatch(bare) else UNIT_WORD if low in UNITS else PROPER if NAME.fullmatch(bare) else LITERAL
+    if low in UNITS:
+        kind = UNIT_WORD
+    elif bare.isalpha():
+        kind = PROPER if bare[0].isupper() and bare[1:].islower() else LITERAL
+    else:
+        kind = NUM if NUMBER.fullmatch(bare) else LITERAL
     return xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) | 4, kind, low
 
 
