@@ -33,7 +33,7 @@ BATCH = 256
 #: Texts are handed to the tokenizer in parts of about so many bytes; a longer text is a part of its own.
 PART_BYTES = 1 << 21
 #: Words that a task remembers the ids of; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: What the tokenizer never splits: Latin letters in lower case, or punctuation.
 UNSPLIT = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?]+")
 #: Punctuation between a letter and white space, which the tokenizer takes for a token of its own.
