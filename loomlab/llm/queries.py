@@ -93,6 +93,30 @@ QUERIES = {
         op8_secret_scan, op9_quality_rules, op10_token_files, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _escaped_sql(text: str, control: list[str]) -> str:
+    for i, c in enumerate(control):
+        text = f"replace({text}, {'chr(10)' if c == chr(10) else repr(c)}, '{chat.MARK}{i}')"
+    return text
+
+
+OP5_SQL = f"""WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM rows),
+sizes AS (
+  SELECT *, {len(chat.START) + 1 + len(chat.END)} + length({_escaped_sql('r', chat.ROLE_CONTROL)}) + length({_escaped_sql('t', chat.CONTROL)}) AS chars FROM turns),
+walk AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto, max(i) OVER (PARTITION BY conv_id) AS last FROM sizes)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY i)) AS loss_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' OR i = last THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM walk GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {"op5_chat_format": OP5_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
