@@ -117,6 +117,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
   CAST(sum(CASE WHEN r = 'assistant' OR i = last THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM walk GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op5_chat_format": OP5_SQL}
+ONE, HALF = 1 << mixing.BITS, (1 << 21) - 1
+OP2_SQL = f"""WITH sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number, 3 * source_size AS most,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total FROM sums),
+weighed AS (SELECT *, CAST(1 + number % 3 AS DOUBLE) AS weight FROM numbered),
+steps AS (
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+found AS (SELECT coalesce(min_by(level, number_of) FILTER (level * weight <= most), 0.0) AS level
+  FROM (SELECT *, row_number() OVER (ORDER BY most / weight, number) AS number_of FROM steps)),
+aimed AS (SELECT w.*, least(CAST(most AS DOUBLE), weight * f.level) AS target FROM weighed w, found f),
+reached AS (
+  SELECT *, floor(sum(target) OVER (ORDER BY number) / sum(target) OVER () * {ONE}) AS edge, max(number) FILTER (target > 0) OVER () AS final FROM aimed),
+spans AS (SELECT *, CAST(CASE WHEN number >= final THEN {ONE} ELSE edge END AS BIGINT) AS high FROM reached),
+bounds AS (SELECT *, coalesce(lag(high) OVER (ORDER BY number), 0) AS low FROM spans),
+points AS (
+  SELECT (((n >> 21) * {(mixing.GOLDEN << 21) % ONE}) % {ONE} + ((n & {HALF}) * {mixing.GOLDEN}) % {ONE}) % {ONE} AS point
+  FROM (SELECT unnest(range(1, (SELECT CAST(ceil(max(total) / 64.0) AS BIGINT) FROM weighed) + 1)) AS n)),
+given AS (
+  SELECT b.number, least(CAST(floor(any_value(b.target)) AS BIGINT), 64 * count(p.point)) AS words
+  FROM bounds b LEFT JOIN points p ON p.point >= b.low AND p.point < b.high GROUP BY b.number),
+placed AS (
+  SELECT s.doc_id, s.source, s.size, b.source_size, b.target, g.words,
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY b.number ORDER BY md5(CAST(s.doc_id AS VARCHAR) || ':mix'), s.doc_id, s.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+  FROM sized s JOIN bounds b ON s.source IS NOT DISTINCT FROM b.source JOIN given g ON g.number = b.number)
+SELECT doc_id, source, size, source_size, target,
+  """ + " + ".join(f"greatest(0, least(words, {i} * source_size + ahead + size) - ({i} * source_size + ahead))" for i in range(3)) + """ AS taken FROM placed"""
+
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
