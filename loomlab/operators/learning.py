@@ -17,13 +17,16 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlab.operators.sweeps import draw
 from loomlab.session import scratch
 
 FOLDS = 5
+#: Least variance of a feature within a class.
+MIN_VARIANCE = 1e-9
 MERGE_FAN_IN = 64
 OPEN_STATES = 10_000
 
@@ -120,6 +123,81 @@ def row_transform(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructTyp
     return df.mapInPandas(apply, schema)
 
 
+# classifier in closed form ---------------------------------------------------------------------
+
+
+def gaussian_models(df: DataFrame, features: list[str], label: str, fold: str | None = None, folds: int = 0) -> DataFrame:
+    """One row (model, classes) for each fold left out, and one, numbered ``folds``, for all rows.
+
+    A class has its label, its log prior and, per feature, mean and variance. They come from sums per fold and label, so
+    the rows are read once for all models: what a fold leaves is the total less its own sums. Rows without a label
+    say nothing, null features are left out of the sums. A model is as long as there are labels.
+    """
+    sums = {}
+    for i, name in enumerate(features):
+        x = F.col(name).cast("double")
+        sums |= {f"n_{i}": F.count(x), f"s_{i}": F.sum(x), f"q_{i}": F.sum(x * x)}
+    own = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), (F.col(fold) if fold else F.lit(-1)).alias("model"))
+    own = own.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
+    names = ["n", *sums]
+    total = own.groupBy("label").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    total = total.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("model"))
+    left = total.join(own, ["label", "model"], "left")
+    left = left.select("label", "model", *[(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names]).where(F.col("n") > 0)
+    stats = []
+    for i in range(len(features)):
+        mean = F.col(f"s_{i}") / F.nullif(F.col(f"n_{i}"), F.lit(0))
+        spread = F.greatest(F.col(f"q_{i}") / F.nullif(F.col(f"n_{i}"), F.lit(0)) - mean * mean, F.lit(MIN_VARIANCE))
+        stats.append(F.struct(mean.alias("mean"), spread.alias("variance")))
+    one = F.struct("label", F.log(F.col("n").cast("double")).alias("prior"), F.array(*stats).alias("stats"))
+    return left.groupBy("model").agg(F.collect_list(one).alias("classes"))
+
+
+def gaussian_prediction(features: list[str]) -> Column:
+    """The likeliest label by the ``classes`` of a model, the smallest of equals; a null feature has no say."""
+
+    def cost(c: Column) -> Column:
+        out = -c["prior"]
+        for i, name in enumerate(features):
+            s = c["stats"][i]
+            off = F.col(name).cast("double") - s["mean"]
+            out = out + F.coalesce(F.log(s["variance"]) / 2 + off * off / (2 * s["variance"]), F.lit(0.0))
+        return F.struct(out.alias("cost"), c["label"].alias("label"))
+
+    return F.array_min(F.transform("classes", cost))["label"]
+
+
+def gaussian_train(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """The model of all labeled rows, a table of one row."""
+    return gaussian_models(df, features, label)
+
+
+def gaussian_infer(df: DataFrame, features: list[str], model: DataFrame, output: str = "prediction") -> DataFrame:
+    """``df`` with the predictions of a one-row model; null everywhere if the model was fitted to nothing."""
+    rows = df.withColumn("classes", model.select("classes").scalar())
+    return rows.select(*df.columns, gaussian_prediction(features).alias(output))
+
+
+def cv_train(df: DataFrame, key: str, features: list[str], label: str, folds: int = FOLDS) -> DataFrame:
+    """Cross-validated accuracy and loss, then those of the fit on all rows: (epoch, metric_name, value).
+
+    There are no more folds than rows, and folds without rows have no epoch. One pass sums up for every model, another
+    scores each row by the model without its fold and by the whole one.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    folds = min(folds, rows.count())
+    if not folds:
+        return df.sparkSession.createDataFrame([], "epoch int, metric_name string, value double")
+    placed = rows.withColumn("_fold", fold_of(key, folds))
+    models = gaussian_models(placed, features, label, "_fold", folds)
+    scored = placed.withColumn("model", F.explode(F.array(F.col("_fold"), F.lit(folds)))).join(models, "model")
+    hit = (gaussian_prediction(features) == F.col(label)).cast("long")
+    found = scored.groupBy("model").agg((F.sum(hit) / F.count(F.lit(1))).alias("accuracy"))
+    found = found.withColumn("epoch", F.row_number().over(Window.orderBy("model")))  # one row per fold
+    row = lambda name, value: F.struct(F.lit(name).alias("metric_name"), value.alias("value"))
+    return found.select("epoch", F.inline(F.array(row("accuracy", F.col("accuracy")), row("loss", 1 - F.col("accuracy")))))
+
+
 # pipelines of Spark ML -------------------------------------------------------------------------
 
 
@@ -143,19 +221,19 @@ def accuracy(scored: DataFrame, label: str) -> float:
     return scored.agg(hit.alias("a")).first()["a"] or 0.0
 
 
-def fold_of(key: Column, folds: int) -> Column:
-    """The fold of a row by the hash of its key, the same in every run."""
-    return F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+def fold_of(key: str, folds: int) -> Column:
+    """The fold of a row by the MD5 sum of its key, the same in every run and in any database."""
+    return F.floor(draw("fold", 0, key) * folds).cast("int")
 
 
-def cv_train(df: DataFrame, key: str, label: str, pipeline: Pipeline, folds: int = FOLDS) -> tuple[DataFrame, PipelineModel]:
-    """Cross-validate, then fit on all rows: metric rows (epoch, metric_name, value) and the model.
+def cv_pipeline(df: DataFrame, key: str, label: str, pipeline: Pipeline, folds: int = FOLDS) -> tuple[DataFrame, PipelineModel]:
+    """Cross-validate any pipeline, then fit on all rows: metric rows (epoch, metric_name, value) and the model.
 
-    The folds run side by side; each fit and each score is a distributed job.
+    The folds run side by side; each fit and each score is a distributed job. :func:`cv_train` needs one fit for all.
     """
     spark = df.sparkSession
     folds = min(folds, df.count())
-    placed = df.withColumn("_fold", fold_of(F.col(key), folds))
+    placed = df.withColumn("_fold", fold_of(key, folds))
 
     def one_fold(i: int) -> float | None:
         held = placed.where(F.col("_fold") == i)
