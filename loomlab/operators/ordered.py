@@ -2,10 +2,11 @@
 
 A plain ``Window.partitionBy(group)`` sorts a group in a single task, which fails when one
 group holds a third of a 100 TB table. The operators here need a unique integer order key.
-They cut every group into chunks of consecutive keys (``order div width``), so a chunk holds
-at most ``width`` rows whatever the group size. One window runs inside the chunks; a second,
-``width`` times smaller one runs over one summary row per chunk and yields what the earlier
-chunks contribute. Both frames meet in an equi join on (group, chunk).
+They cut every group into chunks of consecutive keys (``order div width``). The width in keys comes
+from the measured density of the keys, so that a chunk holds about ``ROWS`` rows: 65,536 dense ids
+span as many keys, as many hashes span a good part of all whole numbers. One window runs inside the
+chunks; a second, ``ROWS`` times smaller one runs over one summary row per chunk and yields what the
+earlier chunks contribute. Both frames meet in an equi join on (group, chunk).
 """
 
 from __future__ import annotations
@@ -13,23 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 65_536
+ROWS = 65_536
 
 AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _chunked(df: DataFrame, group: list[str], order: str, width: int) -> DataFrame:
-    """Add the chunk number and the group as one struct.
+def _width(df: DataFrame, order: str) -> Column:
+    """How many keys a chunk of ``ROWS`` rows spans on average: a subquery of one number over the key alone."""
+    key = F.col(order).cast("double")
+    span = (F.max(key) - F.min(key) + 1) / F.count(key) * ROWS
+    return df.agg(F.coalesce(F.greatest(F.least(span, F.lit(2.0**62)), F.lit(1.0)).cast("long"), F.lit(ROWS)).alias("width")).scalar()
+
+
+def _chunked(df: DataFrame, group: list[str], order: str, width: int | None) -> DataFrame:
+    """Add the chunk number and the group as one struct; without ``width`` it is measured.
 
     A struct is never null and equal structs may hold nulls, so null groups join like others.
     Windows and join share this key, so the rows are shuffled once.
     """
     key = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)]) if group else F.lit(0)
-    return df.withColumns({"_group": key, "_chunk": F.expr(f"`{order}` div {width}")})
+    keys = _width(df, order) if width is None else F.lit(width).cast("long")
+    return df.withColumns({"_group": key, "_chunk": F.call_function("div", F.col(order), keys)})
 
 
 def running(
-    df: DataFrame, group: list[str], order: str, aggs: dict[str, tuple[str, Column]], width: int = WIDTH
+    df: DataFrame, group: list[str], order: str, aggs: dict[str, tuple[str, Column]], width: int | None = None
 ) -> DataFrame:
     """Add running aggregates over all rows of the group up to and including the current one.
 
@@ -72,13 +81,13 @@ def running(
     return joined.select(*df.columns, *merged)
 
 
-def position(df: DataFrame, group: list[str], order: str, name: str = "position", width: int = WIDTH) -> DataFrame:
+def position(df: DataFrame, group: list[str], order: str, name: str = "position", width: int | None = None) -> DataFrame:
     """Add the zero-based position of the row in its group."""
     numbered = running(df, group, order, {name: ("count", F.lit(1))}, width)
     return numbered.withColumn(name, F.col(name) - 1)
 
 
-def global_index(df: DataFrame, order: str, name: str = "index", width: int = WIDTH) -> DataFrame:
+def global_index(df: DataFrame, order: str, name: str = "index", width: int | None = None) -> DataFrame:
     """Add the zero-based rank of the row in the order of a unique integer key.
 
     The only unpartitioned window runs over one row per chunk.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlab.operators.ordered import WIDTH, global_index
+from loomlab.operators.ordered import global_index
 
 # Names and defaults of the exported files.
 SIDECAR_SUFFIX = ".audio.json"
@@ -90,7 +90,7 @@ def json_stream(spark: SparkSession, folder: str, schema: T.StructType | str, st
 # tar shards ----------------------------------------------------------------------------------
 
 
-def assign_shards(samples: DataFrame, order: str, per_shard: int = SAMPLES_PER_SHARD, width: int = WIDTH) -> DataFrame:
+def assign_shards(samples: DataFrame, order: str, per_shard: int = SAMPLES_PER_SHARD, width: int | None = None) -> DataFrame:
     """Shard number and name of each sample, counted over all samples in key order."""
     shard = F.expr(f"_index div {per_shard}")
     placed = global_index(samples, order, "_index", width).withColumn("shard", shard)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlab.operators.grouped import latest, page_per_group, top_per_group
-from loomlab.operators.ordered import global_index, position, running
+from loomlab.operators.ordered import ROWS, _chunked, global_index, position, running
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,21 @@ def test_positions(rows, width):
         assert ours[r["k"]] == (p, i)
 
 
+def test_hashed_ids_are_chunked_by_rows(spark):
+    """Keys spread over all whole numbers, in one group: few chunks, none much above the wanted rows, right answers."""
+    n = 200_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"))
+    chunks = _chunked(df, [], "k", None).groupBy("_chunk").count().collect()
+    assert 2 <= len(chunks) <= 6 and max(r["count"] for r in chunks) < 2.2 * ROWS  # the two chunks around zero are one
+    ours = position(df, [], "k").agg(F.sum("position").alias("s"), F.max("position").alias("m"), F.countDistinct("position").alias("d")).first()
+    assert (ours["s"], ours["m"], ours["d"]) == (n * (n - 1) // 2, n - 1, n)
+
+
+def test_measured_width_without_rows(spark):
+    assert position(spark.createDataFrame([], "g string, k long"), ["g"], "k").count() == 0
+    assert [r["position"] for r in position(spark.createDataFrame([("a", 5)], "g string, k int"), ["g"], "k").collect()] == [0]
+
+
 def test_struct_extremes_skip_nulls(rows):
     scored = F.when(F.col("v").isNotNull(), F.struct("v", "k"))
     out = running(rows, ["g"], "k", {"best": ("min", scored)}, 16).collect()
