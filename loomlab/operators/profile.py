@@ -81,14 +81,18 @@ def column_stats(df: DataFrame, columns: list[str]) -> dict[str, Stats]:
     return {c: Stats(*[row[f"{c}:{s}"] for s in ("mean", "std", "min", "max")]) for c in columns}
 
 
-def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
-    """Equal-width bins over [min, max]; the last one is closed, empty ones are kept. NaN counts as missing."""
-    df = df.select(clean(df, column).alias(column))
+def histogram(df: DataFrame, column: str, bins: int = 15, weight: str | None = None) -> DataFrame:
+    """Equal-width bins over [min, max]; the last one is closed, empty ones are kept. NaN counts as missing.
+
+    A row counts as often as its ``weight`` says, so tables of distinct values with counts will do.
+    """
+    times = F.lit(1) if weight is None else F.col(weight)
+    df = df.select(clean(df, column).alias(column), times.alias("_times"))
     span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     lo = span.select("lo").scalar()
     width = span.select(F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) / bins).scalar()
     slot = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("long")
-    counts = df.where(F.col(column).isNotNull()).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(slot.alias("bin")).agg(F.sum("_times").alias("n"))
     axis = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return axis.join(counts, "bin", "left").select(
         "bin", (lo + F.col("bin") * width).alias("edge"), F.coalesce("n", F.lit(0)).cast("long").alias("n")

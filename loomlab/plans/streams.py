@@ -52,11 +52,24 @@ def completions(lab: Lab):
     return st.completions(progress(lab.metrics()), 300.0)
 
 
-@query("completion_events", DONE)
+@query("completion_events", DONE.replace("completed_at FROM", "completed_at, 'completed' AS status FROM"))
 def completion_events(lab: Lab):
+    """Jobs that reach the threshold, once each, with the status they take."""
     return st.completion_stream(lab.spark, progress(metric_stream(lab)), scratch(lab.spark, "completions"), 300.0)
 
 
+@query(
+    "completion_notices",
+    """SELECT o_custkey AS user_id, o_orderkey AS job_id, 'Job ' || o_orderkey || ' completed' AS title, min(ts) AS created_at
+    FROM events JOIN orders ON o_orderkey = user_id WHERE value >= 300 GROUP BY 1, 2""",
+)
+def completion_notices(lab: Lab):
+    """One notice to the owner of each job that the stream sees complete; the customer of an order owns its job."""
+    events = st.completion_stream(lab.spark, progress(metric_stream(lab)), scratch(lab.spark, "completions"), 300.0)
+    jobs = lab.raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"))
+    return st.completion_notices(events, jobs)
+
+
 @query(
     "live_subscription",
     f"WITH {METRICS} SELECT * FROM metrics WHERE job_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)",
@@ -141,9 +154,15 @@ def live_status_counts(lab: Lab):
     SELECT r.bin, round(lo + r.bin * w, 1) AS edge, coalesce(n, 0) AS n FROM (SELECT range AS bin FROM range(15)) r LEFT JOIN counts USING (bin), span""",
 )
 def refresh_snapshot(lab: Lab):
-    points = lab.stream("events").select("event_id", "value")
+    """Each beat counts its distinct values; the histogram is made of the folded counts."""
+    points = lab.stream("events").select("value")
     return st.refresh(
-        lab.spark, points, scratch(lab.spark, "store"), scratch(lab.spark, "snapshots"), lambda table: profile.histogram(table, "value", 15).withColumn("edge", F.round("edge", 1))
+        lab.spark,
+        points,
+        scratch(lab.spark, "summary"),
+        partial=lambda rows: rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")),
+        merge=lambda parts: parts.groupBy("value").agg(F.sum("n").alias("n")),
+        finish=lambda counts: profile.histogram(counts, "value", 15, weight="n").withColumn("edge", F.round("edge", 1)),
     )
 
 

@@ -20,6 +20,8 @@ from loomlab.session import scratch
 RATE_NAMES = ("learning_rate", "lr")
 FINISHED_AT = 100.0
 FLUSH_INTERVAL = "2 seconds"
+#: Batches whose folders stand side by side before they are folded into one.
+GENERATION = 32
 
 
 def drain(spark: SparkSession, writer: DataStreamWriter, state: str | None = None, interval: str | None = None) -> None:
@@ -46,21 +48,56 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
 
 
-def upsert_snapshots(spark: SparkSession, stream: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Land an update-mode aggregate: a folder per batch, the newest row per key on reading.
+class Folded:
+    """A table that a stream adds to, batch by batch, and that keeps few folders however long the stream runs.
 
-    A repeated batch overwrites its own folder, so a retry changes nothing.
+    Batches stand in generations of ``length``. The first batch of a generation carries over what ``fold`` makes of the
+    generation before, so a look at all earlier rows reads at most ``length`` batches and one carried table. A batch
+    that runs again writes the same folders again. Folders of past generations may be deleted at any time.
     """
 
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, fold, length: int = GENERATION):
+        self.spark, self.path, self.schema, self.fold, self.length = spark, path, schema, fold, length
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(self._folder(0, -1))
+
+    def _folder(self, generation: int, batch: int) -> str:
+        return f"{self.path}/generation={generation}/batch={batch}"
+
+    def _rows(self, generation: int) -> DataFrame:
+        return self.spark.read.schema(_with_batch(self.schema)).parquet(f"{self.path}/generation={generation}")
+
+    def before(self, batch_id: int) -> DataFrame:
+        """The rows of earlier batches, folded up to the batch's generation; writes the carried table if it is due."""
+        generation, first = divmod(batch_id, self.length)
+        if generation and not first:
+            self.fold(self._rows(generation - 1)).select(*self.schema.names).write.mode("overwrite").parquet(self._folder(generation, -1))
+        return self._rows(generation).where(F.col("batch") < batch_id)
+
+    def add(self, batch_id: int, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(batch_id // self.length, batch_id))
+
+    def rows(self) -> DataFrame:
+        """All rows, folded up to the newest generation, with the batch that wrote them."""
+        numbers = self.spark.read.schema(T.StructType([T.StructField("generation", T.LongType())])).parquet(self.path)
+        newest = max(int(f.rsplit("generation=", 1)[1].split("/")[0]) for f in numbers.inputFiles())
+        return self._rows(newest)
+
+
+def upsert_snapshots(spark: SparkSession, stream: DataFrame, keys: list[str], path: str, length: int = GENERATION) -> DataFrame:
+    """Land an update-mode aggregate: a folder per batch, the newest row per key on reading; old batches are folded."""
+    payload = [c for c in stream.columns if c not in keys]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col("batch")).alias("_r")).select(*keys, "_r.*")
+
+    landed = Folded(spark, path, stream.schema, newest, length)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        landed.before(batch_id)
+        landed.add(batch_id, batch)
 
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     drain(spark, stream.writeStream.outputMode("update").foreachBatch(write))
-    rows = spark.read.schema(_with_batch(stream.schema)).parquet(path)
-    payload = [c for c in stream.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col("batch")).alias("_r"))
-    return newest.select(*keys, "_r.*")
+    return newest(landed.rows()).select(*stream.columns)
 
 
 def whole_number(value: Column) -> Column:
@@ -94,25 +131,30 @@ def completions(metrics: DataFrame, threshold: float = FINISHED_AT) -> DataFrame
     return done.groupBy("job_id").agg(F.min("recorded_at").alias("completed_at"))
 
 
-def completion_stream(spark: SparkSession, metrics: DataFrame, path: str, threshold: float = FINISHED_AT) -> DataFrame:
-    """One completion event per job, emitted by the first batch that shows it.
+def completion_stream(spark: SparkSession, metrics: DataFrame, path: str, threshold: float = FINISHED_AT, length: int = GENERATION) -> DataFrame:
+    """One completion event per job, emitted by the first batch that shows it: (job_id, completed_at, status).
 
     Each batch is reduced to one row per job and then loses the jobs of earlier batches in an
     anti join with the events already written. The batch's own folder is left out of that
     lookup, so a retried batch emits the same events again into the same place.
     """
     done = metrics.where((F.col("metric_name") == "progress") & (F.col("value") >= threshold))
-    key = T.StructType([metrics.schema["job_id"]])
+    columns = T.StructType([metrics.schema["job_id"], T.StructField("completed_at", metrics.schema["recorded_at"].dataType)])
+    events = Folded(spark, path, columns, lambda rows: rows, length)
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         found = batch.groupBy("job_id").agg(F.min("recorded_at").alias("completed_at"))
-        earlier = spark.read.schema(_with_batch(key)).parquet(path).where(F.col("batch") < batch_id)
-        found.join(earlier.select("job_id"), "job_id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        events.add(batch_id, found.join(events.before(batch_id).select("job_id"), "job_id", "left_anti"))
 
-    columns = T.StructType([*key.fields, T.StructField("completed_at", metrics.schema["recorded_at"].dataType)])
-    spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{path}/batch=-1")
     drain(spark, done.select("job_id", "recorded_at").writeStream.foreachBatch(emit))
-    return spark.read.schema(_with_batch(columns)).parquet(path).drop("batch")
+    return events.rows().select("job_id", "completed_at", F.lit("completed").alias("status"))
+
+
+def completion_notices(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One notice per completion event to the owner of its job: (user_id, job_id, title, created_at)."""
+    owners = jobs.select(F.col("id").alias("job_id"), F.col("owner_id").alias("user_id"))
+    title = F.concat(F.lit("Job "), F.col("job_id").cast("string"), F.lit(" completed"))
+    return events.join(owners, "job_id").select("user_id", "job_id", title.alias("title"), F.col("completed_at").alias("created_at"))
 
 
 # fan-out, buffering, logs ----------------------------------------------------------------------
@@ -188,19 +230,20 @@ def log_lines(stream: DataFrame, level: str | None = None, default_at: Column |
     return lines if level is None else lines.where(F.col("level") == level)
 
 
-def refresh(spark: SparkSession, stream: DataFrame, store: str, snapshots: str, summarize) -> DataFrame:
-    """Keep a small summary of a growing table fresh: every beat stores the rows that came and
-    writes ``summarize`` of the whole store as a new snapshot."""
+def refresh(spark: SparkSession, stream: DataFrame, path: str, partial, merge, finish, length: int = GENERATION) -> DataFrame:
+    """Keep a small summary of a growing table fresh: every beat adds the partial summary of the rows that came.
+
+    ``partial`` makes mergeable rows of a batch, ``merge`` folds such rows, ``finish`` makes the summary. No beat reads
+    earlier rows of the stream again, and old partial summaries are folded.
+    """
+    parts = Folded(spark, path, partial(spark.createDataFrame([], stream.schema)).schema, lambda rows: merge(rows.drop("batch")), length)
 
     def beat(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        table = spark.read.schema(stream.schema).parquet(store)
-        summarize(table).write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+        parts.before(batch_id)
+        parts.add(batch_id, partial(batch))
 
     drain(spark, stream.writeStream.foreachBatch(beat))
-    written = spark.read.parquet(snapshots)
-    newest = written.agg(F.max("batch").alias("b"))
-    return written.where(F.col("batch") == newest.select("b").scalar()).drop("batch")
+    return finish(merge(parts.rows().drop("batch")))
 
 
 def media_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 100) -> DataFrame:

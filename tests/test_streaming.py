@@ -108,6 +108,32 @@ def test_logs(spark):
 
 
 def test_refreshed_summary_covers_all_batches(spark, points, arriving):
-    out = st.refresh(spark, arriving().select("id", "value"), scratch(spark, "st"), scratch(spark, "sn"),
-                     lambda t: t.agg(F.count("id").alias("n"), F.max("value").alias("m")))
-    assert out.first()["n"] == 400
+    out = st.refresh(
+        spark, arriving().select("id", "value"), scratch(spark, "sn"),
+        partial=lambda t: t.agg(F.count("id").alias("n"), F.max("value").alias("m")),
+        merge=lambda t: t.agg(F.sum("n").alias("n"), F.max("m").alias("m")),
+        finish=lambda t: t, length=2,
+    )
+    assert out.first()["n"] == 400 and out.first()["m"] == max(p[3] for p in points)
+
+
+def test_old_batches_are_folded(spark, points, tmp_path):
+    """Whatever the number of batches, a look at the earlier rows reads one generation of them."""
+    for i in range(14):
+        spark.createDataFrame(points[i::14], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    whole = spark.createDataFrame(points, SCHEMA)
+    done = st.completion_stream(spark, arriving(), scratch(spark, "g"), length=4)
+    assert sorted(r["job_id"] for r in done.collect()) == sorted(r["job_id"] for r in st.completions(whole).collect())
+    state = st.upsert_snapshots(spark, st.job_state(arriving()), ["job_id"], scratch(spark, "g"), length=4)
+    assert rows_of(state) == rows_of(st.job_state(whole))
+    for landed in (done, state):
+        folders = {f.rsplit("/", 1)[0] for f in landed.inputFiles()}
+        assert len({f.split("generation=")[1].split("/")[0] for f in folders}) == 1 and len(folders) <= 5
+
+
+def test_notices_go_to_owners(spark):
+    at = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, at, "completed"), (2, at, "completed")], "job_id long, completed_at timestamp_ntz, status string")
+    jobs = spark.createDataFrame([(1, 7), (3, 8)], "id long, owner_id long")
+    assert [tuple(r) for r in st.completion_notices(events, jobs).collect()] == [(7, 1, "Job 1 completed", at)]
