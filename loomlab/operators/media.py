@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlab.functions.arrays import mean_abs_difference
 from loomlab.functions.display import fixed_text
-from loomlab.operators.ordered import position, running
+from loomlab.operators.ordered import ROWS, position, running
 
 SCENE_CHUNK = 1024
 FAN_IN = 256
@@ -110,7 +110,8 @@ def split_segments(boundaries: DataFrame, fps: float, clip_min: float = 2.0, cli
     below ``clip_min`` are dropped; clips are numbered in order within their source.
     """
     longest, shortest = int(clip_max * fps), clip_min * fps
-    walked = running(boundaries, ["source"], "boundary", {"start": ("previous", F.col("boundary"))})
+    # both keys are frame indexes, which are dense: chunks of that many keys need no measuring
+    walked = running(boundaries, ["source"], "boundary", {"start": ("previous", F.col("boundary"))}, ROWS)
     segments = walked.where(F.col("start").isNotNull()).withColumnRenamed("boundary", "end")
     pieces = segments.withColumn("_i", F.explode(F.expr(f"sequence(0L, (end - start - 1) div {longest}L)"))).select(
         "source",
@@ -118,7 +119,7 @@ def split_segments(boundaries: DataFrame, fps: float, clip_min: float = 2.0, cli
         F.least(F.col("start") + (F.col("_i") + 1) * longest, F.col("end")).alias("end_frame"),
     )
     kept = pieces.where(F.col("end_frame") - F.col("start_frame") >= shortest)
-    numbered = position(kept, ["source"], "start_frame", "_k")
+    numbered = position(kept, ["source"], "start_frame", "_k", ROWS)
     return numbered.select("source", F.format_string("%06d", F.col("_k")).alias("clip_id"), "start_frame", "end_frame")
 
 
