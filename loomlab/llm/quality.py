@@ -2,7 +2,8 @@
 
 For each language and source the minimum covariance determinant is approached by concentration steps: the rows nearest
 to the current centre, by Mahalanobis distance, give the next mean and covariance. A document far from its group's
-centre is rejected. Everything is column expressions and aggregates.
+centre is rejected; a group too small for a centre of its own is judged by its language's, or by that of all rows.
+Everything is column expressions and aggregates.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Transformed statistics, and the least standard deviation each is given: ratios are zero in most documents.
 FEATURES = {"log_words": 0.25, "log_word_length": 0.05, "symbol_share": 0.5, "dup_line_share": 0.5, "repeat_share": 0.5}
-#: Share of a group that the concentration steps hold on to, number of steps, smallest group that is judged.
+#: Share of a group that the concentration steps hold on to, number of steps, smallest group with a centre of its own.
 CORE, STEPS, MIN_ROWS = 0.75, 4, 50
 #: A document is rejected beyond this quantile of the chi-squared distribution.
 QUANTILE = 0.99999
@@ -155,15 +156,15 @@ def _near(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return out.withColumn("distance", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(NAMES))), F.lit(0.0)))
 
 
-def scatter(rows: DataFrame) -> DataFrame:
-    """Centre (m_i) and Cholesky factor (l_i_j) of each (lang, source) with MIN_ROWS rows or more.
+def scatter(rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
+    """Centre (m_i) and Cholesky factor (l_i_j) of each (lang, source) with ``least`` rows or more.
 
     The start is the medians and the quartiles' spans. Each step counts the distances of a group in logarithmic classes,
     so the nearest ``CORE`` of a group ends at a class's edge and no group is sorted; then it sums up the nearest rows.
     """
     p = len(NAMES)
     sums = [F.percentile_approx(n, [0.25, 0.5, 0.75], 10_000).alias(f"q_{i}") for i, n in enumerate(NAMES)]
-    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= MIN_ROWS)
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least)
     groups = groups.select(
         "lang", "source", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)],
         *[(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS],
@@ -190,28 +191,54 @@ def scatter(rows: DataFrame) -> DataFrame:
     return groups
 
 
-def judge(docs: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, lang, source, statistics, base_failed, distance, kept) of each row of ``docs``.
+def pools(rows: DataFrame) -> DataFrame:
+    """(lang, source, pool_lang, pool) of each group with fewer than MIN_ROWS rows that pass the base rules.
 
-    A row that fails the base rules is not kept. The others are kept unless their squared distance from the centre of
-    their language and source is beyond the quantile; groups of fewer than ``MIN_ROWS`` such rows have no centre, and
-    their rows are kept with a null distance. Null languages and sources are groups of their own; null, empty
-    and blank texts fail the base rules; repeated rows count each; an empty table gives no rows. Other columns are not
-    read.
+    The pool is the group's language if that has MIN_ROWS such rows in all its sources, else the whole table.
     """
-    rows = stored(features(statistics(docs, **columns)), "statistics")
-    groups = scatter(rows.where(~F.col("base_failed")))
-    centres = groups.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    match = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
+    counts = rows.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
+    counts = counts.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("n") < MIN_ROWS)
+    own = F.col("of_lang") >= MIN_ROWS
+    return counts.select("lang", "source", F.when(own, F.col("lang")).alias("pool_lang"), F.when(own, "language").otherwise("all").alias("pool"))
+
+
+def _distance(rows: DataFrame, centres: DataFrame, keys: tuple[str, str], name: str) -> DataFrame:
+    """``rows`` with the squared distance from the centre whose (lang, source) equals ``keys``; null without one."""
+    centres = centres.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    match = F.col(keys[0]).eqNullSafe(F.col("of_lang")) & F.col(keys[1]).eqNullSafe(F.col("of_source"))
     out = rows.join(centres, match, "left")
-    for i, name in enumerate(NAMES):
-        y = F.col(name) - F.col(f"m_{i}")
+    for i, feature in enumerate(NAMES):
+        y = F.col(feature) - F.col(f"m_{i}")
         for k in range(i):
             y = y - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         out = out.withColumn(f"y_{i}", y / F.col(f"l_{i}_{i}"))
     distance = sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(NAMES))), F.lit(0.0))
-    far = F.coalesce(F.col("distance") > chi2_quantile(QUANTILE, len(NAMES)), F.lit(False))
-    out = out.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & ~far)
+    return out.select(*rows.columns, distance.alias(name))
+
+
+def judge(docs: DataFrame, **columns: str) -> DataFrame:
+    """(doc_id, lang, source, statistics, base_failed, distance, pool_distance, kept) of each row of ``docs``.
+
+    A row that fails the base rules is not kept. The others are kept unless their squared distance from the centre of
+    their language and source is beyond the quantile. Groups of fewer than ``MIN_ROWS`` such rows have no centre and a
+    null distance; their rows are judged by ``pool_distance``, from the centre of all rows of their language, or of the
+    whole table where the language has fewer than ``MIN_ROWS`` too. It is null in the other groups. Null languages and
+    sources are groups of their own; null, empty and blank texts fail the base rules; repeated rows count each; an empty
+    table gives no rows. Other columns are not read.
+    """
+    rows = stored(features(statistics(docs, **columns)), "statistics")
+    good = rows.where(~F.col("base_failed"))
+    small = stored(pools(rows), "pools")
+    both = [F.struct(F.col("lang").alias("of_lang"), F.lit("language").alias("of_pool")), F.struct(F.lit(None).alias("of_lang"), F.lit("all").alias("of_pool"))]
+    member = F.col("p.of_lang").eqNullSafe(F.col("pool_lang")) & (F.col("p.of_pool") == F.col("pool"))
+    pooled = good.select(*NAMES, F.explode(F.array(*both)).alias("p")).join(small.select("pool_lang", "pool").distinct(), member, "left_semi")
+    pooled = pooled.select(F.col("p.of_lang").alias("lang"), F.col("p.of_pool").alias("source"), *NAMES)
+    small = small.withColumnsRenamed({"lang": "small_lang", "source": "small_source"})
+    out = _distance(rows, scatter(good), ("lang", "source"), "distance")
+    out = out.join(small, F.col("lang").eqNullSafe(F.col("small_lang")) & F.col("source").eqNullSafe(F.col("small_source")), "left")
+    out = _distance(out, scatter(pooled, 1), ("pool_lang", "pool"), "pool_distance")
+    far = F.coalesce(F.coalesce("distance", "pool_distance") > chi2_quantile(QUANTILE, len(NAMES)), F.lit(False))
     return out.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept",
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "pool_distance",
+        (~F.col("base_failed") & ~far).alias("kept"),
     )

@@ -124,5 +124,27 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rows_of_small_groups_are_judged_by_their_pool(spark):
+    """Many small sources of one language, and a language of three rows: the junk goes from either."""
+    rng = random.Random(14)
+    words = [f"{'abcdefgh'[rng.randint(0, 7)] * rng.randint(1, 6)}{i}" for i in range(4000)]
+    clean = lambda: "\n".join(" ".join(rng.choices(words, k=rng.randint(9, 60))) for _ in range(rng.randint(3, 9)))
+    junk = lambda: " ".join(w + "#$" for w in rng.choices(words, k=200))
+    rows = [(i, clean(), "en", f"s{i % 20}") for i in range(200)] + [(300 + i, clean(), "de", "big") for i in range(60)]
+    rows += [(900, junk(), "en", "s3"), (901, junk(), "en", "alone"), (902, junk(), None, "s3"), (903, clean(), None, "s3"), (904, clean(), None, None), (905, "short", "xx", None)]
+    got = {r["doc_id"]: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all((r["distance"] is None) == (r["lang"] != "de") and (r["distance"] is None) != (r["pool_distance"] is None) for r in got.values())
+    assert sorted(i for i, r in got.items() if not r["kept"]) == [900, 901, 902, 905]
+    # a language's pool holds all its rows, the last pool those of all languages
+    near = quality.features(quality.statistics(documents(spark, rows))).where(~F.col("base_failed"))
+    assert {(r["lang"], r["source"]): (r["pool_lang"], r["pool"]) for r in quality.pools(near).collect() if r["source"] in ("alone", None)} == {
+        ("en", "alone"): ("en", "language"), (None, None): (None, "all")
+    }
+    # a whole table below the least size is its own pool
+    few = {r["doc_id"]: r for r in quality.judge(documents(spark, rows[:30] + [(900, junk(), "en", "s3")])).collect()}
+    assert all(r["pool_distance"] is not None for r in few.values()) and [i for i, r in few.items() if not r["kept"]] == [900]
+
+
 def test_empty_table(spark):
     assert quality.judge(documents(spark, [])).count() == 0
