@@ -40,7 +40,9 @@ MIN_WORDS = 5
 CELLS = 1 << 24
 #: Part of an item's windows, or words in a row, that make a document contaminated.
 COVERAGE, RUN_WORDS = 0.5, 13
-#: Part of an item's slots whose value has the document's usual value for it.
+#: Ways to cut a document's matches into occurrences of an item; see :func:`occurrences`.
+DOCUMENT, ALIGNED, BAND, SHIFTED_BAND = 0, 1, 2, 3
+#: Part of an item's slots whose value has the occurrence's usual value for it.
 AGREEMENT = 0.8
 
 
@@ -170,11 +172,26 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return docs.mapInArrow(read_docs, f"doc_id long, text_key long, {WINDOW}")
 
 
+def occurrences(met: DataFrame) -> DataFrame:
+    """``met`` once for each occurrence (kind, at) that a matched window may belong to.
+
+    Windows of one copy have one alignment, the item's beginning in the document. Bands of half the item's words, and the
+    same bands shifted by half their width, also hold a copy whose alignment moves by up to a quarter of the item, and no
+    two copies. All matches of a document are one occurrence more, for copies that are torn further apart.
+    """
+    align = F.col("doc_place") - F.col("place")
+    band = F.greatest(F.floor(F.col("words") / 2), F.lit(1))
+    spot = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    spots = [spot(DOCUMENT, F.lit(0)), spot(ALIGNED, align), spot(BAND, F.floor(align / band)), spot(SHIFTED_BAND, F.floor((align + F.floor(band / 2)) / band))]
+    return met.select("*", F.inline(F.array(*spots)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, windows, coverage, agreement, changed) of each document and item of it found.
 
     A document holds an item if the templates they share are half of the item's, or stand for ``RUN_WORDS`` words, and
-    if the slots agree. ``changed`` is true where a slot's value differs, so the question was re-parameterised.
+    if the slots agree, in one occurrence of the item or in the whole document; a document that holds an item twice with
+    different values holds it. The occurrence with the most windows is told, an unchanged one first. ``changed`` is true where a slot's value differs, so the question was re-parameterised.
     ``text_key`` is a hash of the text; repeated rows are found once. Null, blank and short texts and items match
     nothing; a null id of either side stays null; an empty table on either side gives no rows. Windows of an item that
     occur several times are counted once. Other columns are not read.
@@ -187,8 +204,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     per_item = windows.groupBy("item", "way").agg(F.countDistinct("place").alias("all"))
     met = stored(found.join(windows, ["way", "hash"]).where(F.col("slots") == F.col("doc_slots")), "met-windows")
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc"), "text_key", F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("of")]
-    met = met.select("*", *key)
-    group = ["doc", "text_key", "of", "way"]
+    met = occurrences(met.select("*", *key))
+    group = ["doc", "text_key", "of", "way", "kind", "at"]
     # each slot of the item, by its place, with the value it has in the document; the usual value of each item value
     pairs = met.select(*group, "place", F.inline(F.arrays_zip("slots", "vals", "doc_vals")))
     pairs = pairs.select(*group, (F.col("place") + F.col("slots")).alias("slot"), "vals", "doc_vals").distinct()
@@ -204,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = hits.withColumn("coverage", F.col("windows") / F.col("all"))
     enough = (F.col("coverage") >= COVERAGE) | (F.col("windows") >= RUN_WORDS - WIDTH + 1)
     hits = hits.where(enough & (F.col("agreement") >= AGREEMENT))
-    best = hits.groupBy("doc", "text_key", "of").agg(F.max_by(F.struct("doc_id", "item", "windows", "coverage", "agreement", "changed"), F.struct("coverage", "windows", "way")).alias("b"))
+    best = hits.groupBy("doc", "text_key", "of").agg(F.max_by(F.struct("doc_id", "item", "windows", "coverage", "agreement", "changed"), F.struct("coverage", "windows", ~F.col("changed"), "agreement", "way")).alias("b"))
     return best.select(
         F.col("b.doc_id").alias("doc_id"), "text_key", F.col("b.item").alias("item_id"), F.col("b.windows").alias("windows"),
         F.col("b.coverage").alias("coverage"), F.col("b.agreement").alias("agreement"), F.col("b.changed").alias("changed"),

@@ -66,6 +66,23 @@ def test_matches_plain_windows_on_the_given_tables(spark):
     assert len(whole) > 10 and whole <= set(rows) <= some | {x for x, r in rows.items() if r["changed"]}
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    """An item that a document holds twice with different values is found, next to each other or apart."""
+    rng = random.Random(15)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    other = QUESTION.replace("12", "40").replace("5 km", "9 miles").replace("3 apples", "7 apples")
+    third = QUESTION.replace("12", "41").replace("5 km", "8 feet").replace("3 apples", "6 apples")
+    moved = QUESTION.replace("rope to", "rope then to")  # splits the copy into two alignments
+    short = "the 7 red boats sail north"
+    rows = [
+        (1, f"{QUESTION} {filler(50)} {other}"), (2, f"{other} {QUESTION}"), (3, f"{other} {third}"), (4, f"{moved} {filler(3)} {other} {third}"),
+        (5, " ".join(short.replace("7", str(n)) for n in range(2, 7))), (6, filler(300)), (7, f"{QUESTION[:40]} {filler(90)} {other[:40]}"),
+    ]
+    got = found(documents(spark, rows), bench(spark, [(70, QUESTION), (71, short)]))
+    assert set(got) == {(1, 70), (2, 70), (3, 70), (4, 70), (5, 71)}
+    assert [got[i, 70]["changed"] for i in (1, 2, 3)] == [False, False, True] and got[1, 70]["coverage"] == 1
+
+
 def test_nothing_on_either_side(spark):
     docs, items = documents(spark, [(1, QUESTION)]), bench(spark, [(1, QUESTION)])
     assert found(documents(spark, []), items) == {} and found(docs, bench(spark, [])) == {}
