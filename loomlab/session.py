@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,6 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI that names its file system, for code in tasks that opens files itself.
+
+    A path without a scheme lies where Spark takes it to lie, on the session's default file system; a one-row table
+    written below it says which that is. Under a local master it is this machine's disk.
+    """
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        return f"file://{os.path.abspath(folder)}"
+    probe = f"_probe-{uuid.uuid4().hex}"
+    spark.range(1).write.parquet(f"{folder}/{probe}")
+    return spark.read.parquet(f"{folder}/{probe}").inputFiles()[0].split(f"/{probe}/")[0]
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder for one table written by a job."""
     return f"{shared_dir(spark)}/loomlab/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
