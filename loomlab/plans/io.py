@@ -31,20 +31,19 @@ def load_dataset(lab: Lab):
     schema = lab.raw("part").schema
     loaded = []
     for i, (ident, name, fmt, _, _) in enumerate(entries):
-        wanted = "jsonl" if fmt == "json" else None
-        rows = datasets.load_dataset(lab.spark, catalog, name if i % 2 else ident, wanted, schema)
+        rows = datasets.load_dataset(lab.spark, catalog, name if i % 2 else ident, schema=schema)
         loaded.append(rows.withColumn("format", F.lit(fmt)))
     return union_all(loaded)
 
 
 @query(
     "load_dataset_text",
-    "SELECT f AS format, doc_id, text, lang, source, n_chars FROM documents, (VALUES ('csv'), ('jsonl'), ('parquet')) t(f)",
+    "SELECT f AS format, doc_id, text, lang, source, n_chars FROM documents, (VALUES ('csv'), ('json'), ('jsonl'), ('parquet')) t(f)",
 )
 def load_dataset_text(lab: Lab):
     """Documents, whose texts hold line breaks and quotes, written and loaded back without loss."""
     docs, loaded = lab.raw("documents"), []
-    for f in ("csv", "jsonl", "parquet"):
+    for f in FORMATS:
         entry = datasets.save_dataset(docs, scratch(lab.spark, f"documents-{f}"), f"documents-{f}", f)
         loaded.append(datasets.read_dataset(lab.spark, entry["path"], f, docs.schema).withColumn("format", F.lit(f)))
     return union_all(loaded)
