@@ -80,26 +80,36 @@ def user_train(df: DataFrame, keys: list[str], columns: list[str], trainer: Trai
 
 
 class LinearTrainer:
-    """Least squares of one column on others, from sums of products; a trainer as users write them."""
+    """Least squares of one column on others; a trainer as users write them.
+
+    Its state is the number of rows, the means, and the sums of products about the means, which merge without the
+    cancellation that plain sums of products suffer far from zero. A penalty leaves the intercept alone.
+    """
 
     def __init__(self, features: list[str], label: str):
         self.features, self.label = features, label
 
     def partial(self, rows: pd.DataFrame, params: dict) -> list[float]:
-        x = np.column_stack([np.ones(len(rows)), rows[self.features].to_numpy(float), rows[self.label].to_numpy(float)])
-        return (x.T @ x).ravel().tolist()
+        x = rows[[*self.features, self.label]].to_numpy(float)
+        mean = x.mean(axis=0)
+        return [float(len(x)), *mean, *((x - mean).T @ (x - mean)).ravel()]
+
+    def _parts(self, state: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
+        size = len(self.features) + 1
+        return state[0], np.array(state[1 : size + 1]), np.array(state[size + 1 :]).reshape(size, size)
 
     def merge(self, a: list[float], b: list[float]) -> list[float]:
-        return [p + q for p, q in zip(a, b)]
+        (n, mean, spread), (m, other, more) = self._parts(a), self._parts(b)
+        gap = other - mean
+        return [n + m, *(mean + gap * (m / (n + m))), *(spread + more + np.outer(gap, gap) * (n * m / (n + m))).ravel()]
 
     def finish(self, state: list[float], params: dict) -> dict[str, float]:
-        size = len(self.features) + 2
-        m = np.array(state).reshape(size, size)
-        ridge = np.eye(size - 1) * params.get("ridge", 0.0)
-        weights, *_ = np.linalg.lstsq(m[:-1, :-1] + ridge, m[:-1, -1], rcond=None)
-        squared = m[-1, -1] - 2 * weights @ m[:-1, -1] + weights @ m[:-1, :-1] @ weights
-        named = dict(zip(["intercept", *self.features], weights))
-        return {**named, "rows": m[0, 0], "loss": max(squared, 0.0) / m[0, 0]}
+        n, mean, spread = self._parts(state)
+        inner, outer = spread[:-1, :-1], spread[:-1, -1]
+        weights, *_ = np.linalg.lstsq(inner + np.eye(len(inner)) * params.get("ridge", 0.0), outer, rcond=None)
+        squared = spread[-1, -1] - 2 * weights @ outer + weights @ inner @ weights
+        named = {"intercept": mean[-1] - weights @ mean[:-1], **dict(zip(self.features, weights))}
+        return {**named, "rows": n, "loss": max(squared, 0.0) / n}
 
 
 def user_infer(df: DataFrame, features: list[str], model, output: str = "prediction") -> DataFrame:
@@ -113,42 +123,53 @@ def user_infer(df: DataFrame, features: list[str], model, output: str = "predict
     return df.mapInPandas(infer, schema)
 
 
-def row_transform(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | str) -> DataFrame:
-    """Apply a function of one item to every row, a batch at a time."""
+def batch_transform(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """Apply a function of a batch of rows, which sees whole columns at a time."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([fn(row) for row in batch.to_dict("records")])
+        yield from map(fn, batches)
 
     return df.mapInPandas(apply, schema)
 
 
+def row_transform(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | str) -> DataFrame:
+    """Apply a function of one item to every row: for code that exists only in this form, as it runs row by row.
+
+    What column expressions can say belongs in ``df.transform``, what arrays can say in :func:`batch_transform`.
+    """
+    return batch_transform(df, lambda batch: pd.DataFrame([fn(row) for row in batch.to_dict("records")]), schema)
+
+
 # classifier in closed form ---------------------------------------------------------------------
 
 
 def gaussian_models(df: DataFrame, features: list[str], label: str, fold: str | None = None, folds: int = 0) -> DataFrame:
     """One row (model, classes) for each fold left out, and one, numbered ``folds``, for all rows.
 
-    A class has its label, its log prior and, per feature, mean and variance. They come from sums per fold and label, so
-    the rows are read once for all models: what a fold leaves is the total less its own sums. Rows without a label
-    say nothing, null features are left out of the sums. A model is as long as there are labels.
+    A class has its label, its log prior and, per feature, mean and variance. They come from count, mean and spread about
+    the mean per fold and label, so the rows are read once for all models: a model joins those of the other folds.
+    Their means are taken as distances from one of them, so values far from zero lose no digits. Rows without a label
+    say nothing, null features are left out. A model is as long as there are labels.
     """
-    sums = {}
+    moments = {}
     for i, name in enumerate(features):
         x = F.col(name).cast("double")
-        sums |= {f"n_{i}": F.count(x), f"s_{i}": F.sum(x), f"q_{i}": F.sum(x * x)}
-    own = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), (F.col(fold) if fold else F.lit(-1)).alias("model"))
-    own = own.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
-    names = ["n", *sums]
-    total = own.groupBy("label").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
-    total = total.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("model"))
-    left = total.join(own, ["label", "model"], "left")
-    left = left.select("label", "model", *[(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names]).where(F.col("n") > 0)
+        moments |= {f"n_{i}": F.count(x), f"m_{i}": F.avg(x), f"v_{i}": F.var_pop(x)}
+    own = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), (F.col(fold) if fold else F.lit(-1)).alias("own"))
+    own = own.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in moments.items()])
+    near = Window.partitionBy("label")
+    own = own.select("*", *[F.min(f"m_{i}").over(near).alias(f"o_{i}") for i in range(len(features))])  # a row per fold
+    rest = own.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds)))).where(F.col("own") != F.col("model"))
+    joined = [F.sum("n").alias("n")]
+    for i in range(len(features)):
+        n, gap = F.col(f"n_{i}"), F.col(f"m_{i}") - F.col(f"o_{i}")
+        joined += [F.sum(n).alias(f"n_{i}"), F.first(f"o_{i}").alias(f"o_{i}"), F.sum(n * gap).alias(f"s_{i}"), F.sum(n * (F.col(f"v_{i}") + gap * gap)).alias(f"q_{i}")]
+    left = rest.groupBy("label", "model").agg(*joined)
     stats = []
     for i in range(len(features)):
-        mean = F.col(f"s_{i}") / F.nullif(F.col(f"n_{i}"), F.lit(0))
-        spread = F.greatest(F.col(f"q_{i}") / F.nullif(F.col(f"n_{i}"), F.lit(0)) - mean * mean, F.lit(MIN_VARIANCE))
-        stats.append(F.struct(mean.alias("mean"), spread.alias("variance")))
+        n = F.nullif(F.col(f"n_{i}"), F.lit(0))
+        gap = F.col(f"s_{i}") / n
+        stats.append(F.struct((F.col(f"o_{i}") + gap).alias("mean"), F.greatest(F.col(f"q_{i}") / n - gap * gap, F.lit(MIN_VARIANCE)).alias("variance")))
     one = F.struct("label", F.log(F.col("n").cast("double")).alias("prior"), F.array(*stats).alias("stats"))
     return left.groupBy("model").agg(F.collect_list(one).alias("classes"))
 

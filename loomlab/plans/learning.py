@@ -141,9 +141,12 @@ def user_infer(lab: Lab):
     "SELECT doc_id, CAST(len(text) AS BIGINT) AS chars, upper(lang) AS lang FROM documents",
 )
 def row_transform(lab: Lab):
-    """A user function applied to each document."""
-    item = lambda row: {"doc_id": row["doc_id"], "chars": len(row["text"]), "lang": row["lang"].upper()}
-    return learning.row_transform(lab.raw("documents").select("doc_id", "text", "lang"), item, "doc_id bigint, chars bigint, lang string")
+    """A user function applied to the documents, a batch at a time."""
+
+    def measure(batch):
+        return batch[["doc_id"]].assign(chars=batch["text"].str.len(), lang=batch["lang"].str.upper())
+
+    return learning.batch_transform(lab.raw("documents").select("doc_id", "text", "lang"), measure, "doc_id bigint, chars bigint, lang string")
 
 
 def described(lab: Lab):
@@ -172,13 +175,9 @@ LABELED = r"""described AS (SELECT doc_id, ln(1 + n_chars::DOUBLE) AS length, n_
 
 
 def _models_sql(rows: str, numbers: str) -> str:
-    """Class statistics per model; model 5 leaves out no fold."""
-    sums = ", ".join(f"sum({f}) AS s_{f}, sum({f} * {f}) AS q_{f}" for f in FEATURES)
-    left = ", ".join(f"sum({x}_{f}) FILTER (fold <> m) AS {x}_{f}" for f in FEATURES for x in "sq")
-    stats = ", ".join(f"s_{f} / n AS m_{f}, greatest(q_{f} / n - power(s_{f} / n, 2), 1e-9) AS v_{f}" for f in FEATURES)
-    return f"""own AS (SELECT fold, quality, count(*) AS n, {sums} FROM {rows} GROUP BY ALL),
-    rest AS (SELECT m, quality, sum(n) FILTER (fold <> m) AS n, {left} FROM own, ({numbers}) GROUP BY ALL),
-    models AS (SELECT m, quality AS guess, n, {stats} FROM rest WHERE n > 0)"""
+    """Class statistics per model, from the rows of the other folds; model 5 leaves out no fold."""
+    stats = ", ".join(f"avg({f}) AS m_{f}, greatest(var_pop({f}), 1e-9) AS v_{f}" for f in FEATURES)
+    return f"models AS (SELECT m, quality AS guess, count(*) AS n, {stats} FROM {rows}, ({numbers}) WHERE fold <> m GROUP BY ALL)"
 
 
 COST = "-ln(n) + " + " + ".join(f"ln(v_{f}) / 2 + power({f} - m_{f}, 2) / (2 * v_{f})" for f in FEATURES)

@@ -69,3 +69,30 @@ def test_nothing_to_learn_from(spark):
     assert learning.cv_train(none, "k", ["a"], "y").count() == 0
     model = learning.gaussian_train(none, ["a"], "y")
     assert [r["prediction"] for r in learning.gaussian_infer(some, ["a"], model).collect()] == [None]
+
+
+def test_values_far_from_zero_lose_nothing(spark):
+    rng = random.Random(8)
+    rows = [(i, float(i % 2) * 0.5 + rng.gauss(0, 0.14), float(i % 2)) for i in range(400)]
+    found = []
+    for offset in (0.0, 1.7e9):
+        df = spark.createDataFrame([(i, x + offset, y) for i, x, y in rows], "k long, a double, y double")
+        cv = sorted(tuple(r) for r in learning.cv_train(df, "k", ["a"], "y").collect())
+        model = learning.gaussian_train(df, ["a"], "y").first()["classes"]
+        found.append((cv, {c["label"]: c["stats"][0]["variance"] for c in model}))
+    assert found[0][0] == found[1][0] and all(v > 0.9 for _, n, v in found[1][0] if n == "accuracy")
+    assert all(found[1][1][k] == pytest.approx(v, rel=1e-4) for k, v in found[0][1].items())
+    # straight through the origin's shift: slope and loss of a line do not move either
+    trainer = learning.LinearTrainer(["a"], "y")
+    lines = []
+    for offset in (0.0, 1.7e9):
+        df = spark.createDataFrame([("g", x + offset, 3 * x + rng.gauss(0, 1e-3)) for _, x, _ in rows], "g string, a double, y double").repartition(7)
+        lines.append({r["metric_name"]: r["value"] for r in learning.user_train(df, ["g"], ["a", "y"], trainer).collect()})
+    assert lines[1]["a"] == pytest.approx(3, abs=1e-3) == lines[0]["a"] and lines[1]["rows"] == 400 and lines[1]["loss"] < 1e-5
+
+
+def test_row_and_batch_functions(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "c")], "k long, t string")
+    by_row = learning.row_transform(df, lambda r: {"k": r["k"], "n": len(r["t"])}, "k long, n long")
+    by_batch = learning.batch_transform(df, lambda b: b[["k"]].assign(n=b["t"].str.len()), "k long, n long")
+    assert sorted(map(tuple, by_row.collect())) == sorted(map(tuple, by_batch.collect())) == [(1, 2), (2, 1)]
