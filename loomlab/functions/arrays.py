@@ -16,6 +16,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def every(values: Column, stride: int) -> Column:
+    """Every ``stride``-th value, from the first on."""
+    return values if stride == 1 else F.filter(values, lambda _, i: i % stride == 0)
+
+
 def mean_abs_difference(a: Column, b: Column) -> Column:
     gaps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
     return F.try_divide(total(gaps), F.size(gaps))

@@ -169,7 +169,7 @@ def latest_job_series(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Metrics of each model's newest job; x = step, else epoch, else the position in its series."""
     newest = latest(jobs.select("model_id", "id", "created_at"), ["model_id"], ["created_at", "id"])
     mine = metrics.join(newest.select("model_id", F.col("id").alias("job_id")), "job_id")
-    placed = position(mine, ["job_id", "metric_name"], "id", "_pos")
+    placed = position(mine, ["job_id", "metric_name"], "id", "_pos", measure=metrics.select("id"))
     x = F.coalesce(F.col("step").cast("long"), F.col("epoch").cast("long"), F.col("_pos") + 1)
     return placed.select("model_id", "job_id", "metric_name", x.alias("x"), "value")
 

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlab.functions.arrays import mean_abs_difference
+from loomlab.functions.arrays import every, mean_abs_difference
 from loomlab.functions.display import fixed_text
 from loomlab.operators.ordered import ROWS, position, running
 
 SCENE_CHUNK = 1024
 FAN_IN = 256
 TOP_PARTS = 4096
+#: Bytes of frames that a window sorts at a time.
+CHUNK_BYTES = 1 << 28
 
 
 def indexed_frames(frames: DataFrame) -> DataFrame:
@@ -24,14 +26,18 @@ def indexed_frames(frames: DataFrame) -> DataFrame:
     return position(frames, ["source"], "frame_id", "idx")
 
 
-def frame_differences(frames: DataFrame) -> DataFrame:
-    """(source, idx, frame_id, diff): mean absolute change since the frame before, null for the first."""
+def frame_differences(frames: DataFrame, stride: int = 1) -> DataFrame:
+    """(source, idx, frame_id, diff): mean absolute change since the frame before, null for the first.
+
+    Of each frame every ``stride``-th value is compared. Chunks hold as many frames as fit ``CHUNK_BYTES``.
+    """
+    looked = frames.select("source", "frame_id", every(F.col("pixels"), stride).alias("pixels"))
+    size = looked.where(F.col("pixels").isNotNull()).select(F.size("pixels").alias("n")).first()
+    rows = ROWS if size is None else max(1, min(ROWS, CHUNK_BYTES // (8 * max(1, size["n"]))))
     walked = running(
-        frames.select("source", "frame_id", "pixels"),
-        ["source"],
-        "frame_id",
-        {"_n": ("count", F.lit(1)), "_before": ("previous", F.col("pixels"))},
-    )
+        looked, ["source"], "frame_id", {"_n": ("count", F.lit(1)), "_before": ("previous", F.col("pixels"))},
+        measure=frames.select("frame_id"), rows=rows,
+    )
     diff = mean_abs_difference(F.col("pixels"), F.col("_before"))
     return walked.select("source", (F.col("_n") - 1).alias("idx"), "frame_id", diff.alias("diff"))
 
@@ -158,11 +164,19 @@ def valid_clips(scored: DataFrame, min_motion: float = 0.01, audible: DataFrame
     return moving if audible is None else moving.join(audible.select("source").distinct(), "source", "left_semi")
 
 
-def frame_stride(frames: DataFrame, source_fps: float, target_fps: float, max_frames: int | None = None) -> DataFrame:
-    """Every n-th frame of each source, n = source over target rate; at most ``max_frames`` where the caller says so."""
+def frame_stride(frames: DataFrame, source_fps: float, target_fps: float, max_frames: int | None = None, clips: DataFrame | None = None, longest: int | None = None) -> DataFrame:
+    """Every n-th frame of each source, n = source over target rate; at most ``max_frames`` where the caller says so.
+
+    With ``clips`` (source, clip_id, start_frame, end_frame; none longer than ``longest``) frames are counted from the
+    first one of each clip, and the limit is that of a clip.
+    """
     step = max(1, int(source_fps / target_fps))
-    kept = indexed_frames(frames).where(F.col("idx") % step == 0)
-    return kept if max_frames is None else kept.where(F.col("idx") < step * max_frames)
+    placed = indexed_frames(frames)
+    at = F.col("idx")
+    if clips is not None:
+        placed, at = frames_in_clips(clips, placed, longest), F.col("idx") - F.col("start_frame")
+    kept = placed.where(at % step == 0)
+    return kept if max_frames is None else kept.where(at < step * max_frames)
 
 
 def seconds_text(seconds: Column) -> Column:

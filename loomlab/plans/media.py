@@ -132,6 +132,17 @@ def frame_stride(lab: Lab):
     return media.frame_stride(lab.frames().select("source", "frame_id"), 24.0, 8.0)
 
 
+@query(
+    "frame_stride_clips",
+    f"WITH RECURSIVE {CLIPS} SELECT source, clip_id, frame_id, idx FROM inside WHERE (idx - start_frame) % 3 = 0 AND idx - start_frame < 15",
+)
+def frame_stride_clips(lab: Lab):
+    """At most five frames of each clip, counted from the clip's first one."""
+    cut = clips(lab, differences(lab))
+    frames = lab.frames().select("source", "frame_id")
+    return media.frame_stride(frames, 24.0, 8.0, 5, cut, LONGEST).select("source", "clip_id", "frame_id", "idx")
+
+
 TIMED = f"SELECT *, start_frame / {FPS}::DOUBLE AS t0, end_frame / {FPS}::DOUBLE AS t1 FROM clips"
 HASHED = "left(md5(source || '_' || CAST(t0 AS VARCHAR) || '_' || CAST(t1 AS VARCHAR)), 12)"
 

@@ -72,6 +72,26 @@ def test_hashed_ids_are_chunked_by_rows(spark):
     assert (ours["s"], ours["m"], ours["d"]) == (n * (n - 1) // 2, n - 1, n)
 
 
+def test_keys_that_bunch_up_make_even_chunks(spark):
+    """All keys but a few lie in one ten-thousandth of their range: no chunk is above twice the mean."""
+    n, rows = 300_000, 2_000
+    spread = spark.range(1000).select((F.col("id") * 10**12).alias("k"))
+    df = spark.range(n).select((F.col("id") + 7 * 10**13 + 1).alias("k")).unionByName(spread)
+    for wanted in (rows, 20_000):
+        counts = [r["count"] for r in _chunked(df, [], "k", None, rows=wanted).groupBy("_chunk").count().collect()]
+        assert max(counts) < 2 * wanted and len(counts) < 2.5 * n / wanted
+    ours = running(df, [], "k", {"at": ("count", F.lit(1)), "before": ("previous", F.col("k"))}, rows=rows)
+    wrong = Window.orderBy("k")
+    off = ours.withColumns({"i": F.row_number().over(wrong), "b": F.lag("k").over(wrong)}).where((F.col("i") != F.col("at")) | ~F.col("b").eqNullSafe(F.col("before")))
+    assert off.count() == 0
+
+
+def test_wide_values_take_no_part_in_aggregates(spark):
+    df = spark.range(100).select("id", F.array(F.col("id").cast("double")).alias("pixels"))
+    plan = running(df, [], "id", {"before": ("previous", F.col("pixels"))})._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "max_by" not in plan
+
+
 def test_measured_width_without_rows(spark):
     assert position(spark.createDataFrame([], "g string, k long"), ["g"], "k").count() == 0
     assert [r["position"] for r in position(spark.createDataFrame([("a", 5)], "g string, k int"), ["g"], "k").collect()] == [0]
@@ -113,3 +133,11 @@ def test_page_and_latest(rows):
     for r in rows.collect():
         want[r["g"]] = max(want.get(r["g"], -10**9), r["k"])
     assert newest == want
+
+
+def test_latest_by_time_hashes_and_keeps_rows_without_time(spark):
+    rows = [(1, 5, None), (1, 6, "2024-01-01"), (1, 7, "2024-01-01"), (2, 9, None), (2, 8, None)]
+    df = spark.createDataFrame(rows, "g int, id long, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert "SortAggregate" not in latest(df, ["g"], ["at", "id"])._jdf.queryExecution().executedPlan().toString()
+    for frame in (df, df.withColumn("t", F.lit("text"))):
+        assert sorted((r["g"], r["id"]) for r in latest(frame, ["g"], ["at", "id"]).collect()) == [(1, 7), (2, 9)]
