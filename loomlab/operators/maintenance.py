@@ -152,23 +152,44 @@ def status_transitions(events: DataFrame) -> DataFrame:
 # integrity -----------------------------------------------------------------------------------
 
 
-def duplicates(df: DataFrame, keys: list[str], check: str) -> DataFrame:
-    """How many key values occur more than once."""
-    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return many.agg(F.lit(check).alias("violation"), F.count(F.lit(1)).alias("n"))
-
-
-def orphans(df: DataFrame, key: str, parents: DataFrame, parent_key: str, check: str) -> DataFrame:
-    """How many rows refer to a parent that is not there; references are counted before the join."""
-    used = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    lost = used.join(parents.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
-    return lost.agg(F.lit(check).alias("violation"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
-
-
-def outside_domain(df: DataFrame, column: str, allowed: list[str], check: str) -> DataFrame:
-    """How many rows have a value outside an enumeration."""
-    return df.agg(F.lit(check).alias("violation"), F.count_if(~F.col(column).isin(*allowed)).alias("n"))
-
-
-def integrity_audit(checks: list[DataFrame]) -> DataFrame:
-    return union_all(checks)
+def integrity_audit(
+    tables: dict[str, DataFrame],
+    keys: list[tuple[str, list[str]]],
+    references: list[tuple[str, str, str, str]],
+    domains: list[tuple[str, str, list[str]]],
+) -> DataFrame:
+    """(violation, n): repeated keys, references without a parent, and values outside an enumeration.
+
+    ``keys`` are (table, columns), ``references`` (table, column, parent, parent's column), ``domains`` (table, column,
+    allowed values). A table is grouped once by its key: that pass counts repeated keys and stray values, and, as the
+    keys of the rows that refer to it are counted into the same groups, the references that no parent has. Null
+    references are none, null values are in every domain, a null key is a key. Counts start in the map tasks.
+    """
+    by_key = {t: list(k) for t, k in keys}
+    passes: dict[tuple[str, tuple[str, ...]], list] = {(t, tuple(k)): [] for t, k in by_key.items()}
+    for reference in references:
+        passes.setdefault((reference[2], (reference[3],)), []).append(reference)
+    for t, _, _ in domains:
+        if t not in by_key and not any(parent == t for parent, _ in passes):
+            passes[t, ()] = []
+    found, told = [], set()
+    for (name, key), children in passes.items():
+        own = [d for d in domains if d[0] == name and d[:2] not in told]
+        told |= {d[:2] for d in own}
+        stray = [F.when(~F.col(c).isin(*allowed), 1).otherwise(0) for _, c, allowed in own]
+        columns = [F.col(k).alias(f"k{i}") for i, k in enumerate(key)]
+        counts = ["parents", *[f"d{i}" for i in range(len(own))], *[f"c{i}" for i in range(len(children))]]
+        blank = [F.lit(0)] * len(counts)
+        rows = tables[name].select(*columns, *[v.alias(c) for v, c in zip([F.lit(1), *stray, *blank], counts)])
+        for i, (child, column, _, _) in enumerate(children):
+            mine = [F.lit(int(c == f"c{i}")).alias(c) for c in counts]
+            kind = tables[name].schema[key[0]].dataType
+            rows = rows.unionByName(tables[child].where(F.col(column).isNotNull()).select(F.col(column).cast(kind).alias("k0"), *mine))
+        grouped = rows.groupBy(*[f"k{i}" for i in range(len(key))]).agg(*[F.sum(c).alias(c) for c in counts])
+        out = [(f"domain {name}.{c}", F.sum(f"d{i}")) for i, (_, c, _) in enumerate(own)]
+        out += [(f"reference {child}.{c}", F.sum(F.when(F.col("parents") == 0, F.col(f"c{i}")))) for i, (child, c, _, _) in enumerate(children)]
+        if by_key.get(name) == list(key):
+            out.append((f"unique {name}", F.count_if(F.col("parents") > 1)))
+        row = grouped.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(f"v{i}") for i, (_, v) in enumerate(out)])
+        found.append(row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("violation"), F.col(f"v{i}").alias("n")) for i, (n, _) in enumerate(out)]))))
+    return union_all(found)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlab.session import materialize
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -136,113 +138,135 @@ def density_grid(df: DataFrame, x: str, y: str, nx: int, ny: int) -> DataFrame:
 # exact quantiles ---------------------------------------------------------------------------
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs=QUARTILES, accuracy: int = 10_000, settle: int = 200_000
-) -> dict[str, list[float | None]]:
-    """Exact, linearly interpolated quantiles by narrowing value brackets.
+def moments(df: DataFrame, columns: list[str], sketch: int | None = None) -> dict[str, dict]:
+    """n, mean, std, min, max and, if asked for, a quantile sketch per column: one scan, one row on the driver."""
+    aggs = []
+    for c in columns:
+        x = clean(df, c).cast("double")
+        aggs += [F.count(x).alias(f"{c}:n"), F.avg(x).alias(f"{c}:mean"), F.stddev_samp(x).alias(f"{c}:std"), F.min(x).alias(f"{c}:min"), F.max(x).alias(f"{c}:max")]
+        if sketch:
+            aggs.append(F.kll_sketch_agg_double(x, F.lit(sketch)).alias(f"{c}:sketch"))
+    row = df.agg(*aggs).first().asDict()
+    return {c: {k: row.get(f"{c}:{k}") for k in ("n", "mean", "std", "min", "max", "sketch")} for c in columns}
+
+
+def sketch_values(spark, sketches: list[tuple[bytes, list[float]]]) -> list[list[float]]:
+    """The values of each sketch at its ranks (shares of all rows)."""
+    ranks = lambda r: F.split(F.lit(",".join(map(repr, r))), ",").cast("array<double>")
+    one = spark.createDataFrame([tuple(bytearray(s) for s, _ in sketches)], ", ".join(f"s{i} binary" for i in range(len(sketches))))
+    row = one.select(*[F.kll_sketch_get_quantile_double(f"s{i}", ranks(r)).alias(f"q{i}") for i, (_, r) in enumerate(sketches)]).first()
+    return [list(q) for q in row]
+
 
-    Spark's ``percentile`` keeps every distinct value in one buffer. Here each round is a scan
-    with small aggregates: sketch bounds around the wanted ranks, then the exact number of rows
-    below each bracket. Once a bracket holds few distinct values, these are counted exactly.
-    The driver only holds two bounds per wanted quantile.
+def exact_quantiles(df: DataFrame, columns: list[str], probs=QUARTILES, accuracy: int = 4096, found: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles in three scans, whatever the number of rows.
+
+    Spark's ``percentile`` keeps every distinct value in one buffer. Here the first scan makes a mergeable sketch per
+    column (``found`` has it, if :func:`moments` was asked before), whose values a little to either side bracket each
+    quantile. The second counts exactly the rows below and inside each bracket, so a bracket that misses its ranks is
+    seen and widened. The third writes the values inside the brackets, counted; the rest is done on that table. It is
+    cut into ``SLICES`` slices per bracket, and only the slices that hold the wanted ranks are sorted. The driver holds
+    the sketches and two bounds per quantile.
     """
     x = {c: clean(df, c).cast("double") for c in columns}
-    seen = df.agg(*[F.count(x[c]).alias(c) for c in columns]).first()
+    found = found or moments(df, columns, accuracy)
     targets = {}
     for c in columns:
         for p in probs:
-            if seen[c]:
-                rank = p * (seen[c] - 1)
-                targets[c, p] = (int(rank), min(int(rank) + 1, seen[c] - 1), rank - int(rank))
-    keys = list(targets)
-    bounds = {k: (None, None) for k in keys}
-    below = {k: 0 for k in keys}
-    inside = {k: seen[k[0]] for k in keys}
-
-    def member(k):
-        lo, hi = bounds[k]
-        return x[k[0]] if lo is None else F.when((x[k[0]] >= lo) & (x[k[0]] <= hi), x[k[0]])
-
-    def sketch_ranks(k) -> list[float]:
-        first, second, _ = targets[k]
-        low = max(0.0, (first - below[k]) / inside[k] - slack[k])
-        return [low, min(1.0, (second - below[k] + 1) / inside[k] + slack[k])]
-
-    slack = {k: 2 / accuracy for k in keys}
-    open_keys = list(keys)
-    while open_keys:
-        # quantiles of one column over the same rows share one sketch
-        shared: dict[tuple, list] = {}
-        for k in open_keys:
-            shared.setdefault((k[0], bounds[k]), []).append(k)
-        sketches = [
-            F.percentile_approx(member(ks[0]), [r for k in ks for r in sketch_ranks(k)], accuracy).alias(f"s{i}")
-            for i, ks in enumerate(shared.values())
-        ]
-        row, narrowed = df.agg(*sketches).first(), {}
-        for i, ks in enumerate(shared.values()):
-            for j, k in enumerate(ks):
-                narrowed[k] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
+            if n := found[c]["n"]:
+                rank = p * (n - 1)
+                targets[c, p] = (int(rank), min(int(rank) + 1, n - 1), rank - int(rank))
+    bounds, below, slack, left = {}, {}, 8 / accuracy, list(targets)
+    while left:  # once, unless a sketch is further off than it is meant to be
+        by_column = {c: [k for k in left if k[0] == c] for c in columns}
+        asked = [(c, ks) for c, ks in by_column.items() if ks]
+        ranks = [[r for k in ks for r in (max(0.0, targets[k][0] / found[c]["n"] - slack), min(1.0, (targets[k][1] + 1) / found[c]["n"] + slack))] for c, ks in asked]
+        values = sketch_values(df.sparkSession, [(found[c]["sketch"], r) for (c, _), r in zip(asked, ranks)])
+        bounds |= {k: (v[2 * i], v[2 * i + 1]) for (_, ks), v in zip(asked, values) for i, k in enumerate(ks)}
         aggs = []
-        for i, k in enumerate(open_keys):
-            lo, hi = narrowed[k]
-            aggs.append(F.count_if(x[k[0]] < lo).alias(f"l{i}"))
-            aggs.append(F.count_if((x[k[0]] >= lo) & (x[k[0]] <= hi)).alias(f"n{i}"))
-        row, wide, missed = df.agg(*aggs).first(), [], []
-        for i, k in enumerate(open_keys):
-            first, second, _ = targets[k]
-            if not (row[f"l{i}"] <= first and second < row[f"l{i}"] + row[f"n{i}"]):
-                slack[k] *= 4  # the sketch was off by more than it promises: look wider
-                missed.append(k)
-                continue
-            if row[f"n{i}"] > settle and narrowed[k] != bounds[k]:
-                wide.append(k)
-            bounds[k], below[k], inside[k] = narrowed[k], row[f"l{i}"], row[f"n{i}"]
-        # many rows of few values are counted exactly at once; only many values are narrowed on
-        open_keys = missed
-        if wide:
-            row = df.agg(*[F.approx_count_distinct(member(k)).alias(f"d{i}") for i, k in enumerate(wide)]).first()
-            open_keys = missed + [k for i, k in enumerate(wide) if row[f"d{i}"] > settle]
-
-    found = {k: bounds[k][0] for k in keys if bounds[k][0] == bounds[k][1]}
-    counted = [k for k in keys if k not in found]
+        for i, k in enumerate(left):
+            lo, hi = bounds[k]
+            aggs += [F.count_if(x[k[0]] < lo).alias(f"l{i}"), F.count_if((x[k[0]] >= lo) & (x[k[0]] <= hi)).alias(f"n{i}")]
+        row = df.agg(*aggs).first()
+        below |= {k: row[f"l{i}"] for i, k in enumerate(left)}
+        left = [k for i, k in enumerate(left) if not (row[f"l{i}"] <= targets[k][0] and targets[k][1] < row[f"l{i}"] + row[f"n{i}"])]
+        slack *= 8
+    out = {k: bounds[k][0] for k in targets if bounds[k][0] == bounds[k][1]}
+    counted = [k for k in targets if k not in out]
     if counted:
-        found.update(_count_ranks(df, {k: member(k) for k in counted}, {k: (below[k], *targets[k]) for k in counted}))
-    return {c: [found.get((c, p)) for p in probs] for c in columns}
-
-
-def _count_ranks(df: DataFrame, members: dict, targets: dict) -> dict:
-    """Interpolated values at known ranks among the few distinct values of each bracket."""
-    keys = list(members)
-    entries = [F.when(members[k].isNotNull(), F.struct(F.lit(i).alias("k"), members[k].alias("v"))) for i, k in enumerate(keys)]
-    counts = df.select(F.explode(F.array_compact(F.array(*entries))).alias("_r")).groupBy("_r.k", "_r.v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.select("k", "v", F.sum("n").over(Window.partitionBy("k").orderBy("v")).alias("upto"))
-    wanted = [F.create_map(*[F.lit(z) for i, k in enumerate(keys) for z in (i, targets[k][j] - targets[k][0])]) for j in (1, 2)]
-    values = ranked.groupBy("k").agg(
-        *[F.min(F.when(F.col("upto") > w[F.col("k")], F.col("v"))).alias(n) for n, w in zip("ab", wanted)]
-    )
-    return {keys[r["k"]]: r["a"] + (r["b"] - r["a"]) * targets[keys[r["k"]]][3] for r in values.collect()}
+        out |= _values_at_ranks(df, {k: (x[k[0]], *bounds[k]) for k in counted}, {k: (targets[k][0] - below[k], targets[k][1] - below[k], targets[k][2]) for k in counted})
+    return {c: [out.get((c, p)) for p in probs] for c in columns}
+
+
+#: Slices of a bracket.
+SLICES = 1024
+
+
+def _values_at_ranks(df: DataFrame, brackets: dict, targets: dict) -> dict:
+    """Interpolated values at known ranks among the values of each bracket (column, lowest, highest)."""
+    keys = list(brackets)
+    inside = [(i, x, lo, hi) for i, (x, lo, hi) in enumerate(brackets.values())]
+    entries = F.array(*[F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("k"), x.alias("v"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for i, x, lo, hi in inside])
+    rows = df.select(F.explode(F.array_compact(entries)).alias("r")).select("r.*")
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    rows = rows.groupBy("k", "v", F.least(F.floor(F.nanvl(share, F.lit(0.0)) * SLICES), F.lit(SLICES)).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(df.sparkSession, rows, "brackets")
+    ranks = F.create_map(*[z for i, k in enumerate(keys) for z in (F.lit(i), F.array(F.lit(targets[k][0]), F.lit(targets[k][1])).cast("array<bigint>"))])
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("slice"))
+    slices = rows.groupBy("k", "slice").agg(F.sum("n").alias("n")).withColumn("ahead", upto - F.col("n"))
+    slices = slices.select("k", "slice", "ahead", "n", F.explode(ranks[F.col("k")]).alias("rank")).where((F.col("ahead") <= F.col("rank")) & (F.col("rank") < F.col("ahead") + F.col("n")))
+    within = F.sum("n").over(Window.partitionBy("k", "slice", "rank").orderBy("v"))
+    near = rows.join(slices.drop("n"), ["k", "slice"]).withColumn("upto", F.col("ahead") + within).where(F.col("upto") > F.col("rank"))
+    at = {(r["k"], r["rank"]): r["v"] for r in near.groupBy("k", "rank").agg(F.min("v").alias("v")).collect()}
+    out = {}
+    for i, k in enumerate(keys):
+        a, b, part = at[i, targets[k][0]], at[i, targets[k][1]], targets[k][2]
+        out[k] = a + (b - a) * part if a != b else a
+    return out
 
 
 def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column; sketch quartiles if not ``exact``."""
-    quartiles = exact_quantiles(df, columns) if exact else {}
-    aggs, rows = [], []
-    for c in columns:
-        x = clean(df, c).cast("double")
-        aggs += [F.count(x).alias(f"{c}:n"), F.avg(x).alias(f"{c}:mean"), F.stddev_samp(x).alias(f"{c}:std"), F.min(x).alias(f"{c}:min"), F.max(x).alias(f"{c}:max")]
-        if exact:
-            q = [F.lit(v).cast("double") for v in quartiles[c]]
-        else:
-            aggs.append(F.percentile_approx(x, list(QUARTILES), 10_000).alias(f"{c}:q"))
-            q = [F.col(f"`{c}:q`")[i] for i in range(3)]
-        rows.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"`{c}:n`").alias("n"),
-                *[F.col(f"`{c}:{s}`").alias(s) for s in ("mean", "std", "min")],
-                *[v.alias(n) for v, n in zip(q, ("q1", "median", "q3"))],
-                F.col(f"`{c}:max`").alias("max"),
-            )
-        )
-    return to_long(df.agg(*aggs), rows)
+    """count, mean, std, min, quartiles and max per column: three scans, or one with sketch quartiles if not ``exact``."""
+    found = moments(df, columns, 4096)
+    quartiles = {c: [None] * len(QUARTILES) for c in columns}
+    if exact:
+        quartiles = exact_quantiles(df, columns, found=found)
+    elif seen := [c for c in columns if found[c]["n"]]:
+        quartiles |= dict(zip(seen, sketch_values(df.sparkSession, [(found[c]["sketch"], list(QUARTILES)) for c in seen])))
+    rows = [(c, *[found[c][s] for s in ("n", "mean", "std", "min")], *quartiles[c], found[c]["max"]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, n long, mean double, std double, min double, q1 double, median double, q3 double, max double")
+
+
+# a histogram that grows with its range ---------------------------------------------------------
+
+
+def _exponent(low: Column, high: Column, bins: int, finest: int) -> Column:
+    """The least power of two at whose grid the values from ``low`` to ``high`` take at most ``bins`` bins."""
+
+    def fits(e: Column) -> Column:
+        width = F.pow(F.lit(2.0), e.cast("double"))
+        countable = F.greatest(F.abs(low), F.abs(high)) / width < float(1 << 53)
+        return countable & (F.floor(high / width) - F.floor(low / width) < bins)
+
+    return F.get(F.filter(F.sequence(F.lit(finest), F.lit(1023)), fits), F.lit(0))
+
+
+def doubling_counts(df: DataFrame, column: str, bins: int = 64, finest: int = -20) -> DataFrame:
+    """(exponent, bin, n, low, high) of at most ``bins`` bins ``2 ** exponent`` wide, which lie on multiples of it.
+
+    Null, NaN and infinite values are left out. :func:`merged_counts` joins such tables of any ranges exactly.
+    """
+    x = clean(df, column).cast("double")
+    rows = df.select(x.alias("v")).where(F.abs("v") < float("inf"))
+    one = rows.agg(F.min("v").alias("low"), F.max("v").alias("high")).select(_exponent(F.col("low"), F.col("high"), bins, finest).alias("e"))
+    rows = rows.withColumn("exponent", one.scalar())
+    place = F.floor(F.col("v") / F.pow(F.lit(2.0), F.col("exponent").cast("double")))
+    return rows.groupBy("exponent", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def merged_counts(parts: DataFrame, bins: int = 64, finest: int = -20) -> DataFrame:
+    """Tables of :func:`doubling_counts` as one: bins double in width until the whole range takes at most ``bins``."""
+    one = parts.agg(F.min("low").alias("low"), F.max("high").alias("high")).select(_exponent(F.col("low"), F.col("high"), bins, finest).alias("e"))
+    rows = parts.withColumn("to", one.scalar())
+    wider = F.call_function("shiftright", F.col("bin"), F.least(F.col("to") - F.col("exponent"), F.lit(63)))
+    return rows.groupBy(F.col("to").alias("exponent"), wider.alias("bin")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))

@@ -7,10 +7,13 @@ A search space maps a name to a spec: {"type": "choice", "values": [...]}, {"typ
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomlab.operators.experiments import running_best
 
@@ -108,3 +111,72 @@ def sweep(trials: DataFrame, evaluate: Callable[[DataFrame], DataFrame], minimiz
     return running_best(scored, minimize), summary.select(
         "sweep_id", "completed_trials", F.col("b.value").alias("best_value"), best_job.alias("best_job")
     )
+
+
+# trials that train -----------------------------------------------------------------------------
+
+
+def fold_moments(df: DataFrame, columns: list[str], fold: str, folds: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(rows, means, mean products about the means) of ``columns`` per fold, from one scan; rows with a null are left out.
+
+    The driver holds a matrix per fold.
+    """
+    size = len(columns)
+    x = [F.col(c).cast("double") for c in columns]
+    aggs = [F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]
+    aggs += [F.covar_pop(x[i], x[j]).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
+    rows = df.na.drop(subset=columns).groupBy(F.col(fold).cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"), *aggs).collect()
+    out = [(0.0, np.zeros(size), np.zeros((size, size)))] * folds
+    for r in rows:
+        spread = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
+        out[r["fold"]] = (float(r["n"]), np.array([r[f"m{i}"] for i in range(size)]), spread)
+    return out
+
+
+def joined_moments(parts: list[tuple]) -> tuple:
+    """The moments of all parts together."""
+    n = sum(p[0] for p in parts)
+    mean = sum((p[0] * p[1] for p in parts), np.zeros_like(parts[0][1])) / max(n, 1.0)
+    spread = sum((p[0] * (p[2] + np.outer(p[1] - mean, p[1] - mean)) for p in parts), np.zeros_like(parts[0][2])) / max(n, 1.0)
+    return n, mean, spread
+
+
+def ridge_errors(moments: list[tuple], features: list[int], penalties: np.ndarray) -> np.ndarray:
+    """Held-out root mean squared error of a penalized line for each penalty; the last column is what is predicted.
+
+    A line is fitted to the other folds and tried on each fold; both need nothing but the moments.
+    """
+    squared, rows = np.zeros(len(penalties)), 0.0
+    for i, (n, mean, spread) in enumerate(moments):
+        fitted, at, inner = joined_moments(moments[:i] + moments[i + 1 :])
+        if not n or not fitted:
+            continue
+        known, unit = inner[np.ix_(features, features)], np.eye(len(features))
+        w = np.linalg.solve(known + penalties[:, None, None] * unit, np.broadcast_to(inner[features, -1], (len(penalties), len(features)))[..., None])[..., 0]
+        shift = (mean[-1] - at[-1]) - w @ (mean - at)[features]
+        held = spread[-1, -1] - 2 * w @ spread[features, -1] + np.einsum("ij,jk,ik->i", w, spread[np.ix_(features, features)], w)
+        squared += n * (held + shift**2)
+        rows += n
+    return np.sqrt(np.maximum(squared, 0.0) / rows) if rows else np.full(len(penalties), np.nan)
+
+
+def ridge_trials(moments: list[tuple], columns: list[str], choices: dict[str, list[str]], choice: str, penalty: str, done: str) -> Callable[[DataFrame], DataFrame]:
+    """An ``evaluate`` for :func:`sweep`: every trial fits lines with its features and penalty, and is scored on held-out rows.
+
+    The table is read once for all trials, by :func:`fold_moments` over ``columns``. Trials for which ``done`` does not
+    hold, and those without rows to learn from, have no objective.
+    """
+
+    def score(trials: DataFrame) -> DataFrame:
+        schema = T.StructType([*trials.schema.fields, T.StructField("objective", T.DoubleType())])
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = pd.Series(np.nan, index=batch.index)
+                for name, rows in batch[batch[done]].groupby(choice):
+                    found[rows.index] = ridge_errors(moments, [columns.index(c) for c in choices[name]], rows[penalty].to_numpy(float))
+                yield batch.assign(objective=found.astype(object).where(found.notna(), None))
+
+        return trials.mapInPandas(fit, schema)
+
+    return score

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomlab.operators.experiments import union_all
 from loomlab.plans import media as media_plans
 from loomlab.plans.registry import query
-from loomlab.session import scratch
+from loomlab.session import materialize, scratch
 from loomlab.sources import csv_schema, datasets, objects, samples
 from loomlab.tables import Lab
 
@@ -134,20 +134,28 @@ def parsed_objects(objects_):
     return lines.select(F.from_json("line", PARSED).alias("r")).select("r.doc_id", F.md5("r.text").alias("digest"))
 
 
+def exported(lab: Lab) -> str:
+    """Documents written as objects of JSON lines."""
+    prefix = scratch(lab.spark, "objects")
+    lab.raw("documents").select("doc_id", "text").write.json(prefix)
+    return prefix
+
+
 @query("object_scan", "SELECT doc_id, md5(text) AS digest FROM documents")
 def object_scan(lab: Lab):
-    """Documents exported as objects, then listed, read as bytes and parsed."""
-    prefix = scratch(lab.spark, "objects")
-    lab.raw("documents").select("doc_id", "text").write.option("maxRecordsPerFile", 200).json(prefix)
-    return parsed_objects(objects.object_scan(lab.spark, prefix, "*.json"))
+    """Documents exported as objects, then listed, and read line by line in ranges."""
+    lines = objects.object_lines(lab.spark, exported(lab), "*.json", 1 << 16).where(F.col("error").isNull())
+    return lines.select(F.from_json(F.decode("line", "utf-8"), PARSED).alias("r")).select("r.doc_id", F.md5("r.text").alias("digest"))
 
 
-@query("media_discovery")
-def media_discovery(lab: Lab):
-    """Files of the data folder by extension; an unknown source type is skipped."""
-    sources = [{"type": "local", "path": lab.folder}, {"type": "tape"}]
-    found = objects.discover_media(lab.spark, sources, (".parquet",))
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+@query("open_source_objects", "SELECT CAST(sum(strlen(text)) AS BIGINT) AS text_bytes, count(*) AS documents FROM documents")
+def open_source_objects(lab: Lab):
+    """Documents written as one text object each, opened as an object source in ranges, their bytes counted."""
+    prefix = scratch(lab.spark, "objects")
+    rows = lab.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    samples.write_sample_files(rows, "doc_id", {".txt": "text"}, prefix)
+    found = objects.open_source(lab.spark, "s3", path=prefix, pattern="*.txt", range_bytes=1 << 12)
+    return found.agg(F.sum(F.octet_length("data")).alias("text_bytes"), F.countDistinct("key").alias("documents"))
 
 
 def hub(lab: Lab):
@@ -177,6 +185,21 @@ def sample_scan(lab: Lab):
     return samples.with_sidecar(lab.raw("documents").select("doc_id", "text"), lab.raw("labels"), "doc_id")
 
 
+@query(
+    "sample_files",
+    """SELECT CAST(d.doc_id AS VARCHAR) AS stem, text AS visual, lang AS audio, CASE WHEN l.doc_id IS NOT NULL THEN 'codec-' || coalesce(quality, -1) END AS codec,
+    CASE WHEN l.doc_id IS NOT NULL THEN toxic END AS num_codebooks FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY stem""",
+)
+def sample_files(lab: Lab):
+    """Samples as files: a caption per document, a sidecar beside some, read back and joined by stem."""
+    folder = scratch(lab.spark, "sample-files")
+    labels = lab.raw("labels").select("doc_id", F.to_json(F.struct(F.concat(F.lit("codec-"), F.coalesce("quality", F.lit(-1))).alias("codec"), F.col("toxic").alias("num_codebooks"))).alias("sidecar"))
+    captions = lab.raw("documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("clip_id"), F.col("text").alias("visual"), F.col("lang").alias("audio"))).alias("caption"))
+    samples.write_sample_files(captions.join(labels, "doc_id", "left"), "doc_id", {".json": "caption", samples.SIDECAR_SUFFIX: "sidecar"}, folder)
+    found = samples.with_sidecar(samples.read_captions(lab.spark, folder), samples.read_sidecars(lab.spark, folder), "stem")
+    return found.select("stem", "visual", "audio", "codec", "num_codebooks")
+
+
 def published(lab: Lab):
     joined = lab.raw("documents").join(lab.raw("labels").withColumn("_has", F.lit(True)), "doc_id", "left")
     captions = joined.select(
@@ -201,8 +224,8 @@ def published(lab: Lab):
 )
 def publish_records(lab: Lab):
     path = scratch(lab.spark, "records")
-    samples.write_records(published(lab), path, 500)
-    return lab.spark.read.parquet(path).withColumn("duration_seconds", F.round("duration_seconds", 8))
+    samples.write_records(published(lab), path, shard_bytes=1 << 22, order="clip_id")
+    return lab.spark.read.parquet(path).drop("shard").withColumn("duration_seconds", F.round("duration_seconds", 8))
 
 
 @query(
@@ -217,13 +240,26 @@ def tar_shards(lab: Lab):
 
 @query(
     "tar_shards_written",
-    """WITH r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS shard FROM documents)
-    SELECT printf('shard-%06d.tar', shard) AS shard_name, count(*) AS n FROM r GROUP BY 1""",
+    """WITH r AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS shard FROM documents)
+    SELECT printf('shard-%06d.tar', shard) AS shard_name, doc_id || '.txt' AS member, md5(text) AS digest FROM r WHERE text IS NOT NULL""",
 )
 def tar_shards_written(lab: Lab):
-    """The same shards, written as tar files."""
+    """The same shards, written as tar files; the members are read back."""
+    folder = scratch(lab.spark, "tars")
     placed = samples.assign_shards(lab.raw("documents").select("doc_id", "text"), "doc_id", 100)
-    return samples.write_tar_shards(placed, "doc_id", {".txt": "text"}, scratch(lab.spark, "tars"))
+    shards = materialize(lab.spark, samples.write_tar_shards(placed, "doc_id", {".txt": "text"}, folder), "tar-list")
+    return samples.read_tar_shards(shards, folder).select("shard_name", "member", F.md5("data").alias("digest"))
+
+
+@query("tar_shards_of_bytes", "SELECT doc_id || '.txt' AS member, md5(text) AS digest, true AS fits FROM documents WHERE text IS NOT NULL")
+def tar_shards_of_bytes(lab: Lab):
+    """Shards cut by bytes: every document is in one, and none is above its bytes."""
+    folder, most = scratch(lab.spark, "tars"), 1 << 22
+    docs = lab.raw("documents").select("doc_id", "text")
+    placed = samples.shards_of_bytes(docs, "doc_id", F.octet_length("text"), most)
+    shards = materialize(lab.spark, samples.write_tar_shards(placed, "doc_id", {".txt": "text"}, folder), "tar-list")
+    members = samples.read_tar_shards(shards, folder).join(shards, "shard_name")
+    return members.select("member", F.md5("data").alias("digest"), (F.col("bytes") <= most).alias("fits"))
 
 
 @query("json_dir_stream", "SELECT doc_id, text, lang FROM documents")
@@ -254,23 +290,3 @@ def caption_export(lab: Lab):
     exported.write.json(path)
     stored = lab.spark.read.schema(exported.schema).json(path)
     return stored.withColumn("resolution", F.concat_ws("x", F.col("resolution").cast("array<string>")))
-
-
-def line_decoder(content: bytes):
-    """Stands in for a video codec: lines are frames, every fourth one is a keyframe."""
-    text = content.decode()
-    if text.startswith("D"):
-        raise ValueError("unreadable")
-    for i, line in enumerate(text.split("\n")):
-        yield i, i % 4 == 0, line.encode()
-
-
-@query(
-    "keyframe_rows",
-    """SELECT 'doc-' || doc_id AS source, CAST(i AS BIGINT) AS pts, md5(lines[i + 1]) AS frame, CAST(NULL AS VARCHAR) AS error
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE NOT starts_with(text, 'D')) d, unnest(range(0, len(lines))) AS u(i) WHERE i % 4 = 0
-    UNION ALL SELECT 'doc-' || doc_id, NULL, NULL, 'unreadable' FROM documents WHERE starts_with(text, 'D')""",
-)
-def keyframe_rows(lab: Lab):
-    files = lab.raw("documents").select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.encode("text", "utf-8").alias("content"))
-    return objects.decode_keyframes(files, line_decoder).withColumn("frame", F.md5("frame"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlab.operators import learning, sweeps
-from loomlab.operators.profile import column_stats
 from loomlab.plans.registry import query
 from loomlab.session import materialize
 from loomlab.tables import Lab, status_of
@@ -77,32 +76,41 @@ def train_params(lab: Lab):
     return sweeps.train_params(jobs, sets).select("id", "parameters")
 
 
-def evaluate(lab: Lab):
-    """Trials scored in one pass: the squared error of a shrunken mean of the order prices."""
-    stats = column_stats(lab.raw("orders"), ["o_totalprice"])["o_totalprice"]
-
-    def score(trials):
-        shrink = 1 - F.col("lr") * F.col("epochs")
-        guess = F.lit(stats.mean) * shrink + F.col("momentum") * F.col("batch_size")
-        error = F.sqrt(F.lit(stats.std or 0.0) ** 2 + (guess - F.lit(stats.mean)) ** 2)
-        completed = status_of(F.col("o_orderstatus")) == "completed"
-        return trials.withColumn("objective", F.when(completed, error))
-
-    return score
+LINES = {"quantity": ["l_quantity"], "discount": ["l_discount"], "both": ["l_quantity", "l_discount"]}
+LINE_SPACE = {
+    "features": {"type": "choice", "values": list(LINES)},
+    "penalty": {"type": "log_uniform", "min": 1e-2, "max": 1e3},
+}
 
 
 @query(
     "sweep",
-    f"""WITH {DRAWN}, stats AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM orders),
-    scored AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN sqrt(d * d + power(m * (1 - lr * epochs) + momentum * batch_size - m, 2)) END AS objective FROM drawn, stats)
+    f"""WITH rows AS (SELECT l_orderkey % 5 AS fold, l_quantity AS q, l_discount AS d, l_extendedprice AS p FROM lineitem),
+    t AS (SELECT f, avg(q) AS mq, avg(d) AS md, avg(p) AS mp, covar_pop(q, q) AS qq, covar_pop(d, d) AS dd, covar_pop(q, d) AS qd, covar_pop(q, p) AS qp, covar_pop(d, p) AS dp
+      FROM rows, range(5) AS x(f) WHERE fold <> f GROUP BY f),
+    h AS (SELECT fold AS f, count(*) AS n, avg(q) AS mq, avg(d) AS md, avg(p) AS mp, covar_pop(q, q) AS qq, covar_pop(d, d) AS dd, covar_pop(q, d) AS qd,
+      covar_pop(q, p) AS qp, covar_pop(d, p) AS dp, covar_pop(p, p) AS pp FROM rows GROUP BY fold),
+    drawn AS (SELECT *, (['quantity', 'discount', 'both'])[CAST(floor({_draw('features')} * 3) AS INTEGER) + 1] AS features,
+      exp(ln(1e-2::DOUBLE) + {_draw('penalty')} * (ln(1e3::DOUBLE) - ln(1e-2::DOUBLE))) AS l
+      FROM (SELECT o_custkey AS sweep_id, o_orderkey AS job_id, o_orderstatus FROM orders)),
+    fitted AS (SELECT sweep_id, job_id, t.*,
+        CASE features WHEN 'quantity' THEN qp / (qq + l) WHEN 'discount' THEN 0 ELSE (qp * (dd + l) - dp * qd) / ((qq + l) * (dd + l) - qd * qd) END AS wq,
+        CASE features WHEN 'quantity' THEN 0 WHEN 'discount' THEN dp / (dd + l) ELSE (dp * (qq + l) - qp * qd) / ((qq + l) * (dd + l) - qd * qd) END AS wd
+      FROM drawn, t WHERE o_orderstatus = 'F'),
+    errors AS (SELECT sweep_id, job_id, sqrt(sum(h.n * (h.pp - 2 * (wq * h.qp + wd * h.dp) + wq * wq * h.qq + 2 * wq * wd * h.qd + wd * wd * h.dd
+        + power((h.mp - x.mp) - wq * (h.mq - x.mq) - wd * (h.md - x.md), 2))) / sum(h.n)) AS objective FROM fitted x JOIN h ON h.f = x.f GROUP BY ALL)
     SELECT sweep_id, count(*) AS completed_trials, round(min(objective), 4) AS best_value, arg_min(job_id, {{'v': objective, 'j': job_id}}) FILTER (objective IS NOT NULL) AS best_job
-    FROM scored GROUP BY 1""",
+    FROM drawn LEFT JOIN errors USING (sweep_id, job_id) GROUP BY 1""",
 )
 def sweep(lab: Lab):
-    """Random trials of every sweep, evaluated in parallel and folded to one row per sweep."""
-    trials = lab.raw("orders").select(F.col("o_custkey").alias("sweep_id"), F.col("o_orderkey").alias("job_id"), "o_orderstatus")
-    drawn = sweeps.random_trials(trials, SPACE, ["sweep_id", "job_id"], seed=7)
-    _, summary = sweeps.sweep(drawn, evaluate(lab), minimize=True)
+    """Random trials of every sweep: lines that predict a price, scored on held-out lines, folded to one row per sweep."""
+    rows = lab.raw("lineitem").withColumn("_fold", F.col("l_orderkey") % 5)
+    columns = ["l_quantity", "l_discount", "l_extendedprice"]
+    moments = sweeps.fold_moments(rows, columns, "_fold", 5)
+    completed = (status_of(F.col("o_orderstatus")) == "completed").alias("done")
+    trials = lab.raw("orders").select(F.col("o_custkey").alias("sweep_id"), F.col("o_orderkey").alias("job_id"), completed)
+    drawn = sweeps.random_trials(trials, LINE_SPACE, ["sweep_id", "job_id"], seed=7)
+    _, summary = sweeps.sweep(drawn, sweeps.ridge_trials(moments, columns, LINES, "features", "penalty", "done"), minimize=True)
     return summary.withColumn("best_value", F.round("best_value", 4))
 
 

@@ -238,10 +238,8 @@ def _audit_sql() -> str:
 
 @query("integrity_audit", _audit_sql())
 def integrity_audit(lab: Lab):
-    checks = [mt.duplicates(lab.raw(t), keys, f"unique {t}") for t, keys in AUDIT_KEYS]
-    checks += [mt.orphans(lab.raw(t), k, lab.raw(p), pk, f"reference {t}.{k}") for t, k, p, pk in AUDIT_REFERENCES]
-    checks += [mt.outside_domain(lab.raw(t), c, allowed, f"domain {t}.{c}") for t, c, allowed in AUDIT_DOMAINS]
-    return mt.integrity_audit(checks)
+    tables = {t for t, _ in AUDIT_KEYS} | {x for t, _, p, _ in AUDIT_REFERENCES for x in (t, p)} | {t for t, _, _ in AUDIT_DOMAINS}
+    return mt.integrity_audit({t: lab.raw(t) for t in sorted(tables)}, AUDIT_KEYS, AUDIT_REFERENCES, AUDIT_DOMAINS)
 
 
 @query(

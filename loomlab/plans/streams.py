@@ -99,6 +99,22 @@ def windowed_metrics(lab: Lab):
     return means.withColumn("mean", F.round("mean", 6))
 
 
+@query(
+    "windowed_metrics_late",
+    f"""WITH {METRICS}, mark AS (SELECT max(recorded_at) AS newest FROM metrics WHERE id % 10 <> 0)
+    SELECT id, metric_name, recorded_at FROM metrics, mark WHERE id % 10 = 0 AND recorded_at < newest - INTERVAL '10 days'""",
+)
+def windowed_metrics_late(lab: Lab):
+    """Every tenth point arrives after the others; those more than ten days behind the newest are late."""
+    source, out, state = (scratch(lab.spark, name) for name in ("arriving", "windows", "window-state"))
+    points, late = lab.metrics(), None
+    for arrived in (F.col("id") % 10 != 0, F.col("id") % 10 == 0):
+        points.where(arrived).write.mode("append").parquet(source)
+        stream = lab.spark.readStream.schema(points.schema).parquet(source)
+        _, late = st.windowed_means(lab.spark, stream, out, ["metric_name"], "recorded_at", "value", "1 day", "10 days", state=state)
+    return late.select("id", "metric_name", "recorded_at")
+
+
 @query("metric_append", f"WITH {METRICS} SELECT * FROM metrics")
 def metric_append(lab: Lab):
     return st.append_to(lab.spark, metric_stream(lab), scratch(lab.spark, "metrics"))
@@ -149,21 +165,22 @@ def live_status_counts(lab: Lab):
 
 @query(
     "refresh_snapshot",
-    """WITH span AS (SELECT min(value) AS lo, (max(value) - min(value)) / 15 AS w FROM events),
-    counts AS (SELECT least(CAST(floor((value - lo) / w) AS BIGINT), 14) AS bin, count(*) AS n FROM events, span GROUP BY 1)
-    SELECT r.bin, round(lo + r.bin * w, 1) AS edge, coalesce(n, 0) AS n FROM (SELECT range AS bin FROM range(15)) r LEFT JOIN counts USING (bin), span""",
+    """WITH span AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+    grid AS (SELECT pow(2, list_filter(range(-20, 64), lambda e: floor(hi / pow(2, e)) - floor(lo / pow(2, e)) < 64)[1]) AS width FROM span)
+    SELECT floor(value / width) * width AS edge, width, count(*) AS n FROM events, grid GROUP BY 1, 2""",
 )
 def refresh_snapshot(lab: Lab):
-    """Each beat counts its distinct values; the histogram is made of the folded counts."""
-    points = lab.stream("events").select("value")
-    return st.refresh(
+    """Each beat adds a histogram of at most 64 bins, whose width doubles as the range of values grows."""
+    counts = st.refresh(
         lab.spark,
-        points,
+        lab.stream("events").select("value"),
         scratch(lab.spark, "summary"),
-        partial=lambda rows: rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")),
-        merge=lambda parts: parts.groupBy("value").agg(F.sum("n").alias("n")),
-        finish=lambda counts: profile.histogram(counts, "value", 15, weight="n").withColumn("edge", F.round("edge", 1)),
+        partial=lambda rows: profile.doubling_counts(rows, "value"),
+        merge=profile.merged_counts,
+        finish=lambda counts: counts,
     )
+    width = F.pow(F.lit(2.0), F.col("exponent").cast("double"))
+    return counts.select((F.col("bin") * width).alias("edge"), width.alias("width"), "n")
 
 
 @query("media_stream", "SELECT doc_id, md5(text) AS digest FROM documents")

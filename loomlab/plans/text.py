@@ -9,17 +9,21 @@ from loomlab.plans.registry import query
 from loomlab.session import scratch
 from loomlab.tables import Lab
 
-# Words that occur in the test texts, standing in for import names.
-WORDS = (("first", ("ther",)), ("second", ("tion", "ouou")), ("third", ("eau", "der")))
+# Lines that sources begin with, dealt to the documents by id; two name several frameworks.
+IMPORTS = ("import torch", "from sklearn.svm import SVC", "import scikit_posthocs", "import tensorflow as tf", "import keras", "import numpy", "import keras, torch", "import tensorflow, sklearn")
 
 
 @query(
     "framework_detect",
-    """SELECT doc_id, CASE WHEN contains(text, 'ther') THEN 'first' WHEN contains(text, 'tion') OR contains(text, 'ouou') THEN 'second'
-    WHEN contains(text, 'eau') OR contains(text, 'der') THEN 'third' ELSE 'python' END AS framework FROM documents""",
+    f"""WITH code AS (SELECT doc_id, ([{', '.join(map(repr, IMPORTS))}])[doc_id % {len(IMPORTS)} + 1] || chr(10) || text AS code FROM documents)
+    SELECT doc_id, CASE WHEN contains(code, 'torch') THEN 'pytorch' WHEN contains(code, 'sklearn') OR contains(code, 'scikit') THEN 'sklearn'
+    WHEN contains(code, 'tensorflow') OR contains(code, 'keras') THEN 'tensorflow' ELSE 'python' END AS framework FROM code""",
 )
 def framework_detect(lab: Lab):
-    return lab.raw("documents").select("doc_id", tx.framework_of(F.col("text"), WORDS).alias("framework"))
+    """The framework of every document, read as a source file that begins with an import line."""
+    first = F.get(F.array(*[F.lit(i) for i in IMPORTS]), (F.col("doc_id") % len(IMPORTS)).cast("int"))
+    code = F.concat(first, F.lit("\n"), F.col("text"))
+    return lab.raw("documents").select("doc_id", tx.framework_of(code).alias("framework"))
 
 
 def sources(lab: Lab):

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import io
 import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlab.sources.samples import file_system
+
 log = logging.getLogger(__name__)
 
 # The media files of the lab.
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mkv", ".mov", ".webm")
+LINE_BUFFER = 1 << 16
 SOURCE_TYPES = ("huggingface", "s3", "postgres", "video", "audio")
 
 
@@ -27,6 +32,65 @@ def object_scan(spark: SparkSession, prefix: str, pattern: str | None = None, co
     return reader.load(prefix).select(*columns, *([F.col("content").alias("data")] if content else []))
 
 
+def _ranges(spark: SparkSession, prefix: str, pattern: str | None, range_bytes: int) -> DataFrame:
+    listed = object_scan(spark, prefix, pattern, content=False)
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    return listed.withColumn("offset", F.explode(starts)).repartition("key", "offset")
+
+
+def object_ranges(spark: SparkSession, prefix: str, pattern: str | None = None, range_bytes: int = 1 << 23) -> DataFrame:
+    """(key, bytes, offset, data, error): every object below a prefix in ranges of at most ``range_bytes``.
+
+    Spark lists the objects and deals the ranges; a task opens an object at its offset through the file system that its
+    URI names and holds one range, so no object has to fit a row. What cannot be read is a row with the error.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, error = None, None
+                try:
+                    store, path = file_system(row["key"])
+                    with store.open_input_file(path) as source:
+                        data = source.read_at(min(range_bytes, max(row["bytes"] - row["offset"], 0)), row["offset"])
+                except Exception as problem:  # a broken object must not end the job
+                    error = f"{type(problem).__name__}: {problem}"
+                yield pa.RecordBatch.from_pydict({**{k: [row[k]] for k in ("key", "bytes", "offset")}, "data": pa.array([data], pa.binary()), "error": pa.array([error], pa.string())})
+
+    return _ranges(spark, prefix, pattern, range_bytes).mapInArrow(read, "key string, bytes bigint, offset bigint, data binary, error string")
+
+
+def object_lines(spark: SparkSession, prefix: str, pattern: str | None = None, range_bytes: int = 1 << 23) -> DataFrame:
+    """(key, line, error): the lines of every object below a prefix, many tasks to an object.
+
+    A task returns the lines that begin in its range and reads on for the end of the last one. What cannot be read is a row
+    with the error, after the lines before it.
+    """
+
+    def lines(uri: str, start: int) -> Iterator[bytes]:
+        store, path = file_system(uri)
+        with store.open_input_file(path) as source:
+            source.seek(max(start - 1, 0))
+            text = io.BufferedReader(source, LINE_BUFFER)
+            at = start if not start else start - 1 + len(text.readline())  # the line that goes on here is another task's
+            while at < start + range_bytes and (line := text.readline()):
+                at += len(line)
+                yield line.rstrip(b"\r\n")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("key", pa.string()), ("line", pa.binary()), ("error", pa.string())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = lines(row["key"], row["offset"])
+                try:
+                    while held := list(islice(found, FRAMES_PER_BATCH)):
+                        yield pa.RecordBatch.from_pydict({"key": [row["key"]] * len(held), "line": held, "error": [None] * len(held)}, kinds)
+                except Exception as problem:  # a broken object must not end the job
+                    yield pa.RecordBatch.from_pydict({"key": [row["key"]], "line": [None], "error": [f"{type(problem).__name__}: {problem}"]}, kinds)
+
+    return _ranges(spark, prefix, pattern, range_bytes).mapInArrow(read, "key string, line binary, error string")
+
+
 def media_files(spark: SparkSession, path: str, extensions=VIDEO_EXTENSIONS) -> DataFrame:
     """Media files below a path, by extension in any case; contents stay unread."""
     found = object_scan(spark, path, content=False)
@@ -87,7 +151,7 @@ def open_source(spark: SparkSession, kind: str, batch_size: int | None = None, t
         rows = hub_scan(spark, options["name"], options.get("split", "train"))
     elif kind == "s3":
         base = options.get("path") or f"s3a://{options['bucket']}/{options.get('prefix', '')}"
-        rows = object_scan(spark, base)
+        rows = object_ranges(spark, base, options.get("pattern"), options["range_bytes"]) if "range_bytes" in options else object_scan(spark, base, options.get("pattern"))
     elif kind == "postgres":
         rows = jdbc_scan(spark, options["db_url"], options["query"], options.get("fetch", batch_size or 1000), options.get("split"))
     else:

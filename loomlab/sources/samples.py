@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlab.operators.ordered import global_index
+from loomlab.operators.ordered import global_index, running
+from loomlab.session import qualified
 
 # Names and defaults of the exported files.
 SIDECAR_SUFFIX = ".audio.json"
@@ -62,10 +64,20 @@ def publish_records(samples: DataFrame, sidecar_columns: list[str], has_sidecar)
     )
 
 
-def write_records(records: DataFrame, path: str, rows_per_file: int) -> None:
-    """Parquet shards of bounded size; an empty table is an error, found by counting what was written."""
+def write_records(records: DataFrame, path: str, rows_per_file: int | None = None, shard_bytes: int | None = None, order: str | None = None) -> None:
+    """Parquet shards of bounded size; an empty table is an error, found by counting what was written.
+
+    Either a file has at most ``rows_per_file`` rows, or, in folders ``shard=n`` in the sequence of the integer key
+    ``order``, rows of at most ``shard_bytes`` bytes as JSON, the size that a reader has to hold.
+    """
     seen = Observation("records")
-    records.observe(seen, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    counted = lambda rows: rows.observe(seen, F.count(F.lit(1)).alias("n"))
+    if shard_bytes is None:
+        counted(records).write.option("maxRecordsPerFile", rows_per_file or 0).parquet(path)
+    else:
+        size = F.octet_length(F.to_json(F.struct(*records.columns)))
+        placed = counted(shards_of_bytes(records, order, size, shard_bytes))
+        placed.repartition("shard").sortWithinPartitions("shard", order).drop("shard_name").write.partitionBy("shard").parquet(path)
     if not seen.get["n"]:
         raise ValueError("no samples to publish")
 
@@ -97,50 +109,119 @@ def assign_shards(samples: DataFrame, order: str, per_shard: int = SAMPLES_PER_S
     return placed.withColumn("shard_name", F.format_string(SHARD_FORMAT, F.col("shard"))).drop("_index")
 
 
+def shards_of_bytes(samples: DataFrame, order: str, size: Column, shard_bytes: int) -> DataFrame:
+    """Shard number and name of each sample, in key order, such that no shard's sizes add up to more than ``shard_bytes``.
+
+    A running sum of bytes is cut at even steps. A shard can begin with the end of a sample that the step before it
+    cut through, so a step is shorter than a shard by the largest sample. Numbers without samples are left out.
+    """
+    sized = samples.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))
+    largest = sized.agg(F.max("_size").alias("m")).first()["m"] or 0
+    if largest > shard_bytes // 2:
+        raise ValueError(f"a sample of {largest} bytes in shards of {shard_bytes}: a shard has to hold two of the largest")
+    step = shard_bytes - largest
+    placed = running(sized, [], order, {"_upto": ("sum", F.col("_size"))}, measure=samples.select(order))
+    placed = placed.withColumn("shard", F.expr(f"greatest(_upto - 1, 0L) div {step}L"))
+    return placed.withColumn("shard_name", F.format_string(SHARD_FORMAT, F.col("shard"))).drop("_size", "_upto")
+
+
 def shard_summary(placed: DataFrame, order: str) -> DataFrame:
     return placed.groupBy("shard", "shard_name").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last")
     )
 
 
-def _file_system(folder: str):
-    """The file system of a Spark path and the path within it."""
-    scheme, _, rest = folder.partition(":")
-    if not rest:
-        return fs.LocalFileSystem(), folder
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+def file_system(uri: str):
+    """The file system of a URI and the path within it; ``s3a`` and ``s3n`` are names of ``s3``."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
+def _bytes(value) -> bytes:
+    return value.encode() if isinstance(value, str) else bytes(value)
 
 
 def write_tar_shards(placed: DataFrame, order: str, files: dict[str, str], folder: str) -> DataFrame:
-    """Write one tar per shard into a shared folder; a shard never exceeds its sample count.
+    """Write one tar per shard into a shared folder; returns (shard_name, n, bytes), bytes those of the members.
 
-    ``files`` maps a file suffix to the text or binary column it holds. Returns (shard_name, n).
-    Each attempt writes a draft of its own and moves it into place, so a lost or repeated task
+    ``files`` maps a file suffix to the text or binary column it holds. Rows come sorted by shard, and a task appends
+    them to the open tar as they come, so it holds one Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows)
+    and never a shard. Each attempt writes drafts of its own and moves them into place, so a lost or repeated task
     leaves whole shards only.
     """
-    kept = ["shard_name", order, *files.values()]
+    folder = qualified(placed.sparkSession, folder)
+    kept = list(dict.fromkeys(["shard_name", order, *files.values()]))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(folder)
+        store.create_dir(base, recursive=True)
+        name, n, size, draft, sink, tar = None, 0, 0, None, None, None
+
+        def close() -> pa.RecordBatch:
+            tar.close()
+            sink.close()
+            store.move(draft, f"{base}/{name}")
+            return pa.RecordBatch.from_pydict({"shard_name": [name], "n": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard_name"] != name:
+                    if name is not None:
+                        yield close()
+                    name, n, size = row["shard_name"], 0, 0
+                    draft = f"{base}/.{name}.{uuid.uuid4().hex}"
+                    sink = store.open_output_stream(draft)
+                    tar = tarfile.open(fileobj=sink, mode="w|")
+                for suffix, column in files.items():
+                    if row[column] is not None:
+                        data = _bytes(row[column])
+                        info = tarfile.TarInfo(f"{row[order]}{suffix}")
+                        info.size = len(data)
+                        tar.addfile(info, io.BytesIO(data))
+                        size += len(data)
+                n += 1
+        if name is not None:
+            yield close()
+
+    rows = placed.select(*kept).repartition("shard_name").sortWithinPartitions("shard_name", order)
+    return rows.mapInArrow(write, "shard_name string, n bigint, bytes bigint")
+
+
+def read_tar_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """(shard_name, member, data) of the members of each listed shard, one task per shard, member by member."""
+    folder = qualified(shards.sparkSession, folder)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(folder)
+        for batch in batches:
+            for name in batch.column("shard_name").to_pylist():
+                with store.open_input_stream(f"{base}/{name}") as source, tarfile.open(fileobj=source, mode="r|") as tar:
+                    for member in tar:
+                        yield pa.RecordBatch.from_pydict({"shard_name": [name], "member": [member.name], "data": [tar.extractfile(member).read()]})
+
+    return shards.select("shard_name").repartition("shard_name").mapInArrow(read, "shard_name string, member string, data binary")
+
+
+def write_sample_files(samples: DataFrame, name: str, files: dict[str, str], folder: str) -> int:
+    """Writes a file ``<name><suffix>`` per sample and suffix whose column has a value; returns how many."""
+    folder = qualified(samples.sparkSession, folder)
 
-    def write(shard: pd.DataFrame) -> pd.DataFrame:
-        name = shard["shard_name"].iloc[0]
-        store, base = _file_system(folder)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(folder)
         store.create_dir(base, recursive=True)
-        draft = f"{base}/.{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as sink, tarfile.open(fileobj=sink, mode="w|") as tar:
-            for _, row in shard.sort_values(order).iterrows():
+        for batch in batches:
+            written = 0
+            for row in batch.to_pylist():
                 for suffix, column in files.items():
-                    value = row[column]
-                    if value is None:
-                        continue
-                    data = value.encode() if isinstance(value, str) else bytes(value)
-                    info = tarfile.TarInfo(f"{row[order]}{suffix}")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-        store.move(draft, f"{base}/{name}")
-        return pd.DataFrame({"shard_name": [name], "n": [len(shard)]})
-
-    return placed.select(*dict.fromkeys(kept)).groupBy("shard_name").applyInPandas(write, "shard_name string, n bigint")
+                    if row[column] is not None:
+                        with store.open_output_stream(f"{base}/{row[name]}{suffix}") as out:
+                            out.write(_bytes(row[column]))
+                        written += 1
+            yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+
+    done = samples.select(*dict.fromkeys([name, *files.values()])).mapInArrow(write, "n bigint")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def iterate_tar(path: str) -> Iterator[tuple[str, bytes]]:

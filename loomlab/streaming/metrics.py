@@ -83,6 +83,62 @@ class Folded:
         return self._rows(newest)
 
 
+class Segments:
+    """A table that a stream only adds to, batch by batch, read in few folders however long the stream runs.
+
+    Whenever ``length`` folders of one level are full they are rewritten as one folder of the next level, so ``n``
+    batches stand in fewer than ``length`` folders per level, and a row is rewritten once per level. Which folders
+    are in use follows from the number of batches alone: a batch that runs again finds, and writes, the same ones.
+    Folders that were rewritten may be deleted. Rows are kept by ``day``, a column of text.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, day: str = "_day", length: int = GENERATION):
+        self.spark, self.path, self.day, self.length = spark, path, day, length
+        self.schema = T.StructType([f for f in schema.fields if f.name != day])
+        self._write(spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField(day, T.StringType())])), self._folder(0, -1), "ignore")
+
+    def _folder(self, level: int, first: int) -> str:
+        return f"{self.path}/level={level}/first={first}"
+
+    def _write(self, rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
+        rows.select(*self.schema.names, self.day).write.partitionBy(self.day).mode(mode).parquet(folder)
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        kinds = T.StructType([*self.schema.fields, T.StructField(self.day, T.StringType())])
+        return self.spark.read.schema(kinds).option("basePath", self.path).parquet(*folders).select(*self.schema.names, self.day)
+
+    def folders(self, batches: int) -> list[str]:
+        """The folders that hold the first ``batches`` batches."""
+        out, first, level = [self._folder(0, -1)], 0, 0
+        while self.length ** (level + 1) <= batches:
+            level += 1
+        while level >= 0:
+            size = self.length**level
+            while first + size <= batches:
+                out.append(self._folder(level, first))
+                first += size
+            level -= 1
+        return out
+
+    def before(self, batch_id: int) -> DataFrame:
+        """The rows of earlier batches; rewrites the folders that have become full."""
+        level, size = 1, self.length
+        while batch_id and batch_id % size == 0:
+            parts = [self._folder(level - 1, i) for i in range(batch_id - size, batch_id, size // self.length)]
+            self._write(self._read(parts).hint("rebalance", self.day), self._folder(level, batch_id - size))
+            level, size = level + 1, size * self.length
+        return self._read(self.folders(batch_id))
+
+    def add(self, batch_id: int, rows: DataFrame) -> None:
+        self._write(rows, self._folder(0, batch_id))
+
+    def rows(self) -> DataFrame:
+        """The rows of all batches."""
+        names = self.spark.read.schema(self.schema).parquet(f"{self.path}/level=0").inputFiles()
+        last = max((int(f.rsplit("first=", 1)[1].split("/")[0]) for f in names), default=-1)
+        return self._read([*self.folders(max(last, 0)), *([self._folder(0, last)] if last >= 0 else [])])
+
+
 def upsert_snapshots(spark: SparkSession, stream: DataFrame, keys: list[str], path: str, length: int = GENERATION) -> DataFrame:
     """Land an update-mode aggregate: a folder per batch, the newest row per key on reading; old batches are folded."""
     payload = [c for c in stream.columns if c not in keys]
@@ -165,62 +221,60 @@ def subscribe(metrics: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return metrics.join(subscriptions.select("job_id"), "job_id", "left_semi")
 
 
-def land_once(spark: SparkSession, stream: DataFrame, path: str, key: str, at: str, **drain_options) -> DataFrame:
+def day_of(at: str) -> Column:
+    return F.coalesce(F.to_date(F.col(at)).cast("string"), F.lit("none"))
+
+
+def land_once(spark: SparkSession, stream: DataFrame, path: str, key: str, at: str, length: int = GENERATION, **drain_options) -> DataFrame:
     """Land a stream without the repeats that a sender's retries cause; rows may come in any order and however late.
 
     A batch loses its own repeats and then, in an anti join, the keys that earlier batches landed on the same days. A
-    retry sends the same row, so its day is the same; the landed table has a folder per day, and only the days
-    between the batch's first and last are read. A batch that runs again writes to the same folder.
+    retry sends the same row, so its day is the same; the landed table has a folder per day, and only the very days that
+    the batch has are read: one late row costs one day. Batches are kept in :class:`Segments`.
     """
-    kinds = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_day", T.StringType())])
+    kinds = T.StructType([*stream.schema.fields, T.StructField("_day", T.StringType())])
+    landed = Segments(spark, path, kinds, length=length)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        day = F.coalesce(F.to_date(F.col(at)).cast("string"), F.lit("none"))
-        fresh = batch.dropDuplicates([key]).withColumn("_day", day)
-        span = batch.agg(F.min(day).alias("low"), F.max(day).alias("high")).first()
-        if span["low"] is not None:
-            earlier = spark.read.schema(kinds).parquet(path).where(F.col("_day").between(span["low"], span["high"]) & (F.col("_batch") < batch_id))
-            fresh = fresh.join(earlier.select(key, "_day"), [key, "_day"], "left_anti")
-        fresh.write.partitionBy("_day").mode("overwrite").parquet(f"{path}/_batch={batch_id}")
-
-    empty = spark.createDataFrame([], stream.schema).withColumn("_day", F.lit("none"))
-    empty.write.partitionBy("_day").mode("ignore").parquet(f"{path}/_batch=-1")
+        fresh = batch.dropDuplicates([key]).withColumn("_day", day_of(at))
+        days = [r["_day"] for r in fresh.select("_day").distinct().collect()]  # as many as the calendar has
+        earlier = landed.before(batch_id).where(F.col("_day").isin(days))
+        landed.add(batch_id, fresh.join(earlier.select(key, "_day"), [key, "_day"], "left_anti"))
+
     drain(spark, stream.writeStream.foreachBatch(land), **drain_options)
-    return spark.read.schema(kinds).parquet(path).drop("_batch", "_day")
+    return landed.rows().drop("_day")
 
 
 def windowed_means(
-    spark: SparkSession, stream: DataFrame, path: str, keys: list[str], at: str, value: str, length: str, delay: str, **drain_options
-) -> tuple[DataFrame, DataFrame]:
+    spark: SparkSession, stream: DataFrame, path: str, keys: list[str], at: str, value: str, window: str, delay: str,
+    length: int = GENERATION, **drain_options,
+) -> tuple[DataFrame, DataFrame]:
     """(means per key and tumbling window, late rows) of a stream.
 
     A row is late if it is more than ``delay`` older than the newest row of the earlier batches; late rows are kept in a
     table of their own instead of being dropped. A batch adds one row of sums per key and window, so means are merged
-    from sums and no earlier row is read again. Its watermark goes on to the next batch by one small file.
+    from sums and no earlier row is read again. Sums and the newest time are folded, late rows kept in segments.
     """
-    sums, late, marks = f"{path}/sums", f"{path}/late", f"{path}/marks"
-    mark = T.StructType([T.StructField("newest", stream.schema[at].dataType)])
+    none = spark.createDataFrame([], stream.schema)
+    summed = lambda rows: rows.groupBy(*keys, F.window(at, window)["start"].alias("window_start")).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
+    merged = lambda rows: rows.groupBy(*keys, "window_start").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    newest = lambda rows: rows.agg(F.max("newest").alias("newest"))
+    sums = Folded(spark, f"{path}/sums", summed(none).schema, merged, length)
+    marks = Folded(spark, f"{path}/marks", T.StructType([T.StructField("newest", stream.schema[at].dataType)]), newest, length)
+    late = Segments(spark, f"{path}/late", T.StructType([*stream.schema.fields, T.StructField("_day", T.StringType())]), length=length)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema(mark).parquet(f"{marks}/batch={batch_id - 1}")
-        known = before.first()["newest"]
+        known = newest(marks.before(batch_id)).first()["newest"]
         is_late = F.lit(False) if known is None else F.coalesce(F.col(at) < F.lit(known) - F.expr(f"INTERVAL {delay}"), F.lit(False))
-        start = F.window(at, length)["start"].alias("window_start")
-        kept = batch.where(~is_late).groupBy(*keys, start).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
-        kept.write.mode("overwrite").parquet(f"{sums}/batch={batch_id}")
-        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-        newest = before.unionByName(batch.select(F.col(at).alias("newest"))).agg(F.max("newest").alias("newest"))
-        newest.write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        sums.before(batch_id)
+        sums.add(batch_id, summed(batch.where(~is_late)))
+        late.before(batch_id)
+        late.add(batch_id, batch.where(is_late).withColumn("_day", day_of(at)))
+        marks.add(batch_id, newest(batch.select(F.col(at).alias("newest"))))
 
-    none = spark.createDataFrame([], stream.schema)
-    folded = none.groupBy(*keys, F.window(at, length)["start"].alias("window_start")).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
-    folded.write.mode("ignore").parquet(f"{sums}/batch=-1")
-    none.write.mode("ignore").parquet(f"{late}/batch=-1")
-    spark.createDataFrame([(None,)], mark).write.mode("ignore").parquet(f"{marks}/batch=-1")
     drain(spark, stream.writeStream.foreachBatch(fold), **drain_options)
-    parts = spark.read.schema(folded.schema).parquet(sums)
-    means = parts.groupBy(*keys, "window_start").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
-    return means, spark.read.schema(stream.schema).parquet(late)
+    means = merged(sums.rows()).select(*keys, "window_start", "n", (F.col("total") / F.col("n")).alias("mean"))
+    return means, late.rows().drop("_day")
 
 
 def log_lines(stream: DataFrame, level: str | None = None, default_at: Column | None = None) -> DataFrame:

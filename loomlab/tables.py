@@ -196,8 +196,9 @@ class Lab:
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    """Whether a table is a folder of part files: a single file is its own only input."""
+    files = spark.read.parquet(path).inputFiles()
+    return len(files) != 1 or not files[0].endswith(path.rstrip("/").rsplit("/", 1)[-1])
 
 
 def as_metrics(events: DataFrame) -> DataFrame:

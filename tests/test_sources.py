@@ -198,7 +198,7 @@ def test_tar_shards(spark, tmp_path):
     rows = spark.range(0, 500, 2).select(F.col("id").alias("key"), F.concat(F.lit("t"), "id").alias("text"), F.lit(None).cast("string").alias("audio"))
     placed = samples.assign_shards(rows.repartition(7), "key", 100, width=64)
     out = samples.write_tar_shards(placed, "key", {".json": "text", ".audio.json": "audio"}, str(tmp_path / "t")).collect()
-    assert sorted(tuple(r) for r in out) == [("shard-000000.tar", 100), ("shard-000001.tar", 100), ("shard-000002.tar", 50)]
+    assert sorted(tuple(r)[:2] for r in out) == [("shard-000000.tar", 100), ("shard-000001.tar", 100), ("shard-000002.tar", 50)]
     members = list(samples.iterate_tar(str(tmp_path / "t" / "shard-000002.tar")))
     assert members[0] == ("400.json", b"t400") and [m[0] for m in members] == [f"{k}.json" for k in range(400, 500, 2)]
 
@@ -207,3 +207,53 @@ def test_scratch_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or scratch(spark, "x").startswith(named.rstrip("/"))
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_shards_of_bytes(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("key"), F.repeat(F.lit("x"), (F.col("id") * 37 % 900).cast("int")).alias("text"))
+    placed = samples.shards_of_bytes(rows.repartition(5), "key", F.octet_length("text"), 5_000)
+    out = samples.write_tar_shards(placed, "key", {".txt": "text"}, str(tmp_path / "t"))
+    shards = {r["shard_name"]: r for r in out.collect()}
+    assert all(r["bytes"] <= 5_000 for r in shards.values()) and sum(r["n"] for r in shards.values()) == 300
+    listed = spark.createDataFrame([(n,) for n in shards], "shard_name string")
+    found = {r["member"]: bytes(r["data"]).decode() for r in samples.read_tar_shards(listed, str(tmp_path / "t")).collect()}
+    assert found == {f"{r['key']}.txt": r["text"] for r in rows.collect()}
+    first = sorted(shards)[0]
+    keys = [int(m[0].split(".")[0]) for m in samples.iterate_tar(str(tmp_path / "t" / first))]
+    assert keys == list(range(len(keys)))
+    with pytest.raises(ValueError):
+        samples.shards_of_bytes(rows, "key", F.octet_length("text"), 1_000)
+    samples.write_records(rows, str(tmp_path / "r"), shard_bytes=9_000, order="key")
+    back = spark.read.parquet(str(tmp_path / "r"))
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length(F.to_json(F.struct("key", "text")))).alias("b")).collect()
+    assert back.count() == 300 and all(r["b"] <= 9_000 for r in sizes) and len(sizes) > 10
+
+
+def test_objects_in_ranges(spark, tmp_path):
+    (tmp_path / "o").mkdir()
+    big = bytes(range(256)) * 4000
+    (tmp_path / "o" / "big.bin").write_bytes(big)
+    (tmp_path / "o" / "none.bin").write_bytes(b"")
+    (tmp_path / "o" / "gone.bin").write_bytes(b"abc")
+    rows = objects.object_ranges(spark, str(tmp_path / "o"), "*.bin", 100_000)
+    listed = rows.select("key", "offset", "bytes", "data", "error").collect()
+    parts = sorted((r["offset"], bytes(r["data"])) for r in listed if r["key"].endswith("big.bin"))
+    assert len(parts) == 11 and b"".join(d for _, d in parts) == big and max(len(d) for _, d in parts) == 100_000
+    assert [bytes(r["data"]) for r in listed if r["key"].endswith("none.bin")] == [b""]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 5_000])
+def test_lines_of_objects_split_anywhere(spark, tmp_path, size):
+    (tmp_path / "l").mkdir()
+    text = [("x" * (i * 7 % 23)) + str(i) for i in range(120)] + ["", "é", ""]
+    (tmp_path / "l" / "a.txt").write_text("\n".join(text) + "\n")
+    (tmp_path / "l" / "b.txt").write_text("no end")
+    found = objects.object_lines(spark, str(tmp_path / "l"), "*.txt", size).collect()
+    assert sorted(bytes(r["line"]).decode() for r in found) == sorted([*text, "no end"]) and not any(r["error"] for r in found)
+
+
+def test_an_object_that_cannot_be_read_is_a_row(spark, tmp_path, monkeypatch):
+    listed = spark.createDataFrame([(f"file:{tmp_path}/gone", 10, 0)], "key string, bytes bigint, offset bigint")
+    monkeypatch.setattr(objects, "_ranges", lambda *a: listed)
+    assert "FileNotFound" in objects.object_ranges(spark, "").first()["error"]
+    assert "FileNotFound" in objects.object_lines(spark, "").first()["error"]

@@ -137,3 +137,34 @@ def test_notices_go_to_owners(spark):
     events = spark.createDataFrame([(1, at, "completed"), (2, at, "completed")], "job_id long, completed_at timestamp_ntz, status string")
     jobs = spark.createDataFrame([(1, 7), (3, 8)], "id long, owner_id long")
     assert [tuple(r) for r in st.completion_notices(events, jobs).collect()] == [(7, 1, "Job 1 completed", at)]
+
+
+def test_one_late_row_reads_its_day_only(spark, tmp_path, monkeypatch):
+    """Many batches stand in a bounded number of folders, and a row dated a year back reads one day."""
+    out = scratch(spark, "seg")
+    kinds = "id long, at timestamp_ntz"
+    landed = st.Segments(spark, out, spark.createDataFrame([], kinds + ", _day string").schema, length=3)
+    for batch in range(29):
+        if batch in (3, 18, 27):
+            landed.before(batch)  # a batch that runs again
+        landed.before(batch)
+        day = datetime(2024, 1, 1) + timedelta(days=batch // 5)
+        landed.add(batch, spark.createDataFrame([(batch, day)], kinds).coalesce(1).withColumn("_day", st.day_of("at")))
+        if batch % 9 in (0, 8):
+            assert sorted(r["id"] for r in landed.rows().collect()) == list(range(batch + 1))
+    assert [len(landed.folders(n)) - 1 for n in (0, 2, 3, 27, 200)] == [0, 2, 1, 1, 6]  # the sum of the digits of n to the base 3
+    one = landed.before(29).where(F.col("_day").isin(["2024-01-03"]))
+    assert sorted(r["id"] for r in one.collect()) == list(range(10, 15))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_windows_fold_their_sums(spark, points, tmp_path):
+    for i in range(13):
+        spark.createDataFrame(points[i::13], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    means, late = st.windowed_means(spark, stream, scratch(spark, "w"), ["metric_name"], "recorded_at", "value", "1 minute", "1 day", length=4)
+    want = spark.createDataFrame(points, SCHEMA).groupBy("metric_name", F.window("recorded_at", "1 minute")["start"].alias("w")).agg(F.avg("value").alias("m"))
+    got = {(r["metric_name"], r["window_start"]): r["mean"] for r in means.collect()}
+    assert got == pytest.approx({(r["metric_name"], r["w"]): r["m"] for r in want.collect()}) and late.count() == 0
+    assert len({f.rsplit("/", 1)[0] for f in means.inputFiles()}) <= 5
