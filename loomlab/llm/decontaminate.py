@@ -3,7 +3,8 @@
 Benchmark items and documents are read as words. A word is a literal, a number, a unit (a unit's name behind a number) or
 a name (a capital followed by small letters). Windows of ``width`` words become templates in two forms: numbers and units
 as slots, and names too. Equal templates meet in a hash join. A match counts only if the item's slot values map to the
-document's consistently: a re-parameterised question replaces each value by one other value.
+document's consistently: a re-parameterised question replaces each value by one other value. Windows with too few literal words to
+be templates, such as lists of numbers, take part with their plain words: they match copies and nothing else.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SLOT_CODES = {NUM: 1, UNIT_WORD: 2, PROPER: 3}
 WIDTH = 8
 #: A template needs so many literal words of eight; shorter ones in proportion.
 LITERALS = 5
-#: Items of fewer words are not looked for; items shorter than the width are one window.
+#: Items of fewer words are found where they are the whole document; items shorter than the width are one window.
 MIN_WORDS = 5
 #: Cells of the table of benchmark windows that every task holds, 2 MB of bits whatever the benchmark's size.
 CELLS = 1 << 24
@@ -79,7 +80,7 @@ class Reading:
         behind = np.zeros(len(at), bool)
         behind[1:] = (kind[:-1] == NUM) & (owner[1:] == owner[:-1])
         kind[(kind == UNIT_WORD) & ~behind] = LITERAL
-        self.kind, self.owner = kind, owner
+        self.kind, self.owner, self.code = kind, owner, code.copy()
         plain = code.copy()
         for k in (NUM, UNIT_WORD):
             plain[kind == k] = SLOT_CODES[k]
@@ -87,13 +88,20 @@ class Reading:
         typed[kind == PROPER] = SLOT_CODES[PROPER]
         self.forms = [(plain, kind % PROPER != LITERAL), (typed, kind != LITERAL)]
 
-    def windows(self, form: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, template hash) of the windows with enough literal words."""
+    def windows(self, form: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, hash, whether it is a template) of all windows; those with too few literal words are hashed as they are."""
         code, slot = self.forms[form]
         first, hashes = rolling(code, self.counts, width)
         filled = np.concatenate(([0], np.cumsum(slot)))
         enough = width - (filled[first + width] - filled[first]) >= LITERALS * width / WIDTH
-        return first[enough], hashes[enough] * np.uint64(2) + np.uint64(form)
+        if width < MIN_WORDS:
+            enough[:] = False
+        if not enough.all():
+            hashes = np.where(enough, hashes, ~rolling(self.code, self.counts, width)[1])
+        if width < MIN_WORDS:  # so short an item has to be the whole text
+            whole = self.counts[self.owner[first]] == width
+            first, hashes, enough = first[whole], hashes[whole], enough[whole]
+        return first, hashes * np.uint64(2) + np.uint64(form), enough
 
     def slots(self, form: int, first: int, width: int) -> tuple[list[int], list[str]]:
         """(places in the window, values) of a window's slots."""
@@ -104,8 +112,8 @@ class Reading:
 WINDOW = "way int, hash long, place int, slots array<int>, vals array<string>"
 
 
-def _rows(read: Reading, way: int, form: int, width: int, first: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> dict:
-    slots = [read.slots(form, f, width) for f in first.tolist()]
+def _rows(read: Reading, way: int, form: int, width: int, first: np.ndarray, hashes: np.ndarray, template: np.ndarray, starts: np.ndarray) -> dict:
+    slots = [read.slots(form, f, width) if t else ([], []) for f, t in zip(first.tolist(), template.tolist())]
     return {
         "way": pa.array([way] * len(first), pa.int32()), "hash": pa.array(hashes.view(np.int64)),
         "place": pa.array(first - starts[read.owner[first]], pa.int32()),
@@ -121,15 +129,16 @@ def item_windows(items: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 read = Reading(batch.column("text").slice(i, 1))
                 n = len(read.at)
-                if n < MIN_WORDS:
+                if not n:
                     continue
                 width = min(n, WIDTH)
                 for form in (0, 1):
-                    first, hashes = read.windows(form, width)
-                    rows = _rows(read, 2 * width + form, form, width, first, hashes, np.zeros(1, np.int64))
-                    yield pa.RecordBatch.from_pydict({"item": pa.array([batch.column("item")[i].as_py()] * len(first), pa.int64()), "words": pa.array([n] * len(first), pa.int32()), **rows})
+                    first, hashes, template = read.windows(form, width)
+                    rows = _rows(read, 2 * width + form, form, width, first, hashes, template, np.zeros(1, np.int64))
+                    same = pa.array(np.full(len(first), i))
+                    yield pa.RecordBatch.from_pydict({"item": batch.column("item").take(same), "words": pa.array([n] * len(first), pa.int32()), **rows})
 
-    return stored(items.mapInArrow(read_items, f"item long, words int, {WINDOW}"), "item-windows")
+    return stored(items.mapInArrow(read_items, f"item {items.schema['item'].dataType.simpleString()}, words int, {WINDOW}"), "item-windows")
 
 
 def cells(windows: DataFrame) -> np.ndarray:
@@ -158,18 +167,18 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 starts = np.cumsum(read.counts) - read.counts
                 for way in ways:
                     width, form = divmod(way, 2)
-                    first, hashes = read.windows(form, width)
+                    first, hashes, template = read.windows(form, width)
                     cell = hashes & np.uint64(CELLS - 1)
                     hit = (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    first, hashes = first[hit], hashes[hit]
+                    first, hashes, template = first[hit], hashes[hit], template[hit]
                     if len(first):
                         own = pa.array(at + read.owner[first])
-                        rows = _rows(read, way, form, width, first, hashes, starts)
+                        rows = _rows(read, way, form, width, first, hashes, template, starts)
                         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(own), "text_key": batch.column("text_key").take(own), **rows})
         reading.cache_clear()  # workers live on for other tasks
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(read_docs, f"doc_id long, text_key long, {WINDOW}")
+    return docs.mapInArrow(read_docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, {WINDOW}")
 
 
 def occurrences(met: DataFrame) -> DataFrame:
@@ -189,14 +198,14 @@ def occurrences(met: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, windows, coverage, agreement, changed) of each document and item of it found.
 
-    A document holds an item if the templates they share are half of the item's, or stand for ``RUN_WORDS`` words, and
+    A document holds an item if the windows they share are half of the item's, or cover ``RUN_WORDS`` words in a row, and
     if the slots agree, in one occurrence of the item or in the whole document; a document that holds an item twice with
     different values holds it. The occurrence with the most windows is told, an unchanged one first. ``changed`` is true where a slot's value differs, so the question was re-parameterised.
-    ``text_key`` is a hash of the text; repeated rows are found once. Null, blank and short texts and items match
-    nothing; a null id of either side stays null; an empty table on either side gives no rows. Windows of an item that
+    ``text_key`` is a hash of the text; repeated rows are found once. Null and blank texts and items match nothing, and
+    an item of fewer than ``MIN_WORDS`` words only a document of just these words; ids keep their type; a null id of either side stays null; an empty table on either side gives no rows. Windows of an item that
     occur several times are counted once. Other columns are not read.
     """
-    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).distinct()
+    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text")).distinct()
     windows = item_windows(items)
     texts = docs.where(F.col(f"`{text}`").isNotNull())
     texts = texts.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
@@ -213,13 +222,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     usual = usual.groupBy(*group, "vals").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max(F.col("vals") != F.col("doc_vals")).alias("changed"))
     usual = usual.groupBy(*group).agg((F.sum("most") / F.sum("n")).alias("agreement"), F.max("changed").alias("changed"))
     hits = met.groupBy(*group).agg(
-        F.countDistinct("place").alias("windows"), F.max("words").alias("words"), F.max("doc_id").alias("doc_id"), F.max("item").alias("item"),
+        F.array_sort(F.collect_set("place")).alias("places"), F.max("words").alias("words"), F.max("doc_id").alias("doc_id"), F.max("item").alias("item"),
     )
-    # places that do not stand in a row count for less than a run of as many
+    hits = hits.withColumn("windows", F.size("places").cast("long"))  # at most as many as the item has words
+    # places in a row at one alignment: so many words of the item stand in the document as they do in the item
+    run = F.aggregate(
+        "places", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, p: F.struct(p.alias("last"), F.when(p == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["most"], F.when(p == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("most")),
+    )["most"]
+    hits = hits.withColumn("run", F.when(F.col("kind") == ALIGNED, run).otherwise(0)).drop("places")
     hits = hits.join(per_item.withColumnRenamed("item", "own"), (F.col("item").eqNullSafe(F.col("own"))) & (hits["way"] == per_item["way"])).drop("own", per_item["way"])
     hits = hits.join(usual, group, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).withColumn("changed", F.coalesce("changed", F.lit(False)))
     hits = hits.withColumn("coverage", F.col("windows") / F.col("all"))
-    enough = (F.col("coverage") >= COVERAGE) | (F.col("windows") >= RUN_WORDS - WIDTH + 1)
+    enough = (F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN_WORDS - WIDTH + 1)
     hits = hits.where(enough & (F.col("agreement") >= AGREEMENT))
     best = hits.groupBy("doc", "text_key", "of").agg(F.max_by(F.struct("doc_id", "item", "windows", "coverage", "agreement", "changed"), F.struct("coverage", "windows", ~F.col("changed"), "agreement", "way")).alias("b"))
     return best.select(

@@ -29,7 +29,6 @@ SMOOTHING = 0.5
 PENALTY = 12.0
 ROUNDS = 25
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters other than letters become spaces.
 PLAIN = bytes(b if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -120,17 +119,26 @@ def choose(like: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     best = np.zeros((n, k))
     score = np.full(n, -np.inf)
     for m in range(1, k + 1):
-        chosen = rank < m
-        start = np.where(chosen, np.maximum(full, 1e-6), 0)
-        share, value = proportions(like, firsts, start / start.sum(axis=1, keepdims=True), ROUNDS if m > 1 else 0)
-        value = value - (m - 1) * (PENALTY + 0.5 * np.log(sizes))
-        better = value > score
-        if not better.any():
-            break
-        best[better], score[better] = share[better], value[better]
+        fine = (m - 1) * (PENALTY + 0.5 * np.log(sizes))
+        # likelihoods are relative to the best language of each segment, so no mixture has more than 0
+        open_ = np.flatnonzero(-fine > score)
+        if not len(open_):
+            continue
+        some = like if len(open_) == n else like[np.repeat(np.isin(np.arange(n), open_), sizes)]
+        at = np.cumsum(sizes[open_]) - sizes[open_]
+        start = np.where(rank[open_] < m, np.maximum(full[open_], 1e-6), 0)
+        share, value = proportions(some, at, start / start.sum(axis=1, keepdims=True), ROUNDS if m > 1 else 0)
+        value = value - fine[open_]
+        better = value > score[open_]
+        best[open_[better]], score[open_[better]] = share[better], value[better]
     return best
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L): numbers such as ½ and Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def predictor(docs: DataFrame, langs: list[str], model: np.ndarray, text: str):
     """A column function: struct (lang_pred, score, mixture) of a text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -150,7 +158,7 @@ def predictor(docs: DataFrame, langs: list[str], model: np.ndarray, text: str):
         for i in range(0, len(texts), 256):
             for t in texts.slice(i, 256).to_pylist():
                 answer.append((UNKNOWN, 0.0, ""))
-                if t and langs and LETTER.search(t):
+                if t and langs and has_letter(t):
                     part.append((len(answer) - 1, trigrams(t)))
                     held += len(part[-1][1])
                     if held > PART // len(langs):

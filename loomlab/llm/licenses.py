@@ -16,9 +16,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlab.llm import license_digests
 from loomlab.llm.common import coded_words, rolling, text_parts
 
 #: Spellings that licence texts use for the same word.
@@ -107,6 +109,35 @@ WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
 permissions and limitations under the License."""
 
 
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+#: The GNU licences by SPDX identifier, name and version, and the words of their header.
+GNU = [
+    ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+    ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"),
+]
+GNU_HEADERS = [
+    ("or-later", "under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version"),
+    ("or-later", "under the terms of the {} version {} or later as published by the Free Software Foundation"),
+    ("only", "under the terms of the {} version {} as published by the Free Software Foundation"),
+    ("only", "under the terms of the {}, version {} only, as published by the Free Software Foundation"),
+]
+
+
 def known_texts() -> list[tuple[str, str, str]]:
     """(licence, kind, text): whole texts, headers, and the notices that the templates give for each name."""
     out = [
@@ -115,8 +146,12 @@ def known_texts() -> list[tuple[str, str, str]]:
         ("0BSD", "text", ISC_GRANT + ". " + ISC_DISCLAIMER),
         ("BSD-2-Clause", "text", "\n".join([BSD_HEAD, BSD_DISCLAIMER])),
         ("BSD-3-Clause", "text", "\n".join([BSD_HEAD, BSD_THIRD, BSD_DISCLAIMER])),
+        ("Unlicense", "text", UNLICENSE_TEXT),
         ("Apache-2.0", "header", APACHE_HEADER),
     ]
+    for spdx, name, version in GNU:
+        out += [(f"{spdx}-{which}", "header", words.format(name, version)) for which, words in GNU_HEADERS]
+        out += [(f"{spdx}-{which}", "notice", f"SPDX-License-Identifier: {spdx}-{which}") for which in ("only", "or-later")]
     for spdx, names in NAMES.items():
         out.append((spdx, "notice", f"SPDX-License-Identifier: {spdx}"))
         for name in names:
@@ -156,33 +191,43 @@ class Canonical:
         return hashlib.sha256(" ".join(self.words[i] for i in self.at[first : first + width]).encode("utf-8", "replace")).hexdigest()
 
 
+def known_row(name: str, kind: str, text: str) -> tuple[str, str, int, int, str] | None:
+    """(licence, kind, canonical words, rolling hash of the first words, digest of all) of a known text; None without words."""
+    read = Canonical([text])
+    n = len(read.at)
+    width = min(n, ANCHOR)
+    return (name, kind, n, int(rolling(read.codes[:width], np.array([width]), width)[1][0]), read.digest(0, n)) if n else None
+
+
+def known_rows(texts: list[tuple[str, str, str]] | None = None) -> list[tuple[str, str, int, int, str]]:
+    """The rows of texts, by default of those in this module and of the long ones that are kept as digests only."""
+    rows = [r for t in (known_texts() if texts is None else texts) if (r := known_row(*t))]
+    return rows + ([(name, "text", n, begins, digest) for name, n, begins, digest in license_digests.WHOLE_TEXTS] if texts is None else [])
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, kind, matches, whole) for each document and known licence text or notice in it.
 
-    ``matches`` counts the places, places that end together once; ``whole`` is true where the document's entire
+    ``matches`` counts the places, places that begin or end together once; ``whole`` is true where the document's entire
     canonical text is the known one. Documents without any have no row. Null, empty and blank texts match nothing; a
     null id stays null; repeated rows of one id and text add up; an empty table or an empty list of known
-    texts gives no rows. Other columns are not read. The list of known texts goes along with the tasks.
+    texts gives no rows. Ids keep their type, whatever it is. Other columns are not read. The list of known texts goes along with the tasks.
     """
     spark = docs.sparkSession
-    listed = known_texts() if known is None else known
-    read = Canonical([t for _, _, t in listed])
-    firsts = np.cumsum(read.counts) - read.counts
     # rolling hash of a text's first words -> lengths of the texts that begin so, by the number of these words
     anchors: dict[int, dict[int, set[int]]] = {}
     rows = {}
-    for (name, kind, _), first, n in zip(listed, firsts.tolist(), read.counts.tolist()):
-        if n:
-            width = min(n, ANCHOR)
-            begins = int(rolling(read.codes[first : first + width], np.array([width]), width)[1][0])
-            anchors.setdefault(width, {}).setdefault(begins, set()).add(n)
-            rows[read.digest(first, n)] = (name, kind)
+    for name, kind, n, begins, digest in known_rows(known):
+        anchors.setdefault(min(n, ANCHOR), {}).setdefault(begins, set()).add(n)
+        rows[digest] = (name, kind)
     table = spark.createDataFrame([(d, n, k) for d, (n, k) in sorted(rows.items())], "digest string, license string, kind string")
     wanted = {n: np.array(sorted(x), np.uint64) for n, x in anchors.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_rows = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, before = batch.column("doc_id"), seen_rows
+            seen_rows += batch.num_rows
             for at, texts in text_parts(batch.column("text")):
                 own = Canonical([t or "" for t in texts.to_pylist()])
                 starts = np.cumsum(own.counts) - own.counts
@@ -196,16 +241,19 @@ def scan(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, doc_i
                         for n in anchors[width][h]:
                             stop = int(f + n - starts[i])
                             if stop <= own.counts[i]:
-                                found.append((at + i, own.digest(f, n), stop, n == own.counts[i]))
+                                found.append((at + i, own.digest(f, n), stop - n, stop, n == own.counts[i]))
                 if found:
-                    rows, digests, stops, whole = zip(*found)
+                    rows, digests, begun, stops, whole = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows)), pa.array(rows, pa.int64()), pa.array(digests), pa.array(stops, pa.int64()), pa.array(whole)],
-                        ["doc_id", "row", "digest", "stop", "whole"],
+                        [ids.take(pa.array(rows)), pa.array([before + r for r in rows], pa.int64()), pa.array(digests), pa.array(begun, pa.int64()), pa.array(stops, pa.int64()), pa.array(whole)],
+                        ["doc_id", "row", "digest", "start", "stop", "whole"],
                     )
 
-    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    places = texts.mapInArrow(find, "doc_id long, row long, digest string, stop long, whole boolean").join(table, "digest")
-    # a row's number in its batch and the end of the place tell places of one document's rows apart
-    ends = places.groupBy("doc_id", "license", "row", "stop").agg(F.max("whole").alias("whole"), F.min("kind").alias("kind"))
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    places = texts.mapInArrow(find, f"doc_id {kind}, row long, digest string, start long, stop long, whole boolean").join(table, "digest")
+    # a row's number, of its partition and place in it, and the end of the place tell the places of one document's rows apart
+    # of those that begin together the longest is one place, and so are those that end together
+    longest = places.groupBy("doc_id", "license", "row", "start").agg(F.max("whole").alias("whole"), F.min("kind").alias("kind"), F.max("stop").alias("stop"))
+    ends = longest.groupBy("doc_id", "license", "row", "stop").agg(F.max("whole").alias("whole"), F.min("kind").alias("kind"))
     return ends.groupBy("doc_id", "license").agg(F.min("kind").alias("kind"), F.count("*").alias("matches"), F.max("whole").alias("whole"))

@@ -23,9 +23,10 @@ HINT = re.compile(r"passw|secret|token|api", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs: a run is found from its first character
 KINDS = ["assign", "access", "hex", "random"]
-#: What the battery sees: tokens of key alphabets. Shorter ones only count as decoys.
+#: What the battery sees: tokens of key alphabets, and the pieces of a token between its separators.
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{12,}")
-MIN_LENGTH = 20
+PIECE = re.compile(r"[A-Za-z0-9]{12,}")
+MIN_LENGTH = 12
 #: Lower ends of the length classes.
 LENGTHS = [12, 16, 20, 24, 32, 40, 48, 64, 96, 128]
 #: Bars that a p-value can pass.
@@ -51,6 +52,19 @@ def encoding(token: str) -> str | None:
     return next((name for name, letters in SETS.items() if used <= letters), None)
 
 
+def pieces(first: int, token: str) -> list[tuple[int, str]]:
+    """(start, string) of what is tested of a token: all of it where one alphabet holds it, and its parts between separators.
+
+    A key that hangs on path words by ``/``, ``-``, ``_`` or ``+`` is such a part; the bars of the length classes decide
+    on short ones, and of nested finds the longest is told.
+    """
+    bare = token.strip("+/_-")
+    out = [(m.start() + first, m[0]) for m in PIECE.finditer(token)]
+    if len(bare) >= MIN_LENGTH and encoding(bare) and all(p != bare for _, p in out):
+        out.append((first + token.index(bare), bare))
+    return out
+
+
 def is_decoy(token: str) -> bool:
     """A plain word: small letters, the first one may be a capital."""
     return token.isalpha() and token[1:].islower()
@@ -118,14 +132,11 @@ def scan_texts(texts: list[str]) -> tuple[list, list, dict]:
     by: dict[str, list[tuple[int, int, str]]] = {}
     for i, text in enumerate(texts):
         for m in TOKEN.finditer(text):
-            token = m[0]
-            if is_decoy(token):
-                by.setdefault("base36", []).append((i, -1, token.lower()))
-            elif len(token) >= MIN_LENGTH:
-                bare = token.strip("+/_-")
-                name = encoding(bare)
-                if name and len(bare) >= MIN_LENGTH:
-                    by.setdefault(name, []).append((i, m.start() + token.index(bare), bare))
+            for first, token in pieces(m.start(), m[0]):
+                if is_decoy(token):
+                    by.setdefault("base36", []).append((i, -1, token.lower()))
+                elif name := encoding(token):
+                    by.setdefault(name, []).append((i, first, token))
     seen: dict[tuple[int, bool, int], int] = {}
     for name, rows in by.items():
         for a in range(0, len(rows), 4096):
@@ -215,6 +226,8 @@ def finish(found: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
     base, tests = F.col(names[6])["base"], F.col(names[6])["tests"]
     inside = lambda t: F.exists(base, lambda b: (b["first"] <= t["first"]) & (t["stop"] <= b["stop"]))
     taken = F.filter(tests, lambda t: (t["bars"] >= F.element_at(bar, t["length"] + 1)) & ~inside(t))
+    within = lambda t, u: (u["first"] <= t["first"]) & (t["stop"] <= u["stop"]) & ((u["first"] < t["first"]) | (t["stop"] < u["stop"]))
+    taken = F.filter(taken, lambda t: ~F.exists(taken, lambda u: within(t, u)))
     taken = F.transform(taken, lambda t: F.struct(F.lit(3).alias("kind"), t["first"].alias("first"), t["stop"].alias("stop")))
     of = lambda k: F.size(F.filter(base, lambda b: b["kind"] == k)).cast("long")
     values = [of(0), of(1), of(2), F.sha2(_shown(base), 256), F.size(taken).cast("long"), _shown(F.concat(base, taken))]

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlab.llm.common import stored
-from loomlab.session import scratch
+from loomlab.llm.files import place
+from loomlab.session import qualified, scratch
 
 #: Sequences in a record batch.
 BATCH = 256
@@ -58,6 +59,9 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # the tokenizer looks for its control strings before it lower cases, so a text with one in capitals stays as it is
+        control = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.foreign = "|".join([FOREIGN, *(f"(?i:{re.escape(c)})" for c in control)])
         self.forget()
 
     def forget(self) -> None:
@@ -96,7 +100,7 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.forget()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        foreign = pc.match_substring_regex(texts, FOREIGN)
+        foreign = pc.match_substring_regex(texts, self.foreign)
         texts = pc.if_else(foreign, texts, pc.replace_substring_regex(pc.utf8_lower(texts), TRAILING, r"\1 \2\3"))
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
@@ -129,11 +133,6 @@ def parts(texts: pa.Array) -> Iterator[pa.Array]:
         at += n
 
 
-def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a path as a cluster names it, and the path in it."""
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 class Shard:
     """One shard in the making: sequences are written as they fill, under a name of this attempt only."""
 
@@ -152,9 +151,9 @@ class Shard:
         cell = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.schema.field(0 if x is ids else 1).type)
         self.writer.write_batch(pa.RecordBatch.from_arrays([cell(ids), cell(mask)], schema=self.schema))
 
-    def add(self, doc_ids: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         starts = self.tokens + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.index.append((pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)))
+        self.index.append((doc_ids, pa.array(starts), pa.array(sizes)))
         self.tokens += len(ids)
         self.left = np.concatenate([self.left, ids.astype(self.kind)])
         step = BATCH * self.length
@@ -196,11 +195,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                 continue
             if shard is None:
                 shard, number = Shard(folder, length, max(end_id, len(encoder.ends) - 1)), batch.column("place")[0].as_py()
-            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            doc_ids, at = batch.column("doc_id"), 0
             for texts in parts(batch.column("text")):
                 ids, sizes = encoder.ids(texts)
                 ends = np.cumsum(sizes)
-                shard.add(doc_ids[at : at + len(texts)], np.insert(ids, ends, np.uint32(end_id)), sizes + 1)
+                shard.add(doc_ids.slice(at, len(texts)), np.insert(ids, ends, np.uint32(end_id)), sizes + 1)
                 at += len(texts)
         if shard is not None:
             shard.close()
@@ -230,7 +229,7 @@ def span(reader: pa.ipc.RecordBatchFileReader, start: int, count: int) -> tuple[
     return (ids[0], mask[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(mask))
 
 
-def read_back(shards: DataFrame) -> DataFrame:
+def read_back(shards: DataFrame, id_type: str = "long") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files of the listed shards.
 
     ``start`` counts the ids of all documents before it, in all shards before its own. One row per shard is all that the
@@ -256,7 +255,7 @@ def read_back(shards: DataFrame) -> DataFrame:
                     starts = pc.add(rows.column("start"), before)
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), starts, rows.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 2048, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,5 +264,5 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: i
     Null and empty texts have the end id alone. Null ids come first; rows with equal ids follow one another in order of
     a hash of their text, then the text. Other columns are not read. An empty table writes no shard and gives no rows.
     """
-    folder = folder or scratch(docs.sparkSession, "token-files")
-    return read_back(write_shards(docs, folder, tokenizer_path, end_id, length, doc_id, text))
+    folder = qualified(docs.sparkSession, folder or scratch(docs.sparkSession, "token-files"))
+    return read_back(write_shards(docs, folder, tokenizer_path, end_id, length, doc_id, text), docs.schema[doc_id].dataType.simpleString())

@@ -87,3 +87,76 @@ def test_nothing_on_either_side(spark):
     docs, items = documents(spark, [(1, QUESTION)]), bench(spark, [(1, QUESTION)])
     assert found(documents(spark, []), items) == {} and found(docs, bench(spark, [])) == {}
     assert dc.clean(docs, bench(spark, [])).count() == 1
+
+
+DENSE = "Order 3, 7, 12, 19, 24, 31, 45 from least to greatest"
+
+
+def test_items_of_numbers_and_short_items_are_found_as_copies(spark):
+    sums = "Compute 3 + 4 - 5 * 6 / 2"
+    items = spark.createDataFrame([("dense", DENSE), ("sums", sums), ("short", "Name the capital"), ("one", "Why")], "item_id string, text string")
+    rows = [
+        ("a", f"some words before {DENSE} and words behind"), ("b", sums), ("c", DENSE.replace("19", "20").replace("7,", "8,")), ("d", "name the CAPITAL"),
+        ("e", "please name the capital now"), ("f", "why"), ("g", "why not"), (None, "x " * 3000 + sums),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert set(found(docs, items)) == {("a", "dense"), ("b", "sums"), ("d", "short"), ("f", "one"), (None, "sums")}
+    assert sorted(str(r["doc_id"]) for r in dc.clean(docs, items).collect()) == ["c", "e", "g"]
+
+
+def test_a_run_stands_in_a_row(spark):
+    """Thirteen words in a row are found; as many windows of the item scattered over a document are not."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    item = [word() for _ in range(60)]
+    filler = lambda n: [word() for _ in range(n)]
+    scattered = sum((filler(40) + item[i : i + 8] for i in range(0, 48, 8)), [])
+    dense = item[:20] + "4 5 6 7 8".split() + item[25:]
+    rows = [(1, filler(50) + item[20:33] + filler(50)), (2, scattered), (3, filler(9) + item[20:32] + filler(9)), (4, filler(30) + dense[15:28] + filler(5))]
+    docs = documents(spark, [(i, " ".join(w)) for i, w in rows])
+    assert set(found(docs, bench(spark, [(70, " ".join(item)), (71, " ".join(dense))]))) >= {(1, 70), (4, 71)}
+    assert not {d for d, _ in found(docs, bench(spark, [(70, " ".join(item))]))} & {2, 3}
+
+
+def slow_occurrences(doc, item, form):
+    """(windows of the item matched, longest run at one alignment) by comparing every window with every other."""
+    def read(text):
+        r = dc.Reading(__import__("pyarrow").array([text]))
+        words = [r.bare[i] for i in r.at]
+        slot = r.forms[form][1]
+        kinds = r.kind
+        out = []
+        for i in range(len(words) - 7):
+            filled = [bool(slot[i + j]) for j in range(8)]
+            template = 8 - sum(filled) >= 5
+            out.append(tuple(("slot", int(kinds[i + j])) if template and filled[j] else words[i + j] for j in range(8)) + (template,))
+        return out
+
+    d, w = read(doc), read(item)
+    pairs = {(j - i, i) for i, x in enumerate(w) for j, y in enumerate(d) if x == y}
+    best = 0
+    for a in {a for a, _ in pairs}:
+        places = sorted(i for b, i in pairs if b == a)
+        run = 0
+        for k, i in enumerate(places):
+            run = run + 1 if k and places[k - 1] == i - 1 else 1
+            best = max(best, run)
+    return len({i for _, i in pairs}), len(w), best
+
+
+def test_windows_and_runs_equal_the_slow_version(spark):
+    rng = random.Random(21)
+    vocabulary = ["red", "blue", "Anna", "Peter", "7", "12", "kg", "and", "of", "the", "sea", "runs", "3.5", "km"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(9, 30))) for _ in range(12)]
+    docs = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40)) + texts[i % 12].split()[rng.randint(0, 4) : rng.randint(12, 30)] + rng.choices(vocabulary, k=9)) for i in range(40)]
+    got = found(documents(spark, list(enumerate(docs))), bench(spark, list(enumerate(texts))))
+    may = set()
+    for i, d in enumerate(docs):
+        for j, t in enumerate(texts):
+            for form in (0, 1):
+                windows, total, run = slow_occurrences(d, t, form)
+                if total and (windows >= total / 2 or run >= 6):
+                    may.add((i, j))
+    assert set(got) <= may and len(may) > 20
+    sure = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(texts) if f" {t.lower()} " in f" {d.lower()} "}
+    assert sure <= set(got)

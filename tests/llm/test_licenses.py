@@ -52,3 +52,24 @@ def test_matches_plain_search_on_the_given_table(spark):
 def test_nothing_to_scan_or_to_know(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
     assert licenses.scan(documents(spark, [(1, "MIT License")]), known=[]).count() == 0
+
+
+def test_matches_do_not_depend_on_partitions(spark):
+    rows = [(1, "Released under the MIT License.")] * 4 + [(None, "under GPLv3, licensed under GPLv3")] * 3
+    docs = documents(spark, rows)
+    for n in (1, 2, 4, 7):
+        got = {(r["doc_id"], r["license"]): r["matches"] for r in licenses.scan(docs.repartition(n)).collect()}
+        assert got == {(1, "MIT"): 4, (None, "GPL-3.0"): 3}
+
+
+def test_gnu_headers_identifiers_and_long_texts(spark, tmp_path):
+    header = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */"
+    own = "one two three four five six seven eight nine ten " * 300
+    rows = [("a", header), ("b", "# SPDX-License-Identifier: GPL-3.0-or-later\nx"), ("c", "SPDX-License-Identifier: LGPL-2.1-only"), ("d", licenses.UNLICENSE_TEXT), ("e", own + "end"), (None, header)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["license"]): r["kind"] for r in licenses.scan(docs).collect()}
+    assert got == {("a", "GPL-3.0-or-later"): "header", ("b", "GPL-3.0-or-later"): "notice", ("c", "LGPL-2.1-only"): "notice", ("d", "Unlicense"): "text", (None, "GPL-3.0-or-later"): "header"}
+    name, kind, n, begins, digest = licenses.known_row("Own-1.0", "text", own)
+    assert n == 3000 and {r["doc_id"] for r in licenses.scan(docs, known=[("Own-1.0", "text", own)]).collect()} == {"e"}
+    whole = {r[0]: r for r in licenses.known_rows() if r[1] == "text"}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0"} <= set(whole)

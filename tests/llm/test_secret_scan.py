@@ -109,3 +109,29 @@ def test_bars_rise_where_chance_finds_are_many():
 
 def test_empty_table(spark):
     assert ss.scan(documents(spark, [])).count() == 0
+
+
+def test_keys_inside_paths_are_found(spark):
+    """Recall on planted keys of 12 to 64 characters that hang on path words, among plain words and clean paths."""
+    rng = random.Random(17)
+    letters = ss.ALPHABETS["base62"]
+    # plain words of every length, which are the decoys, as words are spelt: consonants and vowels in turn
+    word = lambda n: "".join(rng.choice("bcdfglmnprst") if i % 2 else rng.choice("aeio") for i in range(n))
+    rows, planted = [], {}
+    for i in range(600):
+        path = f"https://x.com/user_files/{word(6)}-{word(5)}/{word(14)}_{word(9)}/page"
+        rows.append((i, " ".join([path, *(word(rng.randint(12, 60)) for _ in range(6))])))
+    for j, n in enumerate([12, 16, 20, 24, 32, 40, 48, 64] * 20):
+        key = "".join(rng.choices(letters, k=n))
+        form = ["com/reset-password/{}", "user_files/{}", "a.b-{}/x_y", "{}"][j % 4]
+        rows.append((1000 + j, "see " + form.format(key) + " there"))
+        planted[1000 + j] = (n, key)
+    found = {r["doc_id"]: r for r in ss.scan(documents(spark, rows), keep=["doc_id", "text"]).collect()}
+    hit = {}
+    for i, (n, key) in planted.items():
+        at = found[i]["text"].index(key)
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[i]["spans"].split(",") if x.startswith("random")]
+        hit.setdefault(n, []).append(any(a <= at and at + n <= b for a, b in spans))
+    recall = {n: sum(h) / len(h) for n, h in hit.items()}
+    assert all(recall[n] >= 0.9 for n in (24, 32, 40, 48, 64)), recall
+    assert sum(found[i]["n_random"] for i in range(600)) <= 0.1 * sum(map(sum, hit.values()))

@@ -16,7 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def texts():
     rng = random.Random(5)
-    bits = ["The", "the", "thé", "École,", "don't", "x'll", "a\x1cb", "\xa0", " ", "​", "é", "İ", "ΑΣ.", "ſ", "ß", "Ünï!?", "#", "!!", "12,5", "<|endoftext|>", "\n", "\t", "日本語", "😀", "́", "ﬁ", "...", "a.b", "Å"]
+    bits = ["The", "the", "thé", "École,", "don't", "x'll", "a\x1cb", "\xa0", " ", "​", "é", "İ", "ΑΣ.", "ſ", "ß", "Ünï!?", "#", "!!", "12,5", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|EndOf", "\n", "\t", "日本語", "😀", "́", "ﬁ", "...", "a.b", "Å"]
     out = [None, "", " \n", "#"] + [" ".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(200)]
     return out + ["".join(rng.choices(bits, k=8)) for _ in range(200)] + [" ".join(rng.choices(bits[:5], k=40_000))]
 
@@ -64,3 +64,21 @@ def test_round_trip(spark, tmp_path, length):
 
 def test_empty_table(spark):
     assert tf.token_files(documents(spark, []), PATH).count() == 0
+
+
+def test_control_strings_in_any_letter_case_equal_the_library():
+    library, own = Tokenizer.from_file(PATH), tf.WordTokenizer(PATH)
+    rng = random.Random(11)
+    control = [t.content for t in library.get_added_tokens_decoder().values()]
+    odd = lambda c: "".join(rng.choice([x.lower(), x.upper()]) for x in c)
+    bits = ["say", "Now", "<|", "|>", "a<", "Ünï", "12,5", "\n", "  "]
+    texts = ["say <|EndOfText|> now"] + ["".join(rng.choice([odd(rng.choice(control)), rng.choice(control), rng.choice(bits), " "]) for _ in range(rng.randint(1, 9))) for _ in range(10_000)]
+    ids, sizes = own.ids(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_text_ids(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "two words"), ("a", None), (None, "x")], "doc_id string, text string")
+    got = tf.token_files(docs, PATH, 2, 16, f"{tmp_path}/out").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, "a", "b"] and [r["start"] for r in got] == [0, 2, 3]
