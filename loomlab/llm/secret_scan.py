@@ -133,6 +133,8 @@ def scan_texts(texts: list[str]) -> tuple[list, list, dict]:
     for i, text in enumerate(texts):
         for m in TOKEN.finditer(text):
             for first, token in pieces(m.start(), m[0]):
+                if token.isdigit():  # a number, such as that of an order or a card, is no key
+                    continue
                 if is_decoy(token):
                     by.setdefault("base36", []).append((i, -1, token.lower()))
                 elif name := encoding(token):
