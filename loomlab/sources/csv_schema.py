@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from loomlab.sources.datasets import csv_line, read_by_lines
 
 # What a strict number parser accepts.
+INTEGER = r"^[+-]?\d+$"
 FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 
 
@@ -25,7 +26,7 @@ def cell_bit(cell: Column) -> Column:
     text = F.trim(cell, F.lit(" \t\r\n"))
     return (
         F.when(cell.isNull() | (text == ""), BITS["string"])
-        .when(text.try_cast("bigint").isNotNull(), BITS["int64"])
+        .when(text.rlike(INTEGER) & text.try_cast("bigint").isNotNull(), BITS["int64"])  # a failed cast costs more than a pattern
         .when(text.rlike(FLOAT), BITS["float64"])
         .when(F.lower(text).isin("true", "false"), BITS["boolean"])
         .otherwise(BITS["string"])
@@ -59,14 +60,17 @@ def infer_schema(cells: DataFrame, order: list[str], tolerant: bool = False, sam
     def bits(c: str) -> Column:
         blank = F.col(f"`{c}`").isNull() | (F.trim(F.col(f"`{c}`"), F.lit(" ")) == "")
         bit = cell_bit(F.col(f"`{c}`"))
-        return F.bit_or(F.when(~blank, bit) if tolerant else bit)
+        return F.when(~blank, bit) if tolerant else bit
 
-    count, folds = F.count(F.lit(1)).alias("row_count"), F.array(*[bits(c) for c in names]).alias("bits")
+    def read(rows: DataFrame) -> DataFrame:
+        return rows.select(*[bits(c).alias(f"b{i}") for i, c in enumerate(names)])
+
+    count, folds = F.count(F.lit(1)).alias("row_count"), F.array(*[F.bit_or(f"b{i}") for i in range(len(names))]).alias("bits")
     if sample_rows is None:
-        found = cells.agg(count, folds)
+        found = read(cells).agg(count, folds)
     else:
         total = cells.agg(count)
-        found = cells.orderBy(*order).limit(sample_rows).agg(folds).select(total.scalar().alias("row_count"), "bits")
+        found = read(cells.orderBy(*order).limit(sample_rows)).agg(folds).select(total.scalar().alias("row_count"), "bits")
     named = F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("name"), F.col("bits"))
     return found.select("row_count", F.posexplode(named).alias("position", "c")).select(
         "position", "c.name", column_type(F.col("c.bits")).alias("type"), F.lit(True).alias("nullable"), "row_count"
