@@ -66,8 +66,8 @@ def pieces(first: int, token: str) -> list[tuple[int, str]]:
 
 
 def is_decoy(token: str) -> bool:
-    """A plain word: small letters, the first one may be a capital."""
-    return token.isalpha() and token[1:].islower()
+    """A plain word: small letters, the first one may be a capital, or capitals alone."""
+    return token.isalpha() and (token[1:].islower() or token.isupper())
 
 
 def _upper_tail(z: np.ndarray) -> np.ndarray:
