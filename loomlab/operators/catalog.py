@@ -45,6 +45,31 @@ def scoped_list(df: DataFrame, order: list[Column], scope: str | None = None, va
     return chosen.orderBy(*order)
 
 
+def rows_of(rows: DataFrame, key: str, owners: DataFrame, columns: list, order: list[Column], **wanted) -> DataFrame:
+    """The rows whose owner has the wanted values, with ``columns`` of the owner, in the given order.
+
+    ``rows[key]`` refers to ``owners.id``, which is unique. Rows without a known owner are in no answer. The filter runs
+    on the owners, before the join.
+    """
+    chosen = filter_equal(owners, **wanted).select(F.col("id").alias(key), *columns)
+    return rows.join(chosen, key).orderBy(*order)
+
+
+def members_in_order(groups: DataFrame, key: str, members: DataFrame, order: list[str]) -> DataFrame:
+    """Each group with its members in order, one row per member; a group without members has one row, with empty fields."""
+    return groups.join(members, key, "left").orderBy(key, *[F.col(c).asc_nulls_first() for c in order])
+
+
+def load_group(groups: DataFrame, members: DataFrame, request: str, key: str = "group_id", order: str = "name") -> DataFrame:
+    """The members of the group with that id, else of the newest group with that name, ordered; nothing if there is none.
+
+    ``groups`` has id, name and created_at, and ``members[key]`` refers to the id.
+    """
+    asked = groups.sparkSession.range(1).select(F.lit(request).alias("request"))
+    found = resolve(asked, groups.where((F.col("name") == request) | (F.col("id").cast("string") == request)))
+    return members.join(found.select(F.col("id").alias(key)), key, "left_semi").orderBy(order)
+
+
 def filter_equal(df: DataFrame, **wanted) -> DataFrame:
     """Equality on every argument that is not None."""
     for column, value in wanted.items():
@@ -124,6 +149,18 @@ def search_items(
     )
 
 
+def search_tables(tables: dict[str, tuple[DataFrame, list[str]]], q: str, limit: int = 10) -> DataFrame:
+    """(kind, id, name) of the first ``limit`` rows by name of each table with a field like ``%q%``."""
+    found = [
+        df.where(any_of([contains_pattern(F.col(f), q) for f in fields]))
+        .select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name")
+        .orderBy("name", "id")
+        .limit(limit)
+        for kind, (df, fields) in tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def rank_hits(categories: list[DataFrame]) -> DataFrame:
     """All categories in one answer; at most ``limit`` rows each, ranked inside the category."""
     hits = reduce(lambda a, b: a.unionByName(b), categories)
@@ -167,6 +204,17 @@ def resolve(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select("request", F.coalesce("by_id", "by_name").alias("id"))
 
 
+def attach_name(rows: DataFrame, key: str, named: DataFrame, alias: str, *more: str) -> DataFrame:
+    """Adds, as ``alias``, the name of what ``rows[key]`` refers to; null where it is unknown. Ids of ``named`` are unique."""
+    return rows.join(named.select(F.col("id").alias(key), F.col("name").alias(alias), *more), key, "left")
+
+
+def job_outputs(jobs: DataFrame, job_type: str = "inference", path: str = "$", kind: str = "string") -> DataFrame:
+    """Output and status of the jobs of a type; the output is a field of the JSON text ``metrics``, null if it isn't there."""
+    output = F.try_variant_get(F.try_parse_json("metrics"), path, kind)
+    return jobs.where(F.col("job_type") == job_type).withColumn("output", output).drop("job_type", "metrics")
+
+
 def visible_projects(projects: DataFrame, members: DataFrame) -> DataFrame:
     """(user, project) for owners and collaborators, each pair once."""
     owned = projects.select(F.col("owner_id").alias("user_id"), F.col("id").alias("project_id"), F.lit(True).alias("owned"))
@@ -183,6 +231,12 @@ def registry_status(requested: DataFrame, installed: DataFrame) -> DataFrame:
     )
 
 
+def installed_names(requested: DataFrame, installed: DataFrame) -> DataFrame:
+    """The requested names that are installed, each once; empty names are no requests."""
+    asked = requested.select("name").where(F.col("name") != "").distinct()
+    return asked.join(installed.select("name"), "name", "left_semi")
+
+
 def latest_checkpoint(artifacts: DataFrame, jobs: DataFrame, kind: str) -> DataFrame:
     """Newest artifact of a kind per model; reduced per job before the join."""
     order = ["created_at", "line", "part_id", "supplier_id", "size"]
@@ -200,6 +254,12 @@ def panels(dashboards: DataFrame) -> DataFrame:
     return parsed.select("dashboard_id", F.posexplode("p").alias("slot", "p")).select("dashboard_id", "slot", "p.*")
 
 
+def panel_bottom(dashboards: DataFrame) -> DataFrame:
+    """The first free grid row below all panels of each dashboard, 0 without panels. Read from the layout, without a shuffle."""
+    lows = F.transform(F.from_json("layout", PANEL), lambda p: p["y"] + p["h"])
+    return dashboards.select("dashboard_id", F.greatest(F.array_max(lows), F.lit(0)).alias("bottom"))
+
+
 def dashboard_panels(dashboards: DataFrame, visualizations: DataFrame) -> DataFrame:
     """Panels with their visualization; unknown ones stay as empty panels."""
     known = visualizations.select(F.col("id").alias("visualization"), F.col("name").alias("title"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlab.functions import display
 from loomlab.functions.display import RUN_PALETTE
 from loomlab.operators.grouped import latest, moment
 from loomlab.operators.ordered import position, running
@@ -48,6 +49,37 @@ def experiment_summary(runs: DataFrame) -> DataFrame:
     )
 
 
+def status_counts(jobs: DataFrame) -> DataFrame:
+    """Jobs per status."""
+    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_counts(experiments: DataFrame, runs: DataFrame, key: str = "experiment_id") -> DataFrame:
+    """Runs per experiment, zero kept. Runs are counted before the join, so a hot experiment is one row in it."""
+    counts = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counted = experiments.select(F.col("id").alias(key)).join(counts, key, "left")
+    return counted.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("runs"))
+
+
+def next_version(versions: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """The version that an update of each model gets. Models of ``models`` without a version get their first."""
+    newest = versions.groupBy("model_id").agg(F.max("version").cast("long").alias("newest"))
+    if models is not None:
+        newest = models.select(F.col("id").alias("model_id")).join(newest, "model_id", "left")
+    return newest.select("model_id", (F.coalesce("newest", F.lit(0)) + 1).cast("long").alias("next_version"))
+
+
+def latest_version(models: DataFrame) -> DataFrame:
+    """(family, project, version, id) of the newest version of each family: the registry name, else the name, in a project.
+
+    Models without a project are a scope of their own. Of equal versions the greatest id counts.
+    """
+    family = F.coalesce("registry_name", "name").alias("family")
+    rows = models.select(family, "project", "version", "id")
+    newest = rows.groupBy("family", "project", "version").agg(F.max("id").alias("id"))
+    return newest.groupBy("family", "project").agg(F.max("version").alias("version"), F.max_by("id", "version").alias("id"))
+
+
 def best_run(runs: DataFrame, minimize: Column | None = None) -> DataFrame:
     """The best run of each experiment by its primary metric.
 
@@ -133,6 +165,47 @@ def sweep_progress(trials: DataFrame) -> DataFrame:
 # metric series -----------------------------------------------------------------------------
 
 
+def metric_history(metrics: DataFrame, job=None) -> DataFrame:
+    """All points of a job, or of every job, oldest first."""
+    chosen = metrics if job is None else metrics.where(F.col("job_id") == F.lit(job))
+    return chosen.orderBy("job_id", "recorded_at", "id")
+
+
+def epoch_loss(metrics: DataFrame) -> DataFrame:
+    """Mean of the step losses of each job and epoch, and their number; 0 where no step has a loss."""
+    steps = F.count("value")
+    loss = F.coalesce(F.sum("value"), F.lit(0.0)) / F.greatest(steps, F.lit(1))
+    return metrics.groupBy("job_id", "epoch").agg(loss.alias("loss"), steps.alias("steps"))
+
+
+def run_series(runs: DataFrame, metrics: DataFrame, metric: str | None = None) -> DataFrame:
+    """Points of every run, under its label; runs without a job, or whose job has no points, have none.
+
+    ``runs`` has run_id, job_id and label. x is the epoch, else the step, else 0. Runs may share a job.
+    """
+    points = metrics if metric is None else metrics.where(F.col("metric_name") == metric)
+    points = points.select("job_id", "metric_name", F.coalesce("epoch", "step", F.lit(0)).alias("step"), "id", "value")
+    return points.join(runs.select("run_id", "job_id", "label"), "job_id").drop("job_id")
+
+
+def metric_cards(values: DataFrame, run: str = "job_id") -> DataFrame:
+    """Title, shown text and color of each (run, key, value), and scores as percent of the run's best one.
+
+    Missing scores count as 0, and if no score is above 0 all are 0 percent.
+    """
+    score = display.is_score(F.col("key"))
+    amount = F.coalesce("value", F.lit(0.0))
+    best = values.groupBy(run).agg(F.max(F.when(score, amount)).alias("_top"))
+    share = F.when(F.col("_top") > 0, amount / F.col("_top") * 100).otherwise(0.0)
+    return values.join(best, run).select(
+        *values.columns,
+        display.metric_label(F.col("key")).alias("title"),
+        display.metric_text(F.col("key"), F.col("value")).alias("shown"),
+        display.metric_color(F.col("key")).alias("color"),
+        F.when(score, share).alias("percent_of_best"),
+    )
+
+
 def last_metric(metrics: DataFrame) -> DataFrame:
     """Last recorded value per job and metric."""
     return metrics.groupBy("job_id", "metric_name").agg(

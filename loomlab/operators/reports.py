@@ -14,6 +14,37 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([df.agg(F.lit(n).alias("relation"), F.count(F.lit(1)).alias("n")) for n, df in tables.items()])
 
 
+def kpi_board(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table as a figure, and their total under a null name."""
+    return row_counts(tables).rollup(F.col("relation").alias("kpi")).agg(F.sum("n").alias("n"))
+
+
+def unread_count(notifications: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Unread notifications per user; with ``users``, also of those who never got one."""
+    counted = notifications.groupBy("user_id").agg(F.count_if(~F.col("read")).alias("unread"))
+    if users is None:
+        return counted
+    everyone = users.select(F.col("id").alias("user_id")).join(counted, "user_id", "left")
+    return everyone.select("user_id", F.coalesce("unread", F.lit(0)).cast("long").alias("unread"))
+
+
+def active_counts(members: DataFrame, by: str) -> DataFrame:
+    """Members and active members (``active``; null is not active) per ``by``."""
+    return members.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.count_if("active").alias("active"))
+
+
+def feature_store_summary(features: DataFrame) -> DataFrame:
+    """Features, distinct entities and online features per group, and over all groups (null).
+
+    ``features`` has group_name, entity and online. Rows are counted per group and entity first, so a hot group reaches
+    the distinct count as one row per entity.
+    """
+    per = features.groupBy("group_name", "entity").agg(F.count(F.lit(1)).alias("n"), F.count_if("online").alias("on"))
+    return per.rollup("group_name").agg(
+        F.sum("n").alias("features"), F.count_distinct("entity").alias("entities"), F.sum("on").alias("online")
+    )
+
+
 def set_summary(sets: DataFrame, as_of: Column) -> DataFrame:
     """Linked sets, distinct projects, and sets created in the seven days before ``as_of``."""
     age = F.timestamp_diff("SECOND", F.col("created_at"), as_of)

@@ -129,12 +129,7 @@ def category_totals(lab: Lab):
     UNION ALL (SELECT 'model', c_custkey, c_name FROM customer WHERE c_name ILIKE '%n_1%' OR c_mktsegment ILIKE '%n_1%' ORDER BY c_name, c_custkey LIMIT 10)""",
 )
 def two_table_search(lab: Lab):
-    q = "%n_1%"
-    projects = lab.projects().where(F.col("name").ilike(q)).orderBy("name", "id").limit(10)
-    models = lab.models().where(F.col("name").ilike(q) | F.col("framework").ilike(q)).orderBy("name", "id").limit(10)
-    return projects.select(F.lit("project").alias("kind"), F.col("id").cast("long").alias("id"), "name").unionByName(
-        models.select(F.lit("model").alias("kind"), "id", "name")
-    )
+    return cat.search_tables({"project": (lab.projects(), ["name"]), "model": (lab.models(), ["name", "framework"])}, "n_1")
 
 
 def registry(lab: Lab):
@@ -261,10 +256,9 @@ def artifact_scope(lab: Lab):
 )
 def job_outputs(lab: Lab):
     """Output field and status of the inference jobs."""
-    output = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
-    return lab.raw("events").where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("id"), "user_id", output.alias("output"), F.when(F.col("value") < 50, "pending").otherwise("completed").alias("status")
-    )
+    status = F.when(F.col("value") < 50, "pending").otherwise("completed").alias("status")
+    jobs = lab.raw("events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("job_type"), F.col("props").alias("metrics"), status)
+    return cat.job_outputs(jobs, "purchase", "$.k", "int")
 
 
 @query(
@@ -287,10 +281,9 @@ def resolve_name_or_id(lab: Lab):
     JOIN nation ON e.project_id = n_nationkey WHERE n_regionkey = 1 ORDER BY e.id DESC""",
 )
 def endpoints_by_project(lab: Lab):
-    projects = lab.projects().where(F.col("owner_id") == 1).select(F.col("id").alias("project_id"), F.col("name").alias("project"))
-    return (
-        lab.endpoints().select("id", "name", "status", "latency", "project_id").join(projects, "project_id").drop("project_id").orderBy(F.col("id").desc())
-    )
+    endpoints = lab.endpoints().select("id", "name", "status", "latency", "project_id")
+    columns = [F.col("name").alias("project")]
+    return cat.rows_of(endpoints, "project_id", lab.projects(), columns, [F.col("id").desc()], owner_id=1).drop("project_id")
 
 
 @query(
@@ -345,8 +338,7 @@ def registry_status(lab: Lab):
 def distinct_names(lab: Lab):
     """Registry names that are both requested and installed, each once."""
     parts = lab.raw("part").select(F.col("p_brand").alias("name"), "p_retailprice", "p_size")
-    requested = parts.where(F.col("p_size") > 20).select("name")
-    return parts.where(F.col("p_retailprice") > 915).select("name").intersect(requested)
+    return cat.installed_names(parts.where(F.col("p_size") > 20), parts.where(F.col("p_retailprice") > 915))
 
 
 @query(
@@ -355,10 +347,8 @@ def distinct_names(lab: Lab):
     LEFT JOIN nation ON c_nationkey = n_nationkey""",
 )
 def label_lookup(lab: Lab):
-    models = lab.models().select(F.col("id").alias("model_id"), F.col("name").alias("model"), "project_id")
-    projects = lab.projects().select(F.col("id").alias("project_id"), F.col("name").alias("project"))
-    named = models.join(projects, "project_id", "left").drop("project_id")
-    return lab.jobs().select("id", "model_id").join(named, "model_id", "left").select("id", "model", "project")
+    models = cat.attach_name(lab.models().select("id", "name", "project_id"), "project_id", lab.projects(), "project")
+    return cat.attach_name(lab.jobs().select("id", "model_id"), "model_id", models, "model", "project").select("id", "model", "project")
 
 
 def dashboards(lab: Lab):
@@ -385,19 +375,19 @@ def dashboard_panels(lab: Lab):
 
 @query("panel_bottom", f"WITH {PANELS} SELECT dashboard_id, max(y + h) AS bottom FROM panels GROUP BY 1")
 def panel_bottom(lab: Lab):
-    return cat.panels(dashboards(lab)).groupBy("dashboard_id").agg(F.max(F.col("y") + F.col("h")).alias("bottom"))
+    return cat.panel_bottom(dashboards(lab))
 
 
 @query(
     "step_status",
     f"""WITH {JOBS}, {ARTIFACTS} SELECT id AS workflow_id, status, line AS step_order, kind AS step_kind, part_id
-    FROM jobs JOIN artifacts ON id = job_id ORDER BY workflow_id, step_order""",
+    FROM jobs LEFT JOIN artifacts ON id = job_id ORDER BY workflow_id, step_order""",
 )
 def step_status(lab: Lab):
-    """Each multi-step workflow with its steps in order, one row per step."""
+    """Each workflow with its steps in order, one row per step; one without steps has a row too."""
     steps = lab.artifacts().select(F.col("job_id").alias("workflow_id"), F.col("line").alias("step_order"), F.col("kind").alias("step_kind"), "part_id")
     flows = lab.jobs().select(F.col("id").alias("workflow_id"), "status")
-    return flows.join(steps, "workflow_id").orderBy("workflow_id", "step_order")
+    return cat.members_in_order(flows, "workflow_id", steps, ["step_order"])
 
 
 @query("feature_group_load", "SELECT p_brand AS group_name, p_name AS feature, p_type AS dtype, p_partkey AS id FROM part ORDER BY 1, 2, 4")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlab.functions import display
 from loomlab.operators import experiments as ex
+from loomlab.operators.catalog import rows_of
 from loomlab.plans.registry import JOBS, METRICS, TRIALS, query
 from loomlab.tables import Lab
 
@@ -29,7 +30,7 @@ def _number(key: str) -> str:
 
 @query("status_counts", f"WITH {JOBS} SELECT status, count(*) AS n FROM jobs GROUP BY status")
 def status_counts(lab: Lab):
-    return lab.jobs().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return ex.status_counts(lab.jobs())
 
 
 @query(
@@ -37,10 +38,7 @@ def status_counts(lab: Lab):
     "SELECT o_orderkey AS experiment_id, count(l_orderkey) AS runs FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
 )
 def run_counts(lab: Lab):
-    """Runs per experiment, zero kept; runs are counted before the join."""
-    counts = lab.artifacts().groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    jobs = lab.jobs().select("id").join(counts, "id", "left")
-    return jobs.select(F.col("id").alias("experiment_id"), F.coalesce("n", F.lit(0)).cast("long").alias("runs"))
+    return ex.run_counts(lab.jobs(), lab.artifacts().withColumnRenamed("job_id", "experiment_id"))
 
 
 def event_runs(lab: Lab):
@@ -76,12 +74,12 @@ def experiment_summary(lab: Lab):
     f"WITH {METRICS} SELECT job_id, epoch, round(sum(value) / greatest(count(*), 1), 9) AS loss, count(*) AS steps FROM metrics GROUP BY 1, 2",
 )
 def epoch_loss(lab: Lab):
-    return lab.metrics().groupBy("job_id", "epoch").agg(F.round(F.avg("value"), 9).alias("loss"), F.count("value").alias("steps"))
+    return ex.epoch_loss(lab.metrics()).withColumn("loss", F.round("loss", 9))
 
 
 @query("next_version", "SELECT l_orderkey AS model_id, CAST(max(l_linenumber) + 1 AS BIGINT) AS next_version FROM lineitem GROUP BY 1")
 def next_version(lab: Lab):
-    return lab.artifacts().groupBy(F.col("job_id").alias("model_id")).agg((F.max("line") + 1).cast("long").alias("next_version"))
+    return ex.next_version(lab.artifacts().select(F.col("job_id").alias("model_id"), F.col("line").alias("version")))
 
 
 @query(
@@ -164,7 +162,7 @@ def json_extract(lab: Lab):
 
 @query("metric_history", f"WITH {METRICS} SELECT * FROM metrics ORDER BY job_id, recorded_at, id")
 def metric_history(lab: Lab):
-    return lab.metrics().orderBy("job_id", "recorded_at", "id")
+    return ex.metric_history(lab.metrics())
 
 
 @query(
@@ -247,20 +245,10 @@ def run_report(lab: Lab):
     named = F.create_map(*[F.lit(x) for x in ("error", "loss", "click", "accuracy", "view", "f1")])
     prefixes = F.array(*[F.lit(p) for p in ("train_", "val_", "test_", "best_", "")])
     key = F.concat(prefixes[F.col("epoch") % 5], F.coalesce(named[F.col("metric_name")], "metric_name"))
-    cards = lab.metrics().groupBy("job_id", key.alias("key")).agg((F.avg("value") / 499).alias("v"))
-    score = display.is_score(F.col("key"))
-    best = cards.groupBy("job_id").agg(F.max(F.when(score, F.col("v"))).alias("top"))
-    share = F.when(F.col("top") > 0, F.round(F.col("v") / F.col("top") * 100, 6)).otherwise(0.0)
-    return cards.join(best, "job_id").select(
-        "job_id",
-        F.concat(F.lit("job-"), F.substring(F.col("job_id").cast("string"), 1, 4)).alias("label"),
-        "key",
-        display.metric_label(F.col("key")).alias("title"),
-        F.round("v", 9).alias("value"),
-        display.metric_text(F.col("key"), F.col("v")).alias("shown"),
-        display.metric_color(F.col("key")).alias("color"),
-        F.when(score, share).alias("percent_of_best"),
-    )
+    values = lab.metrics().groupBy("job_id", key.alias("key")).agg((F.avg("value") / 499).alias("value"))
+    label = F.concat(F.lit("job-"), F.substring(F.col("job_id").cast("string"), 1, 4))
+    cards = ex.metric_cards(values).withColumn("label", label)
+    return cards.withColumns({"value": F.round("value", 9), "percent_of_best": F.round("percent_of_best", 6)})
 
 
 @query(
@@ -324,10 +312,9 @@ def compare_table(lab: Lab):
     FROM trials t JOIN customer ON t.sweep_id = c_custkey WHERE c_mktsegment = 'AUTOMOBILE' ORDER BY job_id DESC""",
 )
 def trials_of_experiments(lab: Lab):
-    chosen = lab.models().where(F.col("framework") == "AUTOMOBILE")
-    chosen = chosen.select(F.col("id").alias("sweep_id"), "project_id", F.col("name").alias("experiment"))
     trials = lab.trials().select("sweep_id", "job_id", "status")
-    return trials.join(chosen, "sweep_id").orderBy(F.col("job_id").desc())
+    columns = ["project_id", F.col("name").alias("experiment")]
+    return rows_of(trials, "sweep_id", lab.models(), columns, [F.col("job_id").desc()], framework="AUTOMOBILE")
 
 
 @query(
@@ -337,10 +324,8 @@ def trials_of_experiments(lab: Lab):
 )
 def run_series(lab: Lab):
     """Points of every run that has a job with points."""
-    runs = lab.models().select(F.col("id").alias("run_id"), F.substring("name", 1, 8).alias("label"))
-    points = lab.metrics()
-    step = F.coalesce("epoch", "step", F.lit(0)).alias("step")
-    return points.join(runs, points["job_id"] == runs["run_id"]).select("run_id", "label", "metric_name", step, points["id"], "value")
+    runs = lab.models().select(F.col("id").alias("run_id"), F.col("id").alias("job_id"), F.substring("name", 1, 8).alias("label"))
+    return ex.run_series(runs, lab.metrics())
 
 
 @query(
@@ -384,11 +369,11 @@ VERSIONS = """versions AS (
 )
 def latest_version(lab: Lab):
     """Newest version per (registry name or name, project); no project is a scope of its own."""
-    family = F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(F.col("p_name"))
-    versions = lab.raw("part").select(
-        family.alias("family"),
+    models = lab.raw("part").select(
+        F.when(F.col("p_size") > 25, F.col("p_brand")).alias("registry_name"),
+        F.col("p_name").alias("name"),
         F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("project"),
         F.col("p_partkey").alias("version"),
         F.col("p_partkey").alias("id"),
     )
-    return versions.groupBy("family", "project").agg(F.max("version").alias("version"), F.max_by("id", "version").alias("id"))
+    return ex.latest_version(models)

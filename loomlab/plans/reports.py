@@ -19,7 +19,7 @@ def system_stats(lab: Lab):
 
 @query("unread_count", "SELECT user_id, count(*) FILTER (NOT value < 50) AS unread FROM events GROUP BY 1")
 def unread_count(lab: Lab):
-    return lab.notifications().groupBy("user_id").agg(F.count_if(~F.col("read")).alias("unread"))
+    return reports.unread_count(lab.notifications())
 
 
 @query(
@@ -32,8 +32,7 @@ def unread_count(lab: Lab):
 def kpi_board(lab: Lab):
     """Catalog sizes and active jobs, with the total under a null name."""
     active = lab.jobs().where(F.col("status").isin("running", "pending"))
-    counted = reports.row_counts({"projects": lab.projects(), "models": lab.models(), "datasets": lab.raw("part"), "active": active})
-    return counted.rollup(F.col("relation").alias("kpi")).agg(F.sum("n").alias("n"))
+    return reports.kpi_board({"projects": lab.projects(), "models": lab.models(), "datasets": lab.raw("part"), "active": active})
 
 
 @query(
@@ -56,12 +55,9 @@ def set_summary(lab: Lab):
     FROM part GROUP BY ROLLUP (p_brand)""",
 )
 def feature_store_summary(lab: Lab):
-    parts = lab.raw("part")
-    return parts.rollup(F.col("p_brand").alias("group_name")).agg(
-        F.count(F.lit(1)).alias("features"),
-        F.count_distinct("p_type").alias("entities"),
-        F.count_if(F.col("p_size") > 25).alias("online"),
-    )
+    online = (F.col("p_size") > 25).alias("online")
+    features = lab.raw("part").select(F.col("p_brand").alias("group_name"), F.col("p_type").alias("entity"), online)
+    return reports.feature_store_summary(features)
 
 
 @query(
@@ -69,9 +65,8 @@ def feature_store_summary(lab: Lab):
     """SELECT s_nationkey AS project_id, count(*) AS members, count(*) FILTER (s_acctbal > 0) AS active FROM supplier GROUP BY 1""",
 )
 def active_counts(lab: Lab):
-    return lab.raw("supplier").groupBy(F.col("s_nationkey").alias("project_id")).agg(
-        F.count(F.lit(1)).alias("members"), F.count_if(F.col("s_acctbal") > 0).alias("active")
-    )
+    members = lab.raw("supplier").select(F.col("s_nationkey").alias("project_id"), (F.col("s_acctbal") > 0).alias("active"))
+    return reports.active_counts(members, "project_id")
 
 
 HEALTH = "CASE WHEN error_rate > 2 THEN 'degraded' WHEN status = 'active' THEN 'healthy' ELSE 'unhealthy' END"
