@@ -29,6 +29,8 @@ SMOOTHING = 0.5
 PENALTY = 12.0
 ROUNDS = 25
 UNKNOWN = "und"
+#: Bound of the model that the tasks hold: ``BUCKETS`` floats for each language, so 128 MB in all.
+MOST_LANGUAGES = 512
 #: ASCII characters other than letters become spaces.
 PLAIN = bytes(b if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -66,8 +68,12 @@ def counts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket and language) from rows (text, lang).
 
-    The driver gets one number for each bucket and language, whatever the number of documents.
+    The driver gets one number for each bucket and language, whatever the number of documents. More languages than
+    ``MOST_LANGUAGES`` are a ValueError, raised before any text is read: such values are no languages.
     """
+    known = docs.select("lang").where(F.col("lang").isNotNull()).distinct().limit(MOST_LANGUAGES + 1).count()
+    if known > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn from")
     rows = counts(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang"))
     table = rows.toArrow()
     names = np.array(table.column("lang").to_pylist(), object)
@@ -181,8 +187,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     Learns from the texts of the documents with a ``lang`` that are not held out, and predicts from the text alone.
     ``lang_pred`` is the language of the largest proportion and ``score`` this proportion; a text that is null or has no
-    letter, or any text if nothing was learned, is ``und`` with score 0. Equal texts get equal answers. An empty
-    table gives no rows. The new columns get a trailing ``_`` where ``docs`` has their name.
+    letter, or any text if nothing was learned, is ``und`` with score 0. Equal texts get equal answers. More values of
+    ``lang`` than ``MOST_LANGUAGES`` are an error. An empty table gives no rows. The new columns get a trailing ``_`` where ``docs`` has their name.
     """
     out = held_out(F.col(f"`{doc_id}`"))
     langs, model = fit(docs.where(~out).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))

@@ -90,3 +90,12 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(documents(spark, [])).count() == 0
     got = langid.identify(documents(spark, [(1, "some text", None)])).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
+
+
+def test_the_model_has_a_bound(spark, monkeypatch):
+    docs = documents(spark, [(i, "some text", f"l{i % 5}") for i in range(40)] + [(90, "more", None)])
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    assert langid.identify(docs).count() == 41
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(docs)
