@@ -190,20 +190,22 @@ def component_table(prints: DataFrame, max_bits: int) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, or any one of the repeated rows with this id.
 
-    Cases are as in :func:`near_duplicates`; a component without any id keeps one row.
+    Cases are as in :func:`near_duplicates`; a component without any id keeps one row. Texts are fingerprinted once: a row
+    whose id no other row has is found again by its id. Only rows without an id, or with an id that repeats, are
+    fingerprinted again to be found by their fingerprint.
     """
-    fp, root, component, several = fresh(docs.columns, "fp", "root", "component_id", "several")
-    marked = docs.withColumn(fp, fingerprint_column(F.col(f"`{text}`"), shingle))
-    prints = stored(marked.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(fp).alias("fp")), "fingerprints")
+    own, fp, root, component = fresh(docs.columns, "own_id", "fp", "root", "component_id")
+    ident, columns = F.col(f"`{doc_id}`"), [F.col(f"`{c}`") for c in docs.columns]
+    prints = stored(docs.select(ident.alias("doc_id"), fingerprint_column(F.col(f"`{text}`"), shingle).alias("fp")), "fingerprints")
     where = component_table(prints, max_bits)
-    kept = prints.join(where, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = stored(kept.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("root", F.lit(True).alias("several")), "repeated")
-    where = where.join(repeated, "root", "left").select(
-        F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component), F.col("several").alias(several)
-    )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = marked.join(where, fp).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(component)))
-    if repeated.isEmpty():
-        return out.select(*columns)
-    one = out.where(F.col(several)).dropDuplicates([root])  # few rows: one per repeat of a kept row
-    return out.where(F.col(several).isNull()).unionByName(one).select(*columns)
+    ids = prints.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
+    alone = (F.col("n") == 1) & F.col("doc_id").isNotNull()
+    stay = ids.where(alone).join(where, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own))
+    out = docs.join(stay, ident == F.col(own), "left_semi").select(*columns)
+    others = stored(ids.where(~alone).select(F.col("doc_id").alias(own)), "repeated-ids")
+    if others.isEmpty():
+        return out
+    places = where.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component))
+    again = docs.join(others, ident.eqNullSafe(F.col(own)), "left_semi").withColumn(fp, fingerprint_column(F.col(f"`{text}`"), shingle))
+    one = again.join(places, fp).where(ident.eqNullSafe(F.col(component))).dropDuplicates([root])
+    return out.union(one.select(*columns))

@@ -145,6 +145,13 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(twice).collect()) == [2, 3]
 
 
+def test_an_id_of_several_components_stays_once_in_each(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (4, "alpha beta gamma delta epsilon"), (4, "nothing of that is here at all"),
+            (4, "a third text with its own words"), (4, "a third text with its own words"), (7, "a third text with its own words")]
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(documents(spark, rows)).collect())
+    assert got == sorted({rows[0], rows[2], rows[3]})
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
