@@ -258,7 +258,7 @@ def tar_shards_of_bytes(lab: Lab):
     docs = lab.raw("documents").select("doc_id", "text")
     placed = samples.shards_of_bytes(docs, "doc_id", F.octet_length("text"), most)
     shards = materialize(lab.spark, samples.write_tar_shards(placed, "doc_id", {".txt": "text"}, folder), "tar-list")
-    members = samples.read_tar_shards(shards, folder).join(shards, "shard_name")
+    members = samples.read_tar_shards(shards, folder, ("bytes",))
     return members.select("member", F.md5("data").alias("digest"), (F.col("bytes") <= most).alias("fits"))
 
 

@@ -24,6 +24,9 @@ SAMPLES_PER_SHARD = 1000
 EXPORT_FPS = 24
 EXPORT_RESOLUTION = (256, 256)
 EXPORT_AUDIO_RATE = 16000
+# What a task hands on at once of the files it reads.
+BATCH_BYTES = 1 << 20
+BATCH_ROWS = 512
 
 CAPTION = "clip_id string, visual string, audio string, speech string, duration_seconds double, fps int"
 SIDECAR = "audio_tokens array<array<int>>, codec string, num_codebooks int"
@@ -188,19 +191,41 @@ def write_tar_shards(placed: DataFrame, order: str, files: dict[str, str], folde
     return rows.mapInArrow(write, "shard_name string, n bigint, bytes bigint")
 
 
-def read_tar_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """(shard_name, member, data) of the members of each listed shard, one task per shard, member by member."""
+def read_tar_shards(shards: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(shard_name, member, data) of the members of each listed shard, with the columns ``keep`` of the list.
+
+    A task reads whole shards, member by member. What the list knows of a shard goes along: a join of the members with the
+    list would take them for as small as their names, and broadcast them.
+    """
     folder = qualified(shards.sparkSession, folder)
+    fields = [T.StructField("shard_name", T.StringType()), T.StructField("member", T.StringType()), T.StructField("data", T.BinaryType())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(folder)
+
+        def some(batch: pa.RecordBatch, i: int, members: list[str], data: list[bytes]) -> pa.RecordBatch:
+            listed = {c: batch.column(c).take(pa.array([i] * len(members), pa.int64())) for c in ("shard_name", *keep)}
+            return pa.RecordBatch.from_pydict({"shard_name": listed["shard_name"], "member": pa.array(members, pa.string()), "data": pa.array(data, pa.binary()), **{c: listed[c] for c in keep}})
+
         for batch in batches:
-            for name in batch.column("shard_name").to_pylist():
+            for i, name in enumerate(batch.column("shard_name").to_pylist()):
                 with store.open_input_stream(f"{base}/{name}") as source, tarfile.open(fileobj=source, mode="r|") as tar:
+                    members, data, size = [], [], 0
                     for member in tar:
-                        yield pa.RecordBatch.from_pydict({"shard_name": [name], "member": [member.name], "data": [tar.extractfile(member).read()]})
-
-    return shards.select("shard_name").repartition("shard_name").mapInArrow(read, "shard_name string, member string, data binary")
+                        members.append(member.name)
+                        data.append(tar.extractfile(member).read())
+                        tar.members.clear()  # it would remember every member
+                        size += member.size
+                        if size >= BATCH_BYTES or len(members) >= BATCH_ROWS:
+                            yield some(batch, i, members, data)
+                            members, data, size = [], [], 0
+                    if members:
+                        yield some(batch, i, members, data)
+
+    # a number of tasks: adaptive execution would join them by the size of the names
+    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*fields, *[shards.schema[c] for c in keep]])
+    return shards.select("shard_name", *keep).repartition(tasks, "shard_name").mapInArrow(read, schema)
 
 
 def write_sample_files(samples: DataFrame, name: str, files: dict[str, str], folder: str) -> int:

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomlab.session import scratch
+from __spark_entry__ import queries
+from loomlab.session import materialize, scratch
 from loomlab.sources import csv_schema, datasets, objects, samples
 
 
@@ -242,6 +243,24 @@ def test_objects_in_ranges(spark, tmp_path):
     assert [bytes(r["data"]) for r in listed if r["key"].endswith("none.bin")] == [b""]
 
 
+def test_members_of_shards_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(3_000).select(F.col("id").alias("key"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    placed = samples.assign_shards(rows, "key", 1_000, width=64)
+    shards = materialize(spark, samples.write_tar_shards(placed, "key", {".txt": "text"}, str(tmp_path / "t")), "tar-list")
+    members = samples.read_tar_shards(shards, str(tmp_path / "t"), ("bytes", "n"))
+    sizes = {r["shard_name"]: (r["bytes"], r["n"]) for r in shards.collect()}
+    got = members.collect()
+    assert sorted((r["member"], bytes(r["data"]).decode()) for r in got) == sorted((f"{r['key']}.txt", r["text"]) for r in rows.collect())
+    assert all((r["bytes"], r["n"]) == sizes[r["shard_name"]] for r in got)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_shards_of_the_query_are_not_joined(spark, folder):
+    plan = queries()["tar_shards_of_bytes"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 5_000])
 def test_lines_of_objects_split_anywhere(spark, tmp_path, size):
     (tmp_path / "l").mkdir()
