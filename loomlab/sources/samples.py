@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
+import os
 import re
 import tarfile
 import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlab.operators.ordered import global_index, running
-from loomlab.session import qualified
+from loomlab.session import materialize, qualified
 
 # Names and defaults of the exported files.
 SIDECAR_SUFFIX = ".audio.json"
@@ -27,26 +31,67 @@ EXPORT_AUDIO_RATE = 16000
 # What a task hands on at once of the files it reads.
 BATCH_BYTES = 1 << 20
 BATCH_ROWS = 512
+LISTED_ROWS = 10_000
+# Fixed value: subfolders of sample files.
+FOLDERS = 256
 
 CAPTION = "clip_id string, visual string, audio string, speech string, duration_seconds double, fps int"
+# Characters that a URI holds by their code only.
+UNSAFE = re.compile(r"[\s\x00-\x20\x7f-\xa0\"#%<>?\[\\\]^`{|}]")
 SIDECAR = "audio_tokens array<array<int>>, codec string, num_codebooks int"
 
 
-def _stem(suffix: str):
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return F.regexp_replace(name, suffix.replace(".", r"\.") + "$", "")
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, text) of listed JSON files, names as in a URI, in batches of bounded size.
+
+    Files without a value are left out; bytes that are no text become text that is no JSON.
+    """
+    held, size = [], 0
+    one = lambda: pa.RecordBatch.from_pydict({"name": pa.array([n for n, _ in held], pa.string()), "text": pa.array([t for _, t in held], pa.string())})
+    for batch in batches:
+        for key in batch.column("key").to_pylist():
+            store, path = file_system(key)
+            with store.open_input_file(path) as source:
+                data = source.read()
+            try:
+                text = data.decode(json.detect_encoding(data))
+            except UnicodeDecodeError:
+                text = "?"
+            if text.strip(" \t\r\n"):
+                held.append((UNSAFE.sub(lambda c: quote(c[0]), key.rpartition("/")[2]), text))
+                size += len(data)
+            if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                yield one()
+                held, size = [], 0
+    if held:
+        yield one()
+
+
+def _json_files(spark: SparkSession, folder: str, suffix: str, schema: str, but: str | None = None) -> DataFrame:
+    """The values of the JSON files below a folder whose names end in ``suffix``, and not in ``but``, with their stem.
+
+    Tasks list the subfolders and open the files. A file is an object or an array of them; one that is neither is a row
+    of nulls, an empty one no row. The rows are stored: a join or a sort would open each file anew, and the size of
+    what tasks read is not known before.
+    """
+    files = listed(spark, folder).where(F.endswith("key", F.lit(suffix)))
+    files = files.where(~F.endswith("key", F.lit(but))) if but else files
+    texts = spread(files.select("key"), "key").mapInArrow(_texts, "name string, text string")
+    kind = T.ArrayType(T.StructType.fromDDL(schema))
+    values = F.from_json("text", kind)
+    values = F.when(~F.exists(values, lambda v: v.isNull()), values)
+    stem = F.regexp_replace("name", suffix.replace(".", r"\.") + "$", "")
+    rows = texts.select(F.explode(F.coalesce(values, F.array(F.lit(None).cast(kind.elementType)))).alias("value"), stem.alias("stem"))
+    return materialize(spark, rows.select("value.*", "stem"), "json-files")
 
 
 def read_captions(spark: SparkSession, folder: str, schema: str = CAPTION) -> DataFrame:
-    """Caption files of a folder with their stem; sidecar files are not captions."""
-    rows = spark.read.schema(schema).json(folder, multiLine=True, pathGlobFilter="*.json")
-    named = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("stem", _stem(".json"))
-    return named.where(~F.col("_file").endswith(SIDECAR_SUFFIX)).drop("_file")
+    """Caption files below a folder with their stem; sidecar files are not captions."""
+    return _json_files(spark, folder, ".json", schema, but=SIDECAR_SUFFIX)
 
 
 def read_sidecars(spark: SparkSession, folder: str, schema: str = SIDECAR) -> DataFrame:
-    rows = spark.read.schema(schema).json(folder, multiLine=True, pathGlobFilter=f"*{SIDECAR_SUFFIX}")
-    return rows.withColumn("stem", _stem(SIDECAR_SUFFIX))
+    return _json_files(spark, folder, SIDECAR_SUFFIX, schema)
 
 
 def with_sidecar(samples: DataFrame, sidecars: DataFrame, key: str) -> DataFrame:
@@ -141,6 +186,72 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
+def spread(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Short rows that stand for much work, dealt to a number of tasks: adaptive execution would join those by the rows' size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers leave out as well."""
+    kept = name.startswith(("_common_metadata", "_metadata"))
+    return not kept and (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name)
+
+
+def _rooted(spark: SparkSession, folder: str) -> str:
+    """``folder`` as the URI that Spark's readers give it; nothing is written, as a source may be read only."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        local = spark.sparkContext.master.startswith("local")
+        base = "file:" if local else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/")
+        folder = base + os.path.abspath(folder)
+    return re.sub(r"^file:/*", "file:/", folder).rstrip("/")
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, bytes) of the files below a folder, or of the one file, listed by tasks: one lists the folder, many its subfolders.
+
+    Nothing of the list is on the driver. Hidden files are left out, as in Spark's readers.
+    """
+    root = _rooted(spark, folder)
+
+    def found(uri: str, deep: bool) -> Iterator[pa.RecordBatch]:
+        left = [uri]
+        while left:
+            at = left.pop()
+            store, path = file_system(at)
+            infos = store.get_file_info(fs.FileSelector(path))
+            infos = [i for i in infos if not _hidden(i.base_name)]
+            if deep:
+                left += [f"{at}/{i.base_name}" for i in infos if i.type == fs.FileType.Directory]
+                infos = [i for i in infos if i.type != fs.FileType.Directory]
+            for start in range(0, len(infos), LISTED_ROWS):
+                some = infos[start : start + LISTED_ROWS]
+                yield batch_of([f"{at}/{i.base_name}" for i in some], [i.size for i in some])
+
+    def batch_of(keys: list[str], sizes: list[int | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "bytes": pa.array(sizes, pa.int64())})
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                store, path = file_system(root)
+                info = store.get_file_info(path)
+                if info.type == fs.FileType.NotFound:
+                    raise FileNotFoundError(root)
+                if info.type == fs.FileType.File:
+                    yield batch_of([root], [info.size])
+                else:
+                    yield from found(root, deep=False)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(batch.column("bytes").is_valid())
+            for uri in batch.filter(batch.column("bytes").is_null()).column("key").to_pylist():
+                yield from found(uri, deep=True)
+
+    kind = "key string, bytes bigint"
+    return spread(spark.range(1).mapInArrow(top, kind), "key").mapInArrow(below, kind)
+
+
 def _bytes(value) -> bytes:
     return value.encode() if isinstance(value, str) else bytes(value)
 
@@ -222,25 +333,32 @@ def read_tar_shards(shards: DataFrame, folder: str, keep: tuple[str, ...] = ())
                     if members:
                         yield some(batch, i, members, data)
 
-    # a number of tasks: adaptive execution would join them by the size of the names
-    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*fields, *[shards.schema[c] for c in keep]])
-    return shards.select("shard_name", *keep).repartition(tasks, "shard_name").mapInArrow(read, schema)
+    return spread(shards.select("shard_name", *keep), "shard_name").mapInArrow(read, schema)
 
 
 def write_sample_files(samples: DataFrame, name: str, files: dict[str, str], folder: str) -> int:
-    """Writes a file ``<name><suffix>`` per sample and suffix whose column has a value; returns how many."""
+    """Writes a file ``<name><suffix>`` per sample and suffix whose column has a value; returns how many.
+
+    The files lie in ``FOLDERS`` subfolders, by a checksum of their name: tasks that make files in one folder wait for each
+    other, and one task has to list it.
+    """
     folder = qualified(samples.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(folder)
         store.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             written = 0
             for row in batch.to_pylist():
+                at = f"{base}/{zlib.crc32(str(row[name]).encode()) % FOLDERS:03x}"
                 for suffix, column in files.items():
                     if row[column] is not None:
-                        with store.open_output_stream(f"{base}/{row[name]}{suffix}") as out:
+                        if at not in made:
+                            store.create_dir(at, recursive=True)
+                            made.add(at)
+                        with store.open_output_stream(f"{at}/{row[name]}{suffix}") as out:
                             out.write(_bytes(row[column]))
                         written += 1
             yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})

@@ -261,6 +261,54 @@ def test_shards_of_the_query_are_not_joined(spark, folder):
     assert "Join" not in plan and "Broadcast" not in plan
 
 
+def test_sample_files_in_subfolders(spark, tmp_path):
+    rows = [(i, json.dumps({"clip_id": str(i), "visual": "é\n" * i}), '{"codec": "c"}' if i % 3 == 0 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, caption string, sidecar string")
+    assert samples.write_sample_files(df, "k", {".json": "caption", samples.SIDECAR_SUFFIX: "sidecar"}, str(tmp_path / "s")) == 800
+    assert len(os.listdir(tmp_path / "s")) > 100 and all(os.path.isdir(tmp_path / "s" / x) for x in os.listdir(tmp_path / "s"))
+    captions = samples.read_captions(spark, str(tmp_path / "s"))
+    joined = samples.with_sidecar(captions, samples.read_sidecars(spark, str(tmp_path / "s")), "stem").collect()
+    assert [(r["stem"], r["visual"], r["codec"]) for r in joined] == sorted((str(i), "é\n" * i, "c" if s else None) for i, _, s in rows)
+
+
+def test_json_files_as_spark_reads_them(spark, tmp_path):
+    files = {
+        "arr.json": b'[{"clip_id":"1"},\n{"clip_id":"2","fps":3}]', "empty.json": b"", "blank.json": b" \n ", "bad.json": b"{not", "none.json": b"[]",
+        "part.json": b'{"clip_id":"x","fps":"no","visual":"v"}', "null.json": b"null", "holes.json": b'[null,{"clip_id":"k"}]', "inv.json": b'{"clip_id":"\xff"}',
+        "wide.json": '{"clip_id":"é"}'.encode("utf-16"), "a b%.json": b'{"clip_id":"s"}', "_hidden.json": b"{}", ".hidden.json": b"{}", "x.txt": b"{}",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = spark.read.schema(samples.CAPTION).json(str(tmp_path), multiLine=True, pathGlobFilter="*.json")
+    want = want.withColumn("stem", F.regexp_extract("_metadata.file_path", r"([^/]*)\.json$", 1))
+    got = samples.read_captions(spark, str(tmp_path))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_listing_is_that_of_spark(spark, tmp_path):
+    for name in ("a.bin", "in/b.bin", "in/deep/c.bin", "in/_d.bin", ".e.bin", "_f/g.bin", "k=1/h.bin", "x.txt", "a1.bin", "sp ace.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    for pattern in (None, "*.bin", "?.bin", "{a,b}.*", "[a-b]?.bin", "[!a].bin"):
+        want = objects.object_scan(spark, str(tmp_path), pattern).select("key", "bytes", "data")
+        got = objects.object_ranges(spark, str(tmp_path), pattern, 100)
+        assert sorted(map(tuple, got.select("key", "bytes", "data").collect())) == sorted(map(tuple, want.collect()))
+        assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r["bytes"] for r in objects.object_ranges(spark, str(tmp_path / "a.bin"), None, 3).collect()] == [5, 5]
+
+
+def test_ranges_of_one_object_follow_each_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(objects, "BLOCK_BYTES", 40)
+    for i in range(30):
+        (tmp_path / f"{i}.bin").write_bytes(bytes(range(100)))
+    dealt = objects._ranges(spark, str(tmp_path), "*.bin", 10).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["key"], r["offset"]) for r in dealt) == sorted((f"file:{tmp_path}/{i}.bin", at) for i in range(30) for at in range(0, 100, 10))
+    assert all(len({r["task"] for r in dealt if (r["key"], r["offset"] // 40) == b}) == 1 for b in {(r["key"], r["offset"] // 40) for r in dealt})
+    assert len({r["task"] for r in dealt}) == 4
+    got = objects.object_ranges(spark, str(tmp_path), "*.bin", 10).collect()
+    assert all(bytes(r["data"]) == bytes(range(r["offset"], r["offset"] + 10)) for r in got) and len(got) == 300
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 5_000])
 def test_lines_of_objects_split_anywhere(spark, tmp_path, size):
     (tmp_path / "l").mkdir()
