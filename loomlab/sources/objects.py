@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import logging
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, islice
@@ -13,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlab.sources.samples import file_system
+from loomlab.sources.samples import BATCH_BYTES, BATCH_ROWS, file_system, listed, spread
 
 log = logging.getLogger(__name__)
 
 # The media files of the lab.
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mkv", ".mov", ".webm")
 LINE_BUFFER = 1 << 16
+BLOCK_BYTES = 1 << 23
 SOURCE_TYPES = ("huggingface", "s3", "postgres", "video", "audio")
 
 
@@ -32,30 +34,74 @@ def object_scan(spark: SparkSession, prefix: str, pattern: str | None = None, co
     return reader.load(prefix).select(*columns, *([F.col("content").alias("data")] if content else []))
 
 
+def _glob(pattern: str) -> str:
+    """The regular expression of a file name pattern with ``* ? [a-z] [!a] {a,b}`` and ``\\``, as Hadoop reads it."""
+    out, at, inside, choices = "", 0, False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        at += 1
+        if c == "\\" and at < len(pattern):
+            out += re.escape(pattern[at])
+            at += 1
+        elif inside:
+            out += "^" if c in "!^" and out.endswith("[") else "\\[" if c == "[" else c
+            inside = c != "]"
+        elif c == "[":
+            out, inside = out + c, True
+        elif c in "{}" or c == "," and choices:
+            choices += {"{": 1, "}": -1, ",": 0}[c]
+            out += {"{": "(?:", "}": ")", ",": "|"}[c]
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+    return f"(?s)/{out.replace('.*', '[^/]*')}$"
+
+
 def _ranges(spark: SparkSession, prefix: str, pattern: str | None, range_bytes: int) -> DataFrame:
-    listed = object_scan(spark, prefix, pattern, content=False)
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
-    return listed.withColumn("offset", F.explode(starts)).repartition("key", "offset")
+    """(key, bytes, offset) of the ranges of every object below a prefix, those of a block of ``BLOCK_BYTES`` one after the other in one task."""
+    if re.search(r"[*?\[{]", prefix):
+        found = object_scan(spark, prefix, pattern, content=False)
+    else:
+        found = listed(spark, prefix)
+        found = found.where(F.col("key").rlike(_glob(pattern))) if pattern else found
+    steps = lambda first, last, width: F.explode(F.sequence(first, last, F.lit(width).cast("long")))
+    last, block = F.greatest(F.col("bytes") - 1, F.lit(0)).cast("long"), range_bytes * max(1, BLOCK_BYTES // range_bytes)
+    blocks = spread(found.withColumn("block", steps(F.lit(0).cast("long"), last, block)), "key", "block")
+    return blocks.withColumn("offset", steps(F.col("block"), F.least(F.col("block") + (block - 1), last), range_bytes)).drop("block")
 
 
 def object_ranges(spark: SparkSession, prefix: str, pattern: str | None = None, range_bytes: int = 1 << 23) -> DataFrame:
     """(key, bytes, offset, data, error): every object below a prefix in ranges of at most ``range_bytes``.
 
-    Spark lists the objects and deals the ranges; a task opens an object at its offset through the file system that its
-    URI names and holds one range, so no object has to fit a row. What cannot be read is a row with the error.
+    Tasks list the objects and deal the ranges; a task opens an object through the file system that its URI names, once for
+    the ranges that follow each other, and holds one range, or short ones up to ``BATCH_BYTES``, so no object has to fit
+    a row. What cannot be read is a row with the error.
     """
+    kinds = pa.schema([("key", pa.string()), ("bytes", pa.int64()), ("offset", pa.int64()), ("data", pa.binary()), ("error", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, source, held, size = None, None, [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 data, error = None, None
                 try:
-                    store, path = file_system(row["key"])
-                    with store.open_input_file(path) as source:
-                        data = source.read_at(min(range_bytes, max(row["bytes"] - row["offset"], 0)), row["offset"])
+                    if row["key"] != opened:
+                        if source is not None:
+                            source.close()
+                        opened, source = None, None
+                        store, path = file_system(row["key"])
+                        opened, source = row["key"], store.open_input_file(path)
+                    data = source.read_at(min(range_bytes, max(row["bytes"] - row["offset"], 0)), row["offset"])
                 except Exception as problem:  # a broken object must not end the job
                     error = f"{type(problem).__name__}: {problem}"
-                yield pa.RecordBatch.from_pydict({**{k: [row[k]] for k in ("key", "bytes", "offset")}, "data": pa.array([data], pa.binary()), "error": pa.array([error], pa.string())})
+                held.append({**{k: row[k] for k in ("key", "bytes", "offset")}, "data": data, "error": error})
+                size += len(data or b"")
+                if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, kinds)
+                    held, size = [], 0
+        if source is not None:
+            source.close()
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kinds)
 
     return _ranges(spark, prefix, pattern, range_bytes).mapInArrow(read, "key string, bytes bigint, offset bigint, data binary, error string")
 
