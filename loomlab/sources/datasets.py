@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -80,24 +80,37 @@ def format_of(path: str) -> str:
     return extension if extension in TABULAR else "csv"
 
 
-def json_arrays(df: DataFrame, array_bytes: int) -> DataFrame:
-    """Arrays of the rows as JSON objects, one array per row of text: at most ``array_bytes`` and one object long."""
-    objects = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+def gather_arrays(array_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with the objects of :func:`json_arrays`."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        one = lambda: pa.RecordBatch.from_pydict({"value": pa.array(["[" + ",\n".join(held) + "]"], pa.string())})
+        held = pa.BufferOutputStream()  # the array's UTF-8, once: as strings it would be held several times, and wider
+
+        def one() -> pa.RecordBatch:
+            held.write(b"]")
+            text = held.getvalue()
+            ends = pa.array([0, text.size], pa.int32()).buffers()[1]
+            return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, ends, text)], ["value"])
+
         for batch in batches:
-            for text in batch.column("value").to_pylist():
-                if held and size + len(text) > array_bytes:
+            for value in batch.column("value"):
+                text = value.as_buffer()
+                if held.tell() and held.tell() + text.size > array_bytes:
                     yield one()
-                    held, size = [], 0
-                held.append(text)
-                size += len(text) + 2
-        if held:
+                    held = pa.BufferOutputStream()
+                held.write(b",\n" if held.tell() else b"[")
+                held.write(text)
+        if held.tell():
             yield one()
 
-    return objects.mapInArrow(gather, "value string")
+    return gather
+
+
+def json_arrays(df: DataFrame, array_bytes: int) -> DataFrame:
+    """Arrays of the rows as JSON objects, one array per row of text: at most ``array_bytes`` and one object long."""
+    objects = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+    return objects.mapInArrow(gather_arrays(array_bytes), "value string")
 
 
 def save_dataset(
@@ -106,7 +119,7 @@ def save_dataset(
     """Write a frame and return its catalog entry; rows are counted while they are written.
 
     ``jsonl`` is one object per line. ``json`` is files of one array each, which any JSON reader takes; tasks write
-    their own, and begin another behind ``array_bytes`` characters.
+    their own, and begin another behind ``array_bytes`` bytes.
     """
     fmt = fmt or format_of(path)
     if fmt not in TABULAR:

@@ -98,6 +98,29 @@ def test_json_keeps_all_rows_in_any_layout(spark, tmp_path):
         assert sorted((r["a"], r["b"]) for r in got.collect()) == [(r["a"], r["b"]) for r in rows]
 
 
+def test_arrays_are_held_once(spark):
+    # 30 MB of JSON with a character of four bytes, which makes a Python string four bytes a character
+    df = spark.range(0, 3_000, 1, 1).select("id", F.concat(F.repeat(F.lit("x"), 10_000), F.lit("\U0001f600")).alias("text"))
+    task = datasets.json_arrays(df, 1 << 24)
+
+    def peak(batches):
+        import resource
+
+        import pyarrow as pa
+
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        sizes = [b.column("value")[0].as_buffer().size for b in gather(batches)]
+        grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+        yield pa.RecordBatch.from_pydict({"mb": [grown // 1024], "longest": [max(sizes)], "n": [len(sizes)]})
+
+    gather = datasets.gather_arrays(1 << 24)
+    objects_ = df.select(F.to_json(F.struct("id", "text")).alias("value"))
+    r = objects_.mapInArrow(peak, "mb long, longest long, n long").first()
+    assert r["n"] == 2 and r["longest"] <= (1 << 24) and r["mb"] < 130
+    back = task.select(F.explode(F.from_json("value", "array<struct<id:long,text:string>>")).alias("r")).select("r.*")
+    assert back.exceptAll(df).count() == 0 and back.count() == 3_000
+
+
 def test_csv_files_of_whole_lines_are_split(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "lines.csv").write_text("a,b\n" + "".join(f'{i},"x ""{i}"", y"\n' for i in range(20_000)))
