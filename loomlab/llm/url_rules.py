@@ -11,8 +11,7 @@ from loomlab.llm.common import fresh, stored
 ALLOW, BLOCK = "allow", "block"
 #: The item that stands for a bad label among the tokens of a URL; no token looks like it.
 BAD = "label:bad"
-#: Fitting bound: a labelled URL takes part with so many of its frequent tokens, those that tell most about the label,
-#: because the sets that a URL's tokens form double with each further token.
+#: FP-growth lists every set of a URL's tokens; URLs with more tokens than this that matter are mined level by level.
 TOKENS_PER_URL = 10
 #: Suffixes of a host that are tokens, beside the whole host.
 SUFFIXES = 3
@@ -62,9 +61,11 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     """(items, confidence, support) of token sets that foretell a bad label, from rows (url, bad).
 
     A rule needs ``min_support`` of the labelled URLs and ``min_count`` of them to be bad, and ``min_confidence`` of the
-    URLs it fits. FP-growth proposes the sets from the telling tokens of each URL; support and confidence are then counted
-    anew over all tokens of all labelled URLs. A rule whose subset is as confident is left out. Without labelled URLs there
-    are no rules.
+    URLs it fits. A rule from which one token can be dropped without loss of confidence is left out. So a token that is always
+    bad, or on every URL, is only a rule by itself, and of tokens on the same URLs one stands for all until the end.
+    FP-growth proposes the sets of the tokens that are left; where a URL has more than ``tokens_per_url`` of them,
+    whose sets would double with each further token, :func:`free_sets` does. No token of a URL is left out. Support and
+    confidence are counted over all tokens of all labelled URLs. Without labelled URLs there are no rules.
     """
     rows = stored(labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(tokens(F.col("url")).alias("items"), F.col("bad").cast("boolean").alias("bad")), "labelled-urls")
     counts = rows.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
@@ -72,25 +73,35 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     if not counts["bad"]:
         return none
     least = max(min_count, min_support * counts["n"])
-    base = counts["bad"] / counts["n"]
-    # one row per frequent token, with how far its share of bad labels is from that of all, in standard errors
-    known = rows.select(F.explode("items").alias("item"), "bad").groupBy("item").agg(F.count("*").alias("n"), F.count_if("bad").alias("k"))
-    known = known.where(F.col("k") >= least).select("item", (F.abs(F.col("k") - base * F.col("n")) / F.sqrt(F.col("n"))).alias("tells"))
-    keyed = rows.select(F.monotonically_increasing_id().alias("row"), "items", "bad")
-    keyed = stored(keyed, "labelled-urls")
-    told = keyed.select("row", F.explode("items").alias("item")).join(known, "item").groupBy("row")
-    told = told.agg(F.sort_array(F.collect_list(F.struct("tells", "item")), asc=False).alias("told"))
-    baskets = keyed.join(told, "row").select(
-        F.array_union(F.slice(F.col("told")["item"], 1, tokens_per_url), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
-    baskets = stored(baskets, "baskets")
-    total = baskets.count()
-    if not total:
-        return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=min_confidence / 2).fit(baskets)
-    # cut token sets make a rule look surer or less sure than it is: a cut one proposes rules from half the confidence on
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    found = stored(found.select(F.sort_array("antecedent").alias("items")), "proposed-rules")
+    keyed = stored(rows.select(F.monotonically_increasing_id().alias("row"), "items", "bad"), "labelled-urls")
+    # one row per frequent token, with what tells on which URLs it is
+    marks = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    known = keyed.select("row", F.explode("items").alias("item"), "bad").groupBy("item").agg(F.count("*").alias("n"), F.count_if("bad").alias("k"), *marks)
+    known = stored(known.where(F.col("k") >= least), "frequent-tokens")
+    # a token that is always bad, or on every URL, adds nothing to a set
+    left = known.where((F.col("k") < F.col("n")) & (F.col("n") < counts["n"]))
+    alike = left.groupBy("n", "k", "mark0", "mark1").agg(F.min("item").alias("token"))
+    members = stored(left.join(alike, ["n", "k", "mark0", "mark1"]).select("token", "item"), "alike-tokens")
+    told = keyed.select("row", "bad", F.explode("items").alias("token")).join(members.select("token").distinct(), "token")
+    baskets = stored(told.groupBy("row", "bad").agg(F.sort_array(F.collect_list("token")).alias("items")), "baskets")
+    size = baskets.agg(F.count("*").alias("n"), F.max(F.size("items")).alias("most")).first()
+    found = known.select(F.array("item").alias("items"))
+    if size["n"]:
+        if size["most"] <= tokens_per_url:
+            marked = F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items"))
+            model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / size["n"]) * (1 - 1e-9), minConfidence=min_confidence / 2).fit(stored(baskets.select(marked.alias("items")), "baskets"))
+            sets = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("items"))
+        else:
+            sets = free_sets(baskets, least, min_confidence)
+        sets = stored(sets.where(F.size("items") > 1).withColumn("set", F.monotonically_increasing_id()), "token-sets")
+        longest = sets.agg(F.max(F.size("items")).alias("n")).first()["n"] or 0
+        spelled = sets.withColumn("spelled", F.array().cast("array<string>"))
+        for i in range(longest):  # every token that stands for its like
+            name = members.select(F.col("token").alias("_token"), "item")
+            spelled = spelled.join(name, F.get("items", F.lit(i)) == F.col("_token"), "left")
+            spelled = spelled.withColumn("spelled", F.when(F.col("item").isNotNull(), F.array_append("spelled", F.col("item"))).otherwise(F.col("spelled"))).drop("_token", "item")
+        found = found.unionByName(spelled.select(F.sort_array("spelled").alias("items")))
+    found = stored(found, "proposed-rules")
     fits = fitting(keyed.select("row", "bad", F.col("items").alias("tokens")), found)
     fits = fits.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("k"))
     found = fits.where((F.col("k") >= least) & (F.col("k") >= min_confidence * F.col("n")))
@@ -103,6 +114,35 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     return stored(found.join(idle, "items", "left_anti"), "rules")
 
 
+def free_sets(baskets: DataFrame, least: float, min_confidence: float) -> DataFrame:
+    """(items) of the token sets that can be rules worth keeping, from rows (row, bad, items); exact, level by level.
+
+    A set that fits as many URLs as the set without one of its tokens is as confident as that, and so is every larger set; beyond
+    a set that is always bad there is nothing more confident. Only the other sets grow, so the number of levels is
+    bounded by how often the URLs they fit can become fewer. All work is joins and counts.
+    """
+    tail = F.get("items", F.size("items") - 1)
+    there = stored(baskets.select("row", "bad", F.explode("items").alias("item")).select("row", "bad", F.array("item").alias("items")), "sets-on-urls")
+    before = there.groupBy("items").agg(F.count("*").alias("n"))
+    out = None
+    while True:
+        one = there.select("row", "bad", F.slice("items", 1, F.size("items") - 1).alias("head"), tail.alias("last"))
+        two = one.select("row", "head", F.col("last").alias("next"))
+        grown = one.join(two, ["row", "head"]).where(F.col("last") < F.col("next"))
+        grown = stored(grown.select("row", "bad", F.concat("head", F.array("last", "next")).alias("items")), "sets-on-urls")
+        sets = grown.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("k")).where(F.col("k") >= least)
+        parts = sets.select("items", "n", F.explode("items").alias("less")).select("items", "n", F.array_remove("items", F.col("less")).alias("rest"))
+        parts = parts.join(before.select(F.col("items").alias("rest"), F.col("n").alias("more")), "rest").where(F.col("more") > F.col("n"))
+        free = parts.groupBy("items").agg(F.count("*").alias("parts")).where(F.col("parts") == F.size("items"))
+        sets = stored(sets.join(free.select("items"), "items"), "free-sets")
+        kept = sets.where(F.col("k") >= min_confidence * F.col("n")).select("items")
+        out = kept if out is None else out.unionByName(kept)
+        before = sets.where(F.col("k") < F.col("n")).select("items", "n")
+        if before.isEmpty():
+            return out
+        there = stored(grown.join(before.select("items"), "items", "left_semi"), "sets-on-urls")
+
+
 def fitting(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` (tokens, and more) with each rule of ``rules`` (items, and more) that fits them.
 
